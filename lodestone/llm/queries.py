@@ -17,3 +17,54 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         F.col("digest").alias("text_sha256"),
     )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: sizes, targets and the words taken of each."""
+    from lodestone.llm.mixing import mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+        "doc_id",
+        F.col("_mix_size").alias("size"),
+        F.col("_mix_source_size").alias("source_size"),
+        F.col("_mix_target").alias("target"),
+        (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"),
+    )
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation's turns and trained text, read back from the formatted output."""
+    from lodestone.llm.chat import format_chats, read_back, text_part
+
+    hard = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"
+    )
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(own.columns).unionByName(own)
+    chunks = read_back(format_chats(turns.withColumn("parts", text_part(F.col("text")))))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    part = F.struct("piece", "chunk", F.array_join(said, "").alias("said"), "loss")
+    whole = chunks.groupBy("conv").agg(
+        F.sum(F.size("turns").cast("long")).alias("n_turns"),
+        F.sum("chars").alias("formatted_chars"),
+        F.array_sort(F.collect_list(part)).alias("parts"),
+    )
+    loss = F.array_join(F.transform("parts", lambda p: p["loss"]), "")
+    return whole.select(
+        F.col("conv").alias("conv_id"),
+        "n_turns",
+        F.sha2(F.array_join(F.transform("parts", lambda p: p["said"]), ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document's ids and of the bytes they decode to."""
+    import public_tokenizers
+
+    from lodestone.llm.bpe import Codec, encode
+
+    codec = Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), codec)

@@ -12,3 +12,50 @@ SELECT doc_id,
        sha256(norm) AS text_sha256
 FROM d
 """
+
+op5_mixing = r"""
+WITH d AS (
+  SELECT doc_id, source, md5(doc_id::VARCHAR) AS k, text,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS w,
+         source_size * (3.0::DOUBLE) AS lim
+  FROM s),
+r AS (SELECT *, lim / w AS ratio FROM w),
+lv AS (
+  SELECT *, row_number() OVER up AS rn,
+         (sum(source_size) OVER () - coalesce(sum(lim) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(w) OVER () - coalesce(sum(w) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM r WINDOW up AS (ORDER BY ratio, source NULLS LAST)),
+l AS (SELECT arg_min(level, rn) FILTER (level <= ratio) AS level FROM lv),
+t AS (SELECT source, source_size, coalesce(least(lim, w * (SELECT level FROM l)), lim) AS target FROM lv),
+b AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN target - epochs * source_size > 0
+                               AND 2 * before + size <= 2 * (target - epochs * source_size)
+                          THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM b
+"""
+
+op6_chat_format = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|turn|><|body|><|end|>')
+           + length(replace(replace(role, '\', '\\'), '<|', '<\|'))
+           + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
