@@ -68,3 +68,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     codec = Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), codec)
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    from lodestone.llm.topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
