@@ -75,3 +75,32 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.topk import top_k
 
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+#: Stated rules: (action, host, path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; pages are labelled by the label of the same id, bad if toxic or of quality 0."""
+    from lodestone.llm.url_filter import judge, mine, tokens
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.col("doc_id").alias("page_id")).agg(
+        F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad")
+    )
+    labelled = pages.join(labels.where("bad IS NOT NULL"), "page_id").select(tokens(F.col("url")).alias("tokens"), "bad")
+    return judge(pages, mine(labelled), URL_RULES).select(
+        "page_id",
+        F.col("_url_host").alias("host"),
+        F.col("_url_path").alias("path"),
+        F.col("_url_rule").alias("rule"),
+        F.col("_url_verdict").alias("verdict"),
+        F.col("_url_confidence").alias("confidence"),
+    )
