@@ -30,6 +30,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    # Every state partition would reserve megabytes of disk for logs that stay small.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 _BLOOM = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
