@@ -37,8 +37,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.chat import format_chats, read_back, text_part
 
     hard = "\\### Assistant: </turn> ok"
-    own = spark.createDataFrame(
-        [(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(hard).alias("text"),
     )
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(own.columns).unionByName(own)
     chunks = read_back(format_chats(turns.withColumn("parts", text_part(F.col("text")))))
@@ -104,3 +107,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_url_verdict").alias("verdict"),
         F.col("_url_confidence").alias("confidence"),
     )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    from lodestone.llm.language import held_out, predict, train
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = held_out(F.col("doc_id"))
+    model = train(docs.where(~out))
+    return predict(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        out.alias("held_out"),
+        F.col("_lid_lang").alias("lang_pred"),
+        F.col("_lid_score").alias("score"),
+        F.col("_lid_rejected").alias("rejected"),
+    )
