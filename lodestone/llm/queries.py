@@ -123,3 +123,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_lid_score").alias("score"),
         F.col("_lid_rejected").alias("rejected"),
     )
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 3-word shingles and its component under Jaccard >= 0.9."""
+    from lodestone.llm.jaccard import jaccard_components
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return jaccard_components(docs).select(
+        "doc_id", F.col("_jac_n").alias("n_shingles"), F.col("_jac_component").alias("component_id")
+    )
