@@ -36,9 +36,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return what reads it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Write df once, as so many files at most, and return what reads it back."""
+        (df.coalesce(files) if files else df).write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
