@@ -133,3 +133,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs).select(
         "doc_id", F.col("_jac_n").alias("n_shingles"), F.col("_jac_component").alias("component_id")
     )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines."""
+    from lodestone.llm.line_dedup import drop_recurring_lines
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return drop_recurring_lines(docs).select(
+        "doc_id",
+        F.col("_line_count").cast("long").alias("n_lines"),
+        F.size("_line_gone").cast("long").alias("n_dropped"),
+        "text",
+    )

@@ -73,3 +73,38 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+op10_line_dedup = r"""
+WITH d AS (SELECT doc_id, text, md5(text) AS doc, string_split(text, chr(10)) AS ls FROM documents),
+t AS (SELECT DISTINCT doc, ls FROM d WHERE text IS NOT NULL),
+e AS (SELECT doc, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM t),
+k AS (
+  SELECT doc, no, list_transform(list_filter(regexp_split_to_array(line, '[ \t\r\f\x0B]+'), lambda x: x <> ''),
+                lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS toks
+  FROM e),
+l AS (SELECT doc, no, toks, len(toks) AS n, toks[1:3] AS head FROM k WHERE len(toks) >= 3),
+leaves AS (SELECT n, head FROM l GROUP BY n, head HAVING count(DISTINCT doc) >= 5),
+picked AS (SELECT l.* FROM l JOIN leaves USING (n, head)),
+kinds AS (SELECT DISTINCT n, head, toks FROM picked),
+v AS (SELECT n, head, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM kinds),
+c AS (SELECT n, head, pos, tok, count(*) AS cnt FROM v GROUP BY ALL),
+p AS (SELECT n, head, pos, sum(cnt) AS tot, max(cnt) AS top, max(struct_pack(cnt, tok)).tok AS tok FROM c GROUP BY n, head, pos),
+f AS (
+  SELECT n, head, list(struct_pack(pos, tok)) AS fixed FROM p WHERE top >= 0.6 * tot
+  GROUP BY n, head HAVING count(*) >= greatest(4, ceil(n * 0.7)) AND max(tot) > 1),
+m AS (
+  SELECT s.n, s.head, s.doc, s.no,
+         CASE WHEN f.fixed IS NOT NULL AND len(list_filter(f.fixed, lambda x: s.toks[x.pos] <> x.tok)) = 0
+              THEN NULL ELSE s.toks END AS template
+  FROM picked s LEFT JOIN f ON s.n = f.n AND s.head = f.head),
+r AS (SELECT n, head, template, min(doc) AS first FROM m GROUP BY n, head, template HAVING count(DISTINCT doc) >= 5),
+g AS (
+  SELECT m.doc, list(m.no) AS gone FROM m JOIN r ON m.n = r.n AND m.head = r.head AND m.template IS NOT DISTINCT FROM r.template
+  WHERE m.doc <> r.first GROUP BY m.doc)
+SELECT d.doc_id,
+       coalesce(len(d.ls), 0)::BIGINT AS n_lines,
+       coalesce(len(g.gone), 0)::BIGINT AS n_dropped,
+       CASE WHEN g.gone IS NULL THEN d.text
+            ELSE coalesce(array_to_string(list_transform(list_filter(list_zip(d.ls, range(len(d.ls))), lambda x: NOT list_contains(g.gone, x[2])), lambda x: x[1]), chr(10)), '') END AS text
+FROM d LEFT JOIN g ON d.doc = g.doc
+"""
