@@ -146,3 +146,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("_line_gone").cast("long").alias("n_dropped"),
         "text",
     )
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licence of every document, taken as the file /source/lang/doc_id."""
+    from lodestone.llm.license import scan
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat_ws("/", F.lit(""), F.col("source"), F.col("lang"), F.col("doc_id").cast("string"))
+    return scan(docs.select("doc_id", path.alias("path"), "text")).select(
+        "doc_id",
+        "path",
+        F.col("_lic_own").alias("own_licence"),
+        F.col("_lic_score").alias("score"),
+        F.col("_lic_line").alias("line"),
+        F.col("_lic_is_file").alias("is_licence_file"),
+        F.col("_lic_from").alias("inherited_from"),
+        F.col("_lic_licence").alias("licence"),
+    )
