@@ -11,19 +11,17 @@ Defined results: null text counts as empty, so null and empty texts are one grou
 identifiers order before all others. Of equal texts the row with the largest identifier
 stays; if rows repeat that identifier, the one that is last by (file, row) stays, so exactly
 one row of each group is kept. Extra columns are never read; an empty table gives no rows.
-Only digests, identifiers and locators are shuffled for all rows; texts move for hits alone
-as long as a Bloom filter of the hit digests fits Catalyst's bound, else once for all rows.
+Only digests, identifiers and locators are shuffled for all rows; texts pass a Bloom filter
+of the hit digests, of at most 8 MB, so that little more than the hits' texts move, once.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.text import ascii_lower
-from lodestone.runtime import Scratch
+from lodestone.runtime import BLOOM_JOINS, Scratch, settings
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,22 +31,6 @@ _STATE = {
     # Every state partition would reserve megabytes of disk for logs that stay small.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-_BLOOM = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-}
-
-
-@contextmanager
-def _settings(spark: SparkSession, conf: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _sha256(text: Column) -> Column:
@@ -94,7 +76,7 @@ def ingest(
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    with _settings(spark, _STATE):
+    with settings(spark, _STATE):
         (
             state.writeStream.outputMode("update")
             .foreachBatch(put)
@@ -144,15 +126,13 @@ def exact_dedup(
     state = scratch.keep(current_state(spark, f"{base}/sink"), "state")
     docs = _rows(spark.read.parquet(path), id_col, text_col, digest)
     hits = state.where("n > 1")
-    with _settings(spark, _BLOOM):
-        keepers = docs.join(
-            hits.select(F.col("keep.file").alias("file"), F.col("keep.row").alias("row"), F.col("digest").alias("hit")),
-            ["file", "row"],
-        ).select(F.col("hit").alias("digest"), F.col("norm").alias("kept_norm"))
-        keepers = scratch.keep(keepers, "keepers")
-        other = docs.join(keepers, "digest").where(F.col("norm") != F.col("kept_norm")).drop("kept_norm")
-        other = scratch.keep(other, "collisions")
-    scratch.drop("keepers")
+    with settings(spark, BLOOM_JOINS):
+        hit_rows = scratch.keep(docs.join(hits.select("digest", "keep"), "digest"), "hits")
+        is_kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
+        keepers = hit_rows.where(is_kept).select("digest", F.col("norm").alias("kept_norm"))
+        other = hit_rows.drop("keep").join(keepers, "digest").where(F.col("norm") != F.col("kept_norm"))
+        other = scratch.keep(other.drop("kept_norm"), "collisions")
+    scratch.drop("hits")
     rows = docs.drop("norm")
     if other.isEmpty():
         groups = rows.join(state, "digest")
