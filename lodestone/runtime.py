@@ -72,6 +72,16 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def release_memory() -> None:
+    """Give freed memory of this worker process back to the system; workers are kept and reused."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python path, once per application."""
     sc = spark.sparkContext
