@@ -38,19 +38,28 @@ BROADCAST_ROWS = 100_000
 FIELD = "<*>"
 
 
-def masked_tokens(line: Column) -> Column:
-    """Tokens of a line, variable fields as <*>."""
-    t = F.filter(F.split(line, r"[ \t\r\f\x0B]+"), lambda x: x != "")
-    field = r"[0-9@]|://"
-    return F.when(line.rlike(field), F.transform(t, lambda x: F.when(x.rlike(field), FIELD).otherwise(x))).otherwise(t)
+def spaced(line: Column) -> Column:
+    """A line's tokens joined by single spaces; most lines are that already, which cheap tests tell."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for c in ("  ", "\t", "\r", "\f", "\x0B"):
+        odd = odd | line.contains(c)
+    return F.when(odd, F.btrim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))).otherwise(line)
+
+
+def masked(line: Column) -> Column:
+    """A spaced line with variable fields as <*>."""
+    field = lambda x: x.rlike("[0-9@]") | x.contains("://")
+    fields = F.transform(F.split(line, " "), lambda x: F.when(field(x), FIELD).otherwise(x))
+    return F.when(field(line), F.array_join(fields, " ")).otherwise(line)
 
 
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """(doc, no, n, leaf, toks) of every line that may recur; doc is the text's MD5."""
+    """(doc, no, line, n, leaf) of every line that may recur; doc is the text's MD5, line is spaced."""
     t = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(text_col)).alias("doc"), F.split(text_col, "\n").alias("l"))
-    t = t.select("doc", F.posexplode("l").alias("no", "line")).select("doc", "no", masked_tokens(F.col("line")).alias("toks"))
-    t = t.withColumn("n", F.size("toks")).where(F.col("n") >= MIN_TOKENS)
-    return t.withColumn("leaf", F.xxhash64("n", F.slice("toks", 1, DEPTH)))
+    t = t.select("doc", F.posexplode("l").alias("no", "line")).withColumn("line", spaced(F.col("line")))
+    t = t.withColumn("n", F.size(F.split("line", " "))).where(F.col("n") >= MIN_TOKENS)
+    # The path takes the leading tokens alone, so whole lines are masked later, where they matter.
+    return t.withColumn("leaf", F.xxhash64("n", masked(F.substring_index("line", " ", DEPTH))))
 
 
 def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_docs: int) -> DataFrame:
@@ -60,8 +69,9 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_doc
     leaves = scratch.keep(leaves.select("leaf"), "leaves", files=32)
     if leaves.count() <= BROADCAST_ROWS:
         leaves = F.broadcast(leaves)
-    some = scratch.keep(lines.join(leaves, "leaf").withColumn("own", F.xxhash64("toks")), "lines")
-    kinds = some.groupBy("leaf", "own").agg(F.first("toks").alias("toks"), F.first("n").alias("n"))
+    some = lines.join(leaves, "leaf").withColumn("line", masked(F.col("line")))
+    some = scratch.keep(some.withColumn("own", F.xxhash64("line")), "lines")
+    kinds = some.groupBy("leaf", "own").agg(F.split(F.first("line"), " ").alias("toks"), F.first("n").alias("n"))
     votes = kinds.select("leaf", "n", F.posexplode("toks").alias("at", "tok")).groupBy("leaf", "n", "at", "tok").count()
     top = votes.groupBy("leaf", "n", "at").agg(F.sum("count").alias("all"), F.max(F.struct("count", "tok")).alias("top"))
     fixed = top.where(F.col("top.count") >= SHARE * F.col("all")).groupBy("leaf", "n").agg(
