@@ -11,7 +11,7 @@ word, the seam is dropped and the pieces beside it are encoded as one: results a
 those of the whole text. Decoding joins the ids' raw bytes.
 
 Long texts are handled once per distinct text, so copies of them are no hot group; they are
-joined back by their SHA-256. Shorter texts are encoded where they are read, without a
+joined back by their SHA-256. All other texts are encoded where they are read, without a
 shuffle. An Arrow batch's bytes are bounded by Spark.
 
 Defined results: null counts as empty, which has no ids; repeated rows each get a result; an
@@ -29,26 +29,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import Scratch, ship_package
+from lodestone.runtime import Scratch, release_memory, ship_package
 
 CHUNK_CHARS = 65_536
 OVERLAP = 512
 _loaded: dict[str, tuple] = {}
 
 
-def _load(data: bytes, pattern: str) -> tuple:
+def _load(codec: Codec) -> tuple:
     """(encoder, bytes of each id, decimal of each id), kept by the worker process."""
-    key = hashlib.sha256(data).hexdigest() + pattern
-    if key not in _loaded:
+    if codec.key not in _loaded:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in codec.data.splitlines() if line)}
         raw = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             raw[v] = k
-        enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _loaded[key] = enc, raw, [str(i).encode() for i in range(len(raw))]
-    return _loaded[key]
+        enc = tiktoken.Encoding("ranks", pat_str=codec.pattern, mergeable_ranks=ranks, special_tokens={})
+        _loaded[codec.key] = enc, raw, [str(i).encode() for i in range(len(raw))]
+    return _loaded[codec.key]
 
 
 class Codec:
@@ -58,15 +57,16 @@ class Codec:
         with open(ranks_path, "rb") as f:
             self.data = f.read()
         self.pattern = pattern
+        self.key = hashlib.sha256(self.data + pattern.encode()).hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        return _load(self.data, self.pattern)[0].encode_ordinary(text)
+        return _load(self)[0].encode_ordinary(text)
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(_load(self.data, self.pattern)[1].__getitem__, ids))
+        return b"".join(map(_load(self)[1].__getitem__, ids))
 
     def joined(self, ids) -> bytes:
-        return b",".join(map(_load(self.data, self.pattern)[2].__getitem__, ids))
+        return b",".join(map(_load(self)[2].__getitem__, ids))
 
 
 def boundaries(pattern: regex.Pattern, text: str) -> list[int]:
@@ -113,32 +113,27 @@ def _encode_pieces(codec: Codec):
     return run
 
 
-def _encode_rows(codec: Codec, text_col: str, schema: pa.Schema | None, limit: int, with_ids: bool):
-    """Rows with their results; those of long texts with their key instead."""
+def _encode_rows(codec: Codec, text_col: str, with_ids: bool):
+    """Rows with their results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rest = [n for n in b.schema.names if n != text_col or with_ids]
-            n, ids, raw, key, all_ids = [], [], [], [], []
+            n, ids, raw, all_ids = [], [], [], []
             for t in b[text_col]:
-                t = t.as_py() or ""
-                if len(t) > limit:
-                    n.append(None), ids.append(None), raw.append(None), all_ids.append(None)
-                    key.append(hashlib.sha256(t.encode()).digest())
-                    continue
-                got = codec.encode(t)
+                got = codec.encode(t.as_py() or "")
                 n.append(len(got))
                 ids.append(hashlib.sha256(codec.joined(got)).hexdigest())
                 raw.append(hashlib.sha256(codec.decode(got)).hexdigest())
-                key.append(None)
                 if with_ids:
                     all_ids.append(got)
-            cols = [b[c] for c in rest] + [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string()), pa.array(key, pa.binary())]
-            names = [*rest, "n_tokens", "ids_sha256", "decoded_sha256", "_bpe_key"]
+            cols = [*(b[c] for c in rest), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
+            names = [*rest, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 cols.append(pa.array(all_ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        release_memory()
 
     return run
 
@@ -193,23 +188,22 @@ def encode(
     if overlap >= chunk_chars:
         raise ValueError("overlap must be smaller than chunk_chars")
     ship_package(docs.sparkSession)
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col or with_ids]
-    more = ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string", "_bpe_key binary"] + ["ids array<int>"] * with_ids
-    rows = docs.mapInArrow(_encode_rows(codec, text_col, None, chunk_chars, with_ids), ", ".join(kept + more))
+    fields = [f for f in docs.schema if f.name != text_col or with_ids]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    more = ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids
+    is_long = F.coalesce(F.char_length(text_col) > chunk_chars, F.lit(False))
+    rows = docs.where(~is_long).mapInArrow(_encode_rows(codec, text_col, with_ids), ", ".join(kept + more))
     long = _long_texts(docs, text_col, codec, chunk_chars, overlap)
     # "," joins what is not empty: a piece always has ids.
     joined = F.array_join(F.transform("p", lambda x: x["ids"].cast("string")), ",")
     # Raw bytes are no valid UTF-8 piece by piece; hex is, and joins by concatenation.
     raw = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["raw"])), ""))
     long = long.select(
-        F.col("key").alias("_bpe_key"), F.col("n").alias("_n"), F.sha2(joined, 256).alias("_i"), F.sha2(raw, 256).alias("_d"),
-        *([F.transform(F.split(joined, ","), lambda x: x.cast("int")).alias("_ids")] * with_ids),
+        F.col("key").alias("_bpe_key"), F.col("n").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(raw, 256).alias("decoded_sha256"),
+        *([F.transform(F.split(joined, ","), lambda x: x.cast("int")).alias("ids")] * with_ids),
     )
-    out = rows.join(long, "_bpe_key", "left")
-    pick = {"n_tokens": "_n", "ids_sha256": "_i", "decoded_sha256": "_d"} | ({"ids": "_ids"} if with_ids else {})
-    for a, b in pick.items():
-        out = out.withColumn(a, F.coalesce(a, b))
-    return out.drop("_bpe_key", *pick.values())
+    keyed = docs.where(is_long).withColumn("_bpe_key", F.unhex(F.sha2(text_col, 256))).select(*(f.name for f in fields), "_bpe_key")
+    return rows.unionByName(keyed.join(long, "_bpe_key").drop("_bpe_key"))
 
 
 def decode(coded: DataFrame, codec: Codec, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
