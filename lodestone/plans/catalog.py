@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lodestone.plans import events, graphs, reports, sourcecode, texts  # noqa: F401
+from lodestone.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Hybrid retrieval: keyword and vector search fused by reciprocal rank."""
+    return graphs.hybrid_retrieve(spark, sf_dir)
