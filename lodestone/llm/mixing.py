@@ -78,7 +78,7 @@ def mix(
         .withColumn("_mix_size", word_count(F.col(text_col)))
     )
     grid = scratch.keep(
-        rows.groupBy("_mix_source", "_mix_range").agg(F.sum("_mix_size").alias("_mix_range_size")), "grid"
+        rows.groupBy("_mix_source", "_mix_range").agg(F.sum("_mix_size").alias("_mix_range_size")), "grid", files=32
     )
     sizes = grid.groupBy("_mix_source").agg(F.sum("_mix_range_size").alias("source_size"))
     plan = scratch.keep(source_targets(sizes, weights, cap), "plan")
