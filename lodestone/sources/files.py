@@ -43,29 +43,54 @@ def is_binary(content: Column) -> Column:
     return F.locate("\x00", F.decode(F.substring(content, 1, K.SNIFF_BYTES), "ISO-8859-1")) > 0
 
 
+def _hidden_files(spark: SparkSession, base: str, skip_dirs: list[str]) -> list[tuple[str, int, bytearray]]:
+    """Files with a part of their path that starts with `_` or whose name starts with `.`."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.getFileStatus(root).getPath().toUri().getPath()
+    out, todo = [], [root]
+    while todo:
+        for st in fs.listStatus(todo.pop()):
+            name, rel = st.getPath().getName(), st.getPath().toUri().getPath()[len(top) :].lstrip("/")
+            if st.isDirectory():
+                if not name.startswith(".") and name not in skip_dirs:
+                    todo.append(st.getPath())
+            elif name.startswith((".", "_")) or any(p.startswith("_") for p in rel.split("/")):
+                stream = fs.open(st.getPath())
+                out.append((rel, st.getLen(), bytearray(stream.readAllBytes())))
+                stream.close()
+    return out
+
+
 def read_tree(spark: SparkSession, root: str, *, skip_dirs: list[str] = K.SKIP_DIRS) -> DataFrame:
     """(path, length, content, language) of the text files below root; path is relative.
 
     Dot-directories, skipped directories, what the root's .gitignore names and binary files
-    are left out. Spark lists and reads; the driver reads .gitignore alone, through Spark.
+    are left out. Spark lists and reads, but it passes over names that start with `_` or `.`;
+    those few files (`__init__.py`, `.gitignore`) are read by the driver through Hadoop.
     """
     base = root.rstrip("/")
+    hidden = _hidden_files(spark, base, skip_dirs)
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     inner = re.escape(base.split("://", 1)[-1])
     f = f.withColumn("path", F.regexp_extract("path", rf"^(?:[\w]+:/*)?.*?{inner.lstrip('/')}/(.*)$", 1))
-    rules = f.where("path = '.gitignore'").select(F.decode("content", "UTF-8").alias("t")).head(1)
+    kind = "path string, length long, content binary"
+    f = f.select("path", "length", "content").unionByName(spark.createDataFrame(hidden, kind))
+    rules = [bytes(c).decode("utf-8", "replace") for p, _, c in hidden if p == ".gitignore"]
     parts = F.split("path", "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     skipped = F.exists(folders, lambda d: d.startswith(".") | d.isin(skip_dirs))
-    f = f.where(~skipped & ~ignored(F.col("path"), gitignore_patterns(rules[0]["t"]) if rules else []))
+    f = f.where(~skipped & ~ignored(F.col("path"), gitignore_patterns(rules[0]) if rules else []))
     f = f.where(~is_binary(F.col("content")))
     return f.select("path", "length", F.decode("content", "UTF-8").alias("content"), language_of(F.col("path")).alias("language"))
 
 
 def tree_bytes(spark: SparkSession, root: str, *, skip_dirs: list[str] = K.SKIP_DIRS) -> int:
-    """Bytes below root outside skipped directories; contents are not read."""
+    """Bytes below root outside skipped directories; only the few files that Spark passes over are opened."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return f.where(~F.exists(F.split("path", "/"), lambda d: d.isin(skip_dirs))).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    seen = f.where(~F.exists(F.split("path", "/"), lambda d: d.isin(skip_dirs))).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return seen + sum(n for _, n, _ in _hidden_files(spark, root.rstrip("/"), skip_dirs))
 
 
 def resolve_repo(spark: SparkSession, root: str, branch: str = "main") -> dict:

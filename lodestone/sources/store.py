@@ -69,8 +69,9 @@ class Store:
         t = self.read(table)
         for k, v in key.items():
             t = t.where(F.col(k) == v)
-        n = F.count(F.lit(1)).over(_everything())
-        return t.where(F.when(n > 1, F.raise_error(F.lit(f"{table}: several rows for {key}")).cast("boolean")).otherwise(F.lit(True)))
+        t = t.withColumn("_rows", F.count(F.lit(1)).over(_everything()))
+        names = [c for c in t.columns if c != "_rows"]
+        return t.where(F.when(F.col("_rows") > 1, F.raise_error(F.lit(f"{table}: several rows for {key}")).cast("boolean")).otherwise(F.lit(True))).select(names)
 
     def delete(self, table: str, key: str) -> int:
         """Remove one project's rows; how many they were."""
