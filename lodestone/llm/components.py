@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import Scratch
 
+EDGES_A_FILE = 200_000
+
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """edges(a, b) -> (node, comp) for each node of an edge; comp is the smallest node reachable."""
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    files = 2 + edges.count() // EDGES_A_FILE
+    now = scratch.keep(now, f"{name}-0", files)
     step = 0
     before = None
     while True:
@@ -26,7 +30,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = scratch.keep(small, f"{name}-{step + 1}")
+        after = scratch.keep(small, f"{name}-{step + 1}", files)
         mark = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         scratch.drop(f"{name}-{step}")
         step += 1

@@ -7,10 +7,14 @@ the same prefix and size are collapsed into one group, groups that share a prefi
 paired under length and position filters, and pairs are expanded to members and verified on
 their whole sets.
 
-Frequencies are counted over all representatives. To keep that count small the order of large
-sets ranks only the tokens in the lowest 1/REGION of the hash range by frequency, all before
-the others, which is a fixed order too; sets of at most SMALL tokens are ordered by all of
-their tokens. A pair within t always meets in one of the two orders, which overlap in size.
+Frequencies are counted over all representatives. To keep that count small only the tokens of
+large sets in the lowest 1/REGION of the hash range are counted; their order has the counted
+tokens of at most COMMON documents first, by frequency, then the other uncounted ones, then the
+counted common ones, which no prefix reaches. Sets with too few rare counted tokens for their
+prefix, mostly near copies, need the order of uncounted tokens: it goes by their frequency among
+those sets, which are read once more for it. That is a fixed order of all tokens, so no pair is
+missed. Sets of at most SMALL tokens are ordered by the frequencies of all their tokens. A
+pair within the threshold always meets in one of the two orders, which overlap in size.
 
 A token that very many documents share never emits all their pairs. First each token's
 documents are paired with one hub, the one with the fewest rare tokens (the likely original
@@ -37,13 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.runtime import Scratch, ship_package
+from lodestone.runtime import BLOOM_JOINS, Scratch, release_memory, settings, ship_package
 
 SHINGLE = 3
 PERCENT = 90
-REGION = 4
-SMALL = 64
-STEP_BYTES = 4_000_000
+REGION = 5
+SMALL = 128
+COMMON = 8
+SETS_A_FILE = 40_000
+STEP_BYTES = 500_000
+#: Batches of texts to the workers are kept small, as every text's tokens stand beside it.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
 #: A random 64-bit value for every byte, and an odd base of the rolling hash with its inverse.
@@ -64,24 +72,44 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out) if n else out
 
 
-_pow: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+_pow: list[np.ndarray] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        m = max(n, 2 * STEP_BYTES)
-        _pow[:] = [_powers(BASE, m), _powers(INVERSE, m)]
+    if not _pow:
+        _pow.extend([_powers(BASE, 2 * STEP_BYTES), _powers(INVERSE, 2 * STEP_BYTES)])
+    if n > 2 * STEP_BYTES:  # one endless word; too rare to be kept
+        return _powers(BASE, n), _powers(INVERSE, n)
     return _pow[0][:n], _pow[1][:n]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word in UTF-8 bytes; A-Z count as a-z."""
+    """(start, hash) of each word in UTF-8 bytes; A-Z count as a-z. Bytes are taken in steps that end after white space."""
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        end = at + STEP_BYTES
+        while end < len(data):
+            near = data[end - 1 : end + 65_536]
+            hit = np.flatnonzero((near == 32) | ((near >= 9) & (near <= 13)))
+            end = end + int(hit[0]) if len(hit) else end + len(near)
+            if len(hit):
+                break
+        start, h = _word_hashes(data[at:end])
+        starts.append(start + at)
+        hashes.append(h)
+        at = end
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none.astype(np.uint64), *hashes])
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = _tables(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * up[: len(data)], dtype=np.uint64)])
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
     h = (total[end] - total[start]) * down[start]
     return start, _mix(h + (end - start).astype(np.uint64))
 
@@ -132,19 +160,14 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def ordered_tokens(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """(order, tokens): what the set shows in the order of small (0) and of large sets (1).
+def shown_tokens(s: np.ndarray, percent: int) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """(all tokens in the order of small sets, counted tokens in that of large sets).
 
-    Tokens of the two orders are hashed apart. For large sets these are the tokens of the
-    counted region, filled up by the next ones to the prefix's length.
+    None where the set is not part of the order. Tokens of the two orders are hashed apart.
     """
-    n, out = len(s), []
-    if n and n * percent <= SMALL * 100 + percent:
-        out.append((0, np.sort(_mix(s ^ _U(BASE)))))
-    if n >= SMALL:
-        low = int(np.searchsorted(s, _U(2**64 // REGION)))
-        out.append((1, s[: max(low, prefix_length(n, percent))]))
-    return out
+    n = len(s)
+    small = np.sort(_mix(s ^ _U(BASE))) if n and n * percent <= SMALL * 100 + percent else None
+    return small, s[: int(np.searchsorted(s, _U(2**64 // REGION)))] if n >= SMALL else None
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -153,48 +176,61 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _profiles(n_words: int):
+PROFILE = "n bigint, dig binary, small array<bigint>, large array<bigint>"
+
+
+def _profiles(n_words: int, percent: int):
+    """Of each text with words its set's size and digest, and its tokens in both orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for b in batches:
+            for part in _steps(pc.cast(b.column(0), pa.binary())):
+                n, dig, toks = [], [], ([], [])
+                for s in shingle_sets(part, n_words):
+                    if len(s):
+                        n.append(len(s))
+                        dig.append(_digest(s))
+                        for to, t in zip(toks, shown_tokens(s, percent), strict=True):
+                            to.append(None if t is None else t.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(n, pa.int64()), pa.array(dig, pa.binary()), *(pa.array(t, kind) for t in toks)], names=["n", "dig", "small", "large"]
+                )
+        release_memory()
+
+    return run
+
+
+def _digests(n_words: int):
+    """Of each text its set's size and digest."""
+
     def run(column: pa.Array) -> pa.Array:
         n, dig = [], []
         for part in _steps(pc.cast(column, pa.binary())):
             for s in shingle_sets(part, n_words):
                 n.append(len(s))
                 dig.append(_digest(s) if len(s) else None)
+        release_memory()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(dig, pa.binary())], names=["n", "dig"])
 
     return run
 
 
-def _entries(n_words: int, percent: int):
-    """(rid, text) -> (rid, ord, n, low, toks): an entry for each order that the set is part of."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rid, at = b["rid"].to_pylist(), 0
-            for part in _steps(pc.cast(b["text"], pa.binary())):
-                rows = []
-                for r, s in zip(rid[at : at + len(part)], shingle_sets(part, n_words), strict=True):
-                    for o, t in ordered_tokens(s, percent):
-                        low = len(t) if o == 0 else int(np.searchsorted(t, _U(2**64 // REGION)))
-                        rows.append((r, o, len(s), low, t.view(np.int64)))
-                at += len(part)
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()),
-                         pa.array([x[3] for x in rows], pa.int64()), pa.array([x[4] for x in rows], pa.list_(pa.int64()))],
-                        names=["rid", "ord", "n", "low", "toks"])
-
-    return run
-
+def _set_rows(n_words: int, uncounted: bool = False):
+    """(rid, text) -> (rid, s): the whole set as bytes, or its uncounted tokens as an array."""
 
-def _set_rows(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
             for part in _steps(pc.cast(b["text"], pa.binary())):
-                sets = [s.tobytes() for s in shingle_sets(part, n_words)]
-                yield pa.RecordBatch.from_arrays([b["rid"].slice(at, len(part)), pa.array(sets, pa.binary())], names=["rid", "s"])
+                sets = shingle_sets(part, n_words)
+                if uncounted:
+                    kind, sets = pa.list_(pa.int64()), [s[int(np.searchsorted(s, _U(2**64 // REGION))) :].view(np.int64) for s in sets]
+                else:
+                    kind, sets = pa.binary(), [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b["rid"].slice(at, len(part)), pa.array(sets, kind)], names=["rid", "s"])
                 at += len(part)
+        release_memory()
 
     return run
 
@@ -217,53 +253,83 @@ def _verify(percent: int):
 class JaccardJoin:
     """The join's steps over one input; every table goes to the shared scratch folder."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> None:
+    def __init__(self, docs: DataFrame, text_col: str, n_words: int, percent: int) -> None:
         self.spark = docs.sparkSession
         ship_package(self.spark)
-        self.docs, self.id_col, self.text_col, self.n_words, self.percent = docs, id_col, text_col, n_words, percent
+        self.docs, self.text_col, self.n_words, self.percent = docs, text_col, n_words, percent
         self.scratch = Scratch(self.spark, "jaccard")
+        self.files = 8  # of the tables that have a few rows per set
 
-    def profile(self, df: DataFrame) -> DataFrame:
-        p = F.arrow_udf(_profiles(self.n_words), "struct<n: bigint, dig: binary>")(F.coalesce(F.col(self.text_col), F.lit("")))
-        cols = df.columns
-        return df.withColumn("_jac", p).select(*cols, F.col("_jac.n").alias("_jac_n"), F.col("_jac.dig").alias("_jac_dig"))
+    def digests(self, df: DataFrame) -> DataFrame:
+        """df with _jac(n, dig)."""
+        f = F.arrow_udf(_digests(self.n_words), "struct<n: bigint, dig: binary>").asNondeterministic()
+        return df.withColumn("_jac", f(F.coalesce(F.col(self.text_col), F.lit(""))))
 
     def representatives(self) -> DataFrame:
-        """One row for each distinct set: rid, dig, n, text."""
-        rows = self.profile(self.docs.select(self.text_col)).where("_jac_dig IS NOT NULL")
-        one = rows.groupBy("_jac_dig").agg(F.first("_jac_n").alias("n"), F.first(self.text_col).alias("text"))
-        return self.scratch.keep(
-            one.select(F.monotonically_increasing_id().alias("rid"), F.col("_jac_dig").alias("dig"), "n", "text"), "reps"
+        """One row for each distinct set: rid, dig, n, small, large."""
+        rows = self.docs.select(self.text_col).mapInArrow(_profiles(self.n_words, self.percent), PROFILE)
+        one = rows.groupBy("dig").agg(*(F.first(c).alias(c) for c in ("n", "small", "large")))
+        reps = self.scratch.keep(one.withColumn("rid", F.monotonically_increasing_id()), "reps")
+        self.files = 4 + reps.count() // SETS_A_FILE
+        return reps
+
+    def ranked(self, shown: DataFrame, common=None) -> DataFrame:
+        """shown(eid, tok) -> (eid, t, common): tokens of several entries, by frequency; common ones are only counted."""
+        often = shown.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        no = F.lit(False) if common is None else common
+        g = shown.join(often, "tok").groupBy("eid").agg(
+            F.array_sort(F.collect_list(F.when(~no, F.struct("df", "tok")))).alias("t"), F.count_if(no).cast("int").alias("common")
         )
-
-    def postings(self, reps: DataFrame) -> DataFrame:
-        """Prefix tokens that more than one set shows: (ord, tok, rid, gid, n, pos, rare)."""
-        p = self.percent
-        entries = reps.select("rid", "text").mapInArrow(
-            _entries(self.n_words, p), "rid bigint, ord bigint, n bigint, low bigint, toks array<bigint>"
-        )
-        entries = self.scratch.keep(entries, "entries")
-        shown = entries.select("ord", F.explode("toks").alias("tok"))
-        often = shown.groupBy("ord", "tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        mine = entries.select("ord", "rid", "n", "low", F.explode("toks").alias("tok")).join(often, ["ord", "tok"])
-        # As unsigned, tokens of the counted region are those below 2^64 / REGION.
-        counted = (F.col("ord") == 0) | ((F.col("tok") >= 0) & (F.col("tok") < F.lit(2**64 // REGION)))
-        late = (~counted).cast("int")
-        per = mine.groupBy("ord", "rid", "n", "low").agg(
-            F.array_sort(F.collect_list(F.struct(late.alias("late"), F.when(counted, F.col("df")).otherwise(0).alias("df"), "tok"))).alias("t")
-        )
-        early = F.size(F.filter("t", lambda x: x["late"] == 0))
-        length = F.col("n") - F.ceil(F.col("n") * p / 100) + 1
-        per = per.withColumn("rare", F.col("low") - early).withColumn("len", length).where("rare < len OR low < len")
-        at = per.select("ord", "rid", "n", "low", "rare", "len", F.posexplode("t").alias("i", "x"), "t")
-        pos = F.when(F.col("x.late") == 0, F.col("rare") + F.col("i")).otherwise(F.col("low"))
-        at = at.withColumn("pos", pos).where("pos < len")
-        prefix = F.slice("t", F.lit(1), F.col("len").cast("int"))
-        gid = F.when((F.col("rare") == 0) & (F.col("low") >= F.col("len")), F.xxhash64("n", F.to_json(prefix))).otherwise(
-            F.xxhash64("rid", F.lit("alone"))
-        )
-        at = at.select("ord", F.col("x.tok").alias("tok"), "rid", gid.alias("gid"), "n", F.col("pos").cast("long").alias("pos"), "rare")
-        return self.scratch.keep(at, "postings")
+        return g.withColumn("t", F.transform("t", lambda x: x["tok"]))
+
+    def postings(self, reps: DataFrame, rows: DataFrame) -> DataFrame:
+        """Prefix tokens that more than one set shows: (tok, rid, gid, n, pos, rare).
+
+        An entry is a set in one order: eid is 2 rid, plus 1 in the order of large sets.
+        rare is the share of its ranked tokens that it has alone.
+        """
+        none = F.array().cast("array<bigint>")
+        small = reps.where("small IS NOT NULL").select((F.col("rid") * 2).alias("eid"), "rid", "n", F.col("small").alias("toks"))
+        large = reps.where("large IS NOT NULL").select((F.col("rid") * 2 + 1).alias("eid"), "rid", "n", F.col("large").alias("toks"))
+        entries = small.unionByName(large)
+        shown = entries.select("eid", F.explode("toks").alias("tok"))
+        mine = self.ranked(shown, (F.col("eid") % 2 == 1) & (F.col("df") > COMMON))
+        length = (F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1).cast("int")
+        per = entries.select("eid", "rid", "n", F.size("toks").alias("low")).join(mine, "eid", "left")
+        per = per.withColumn("t", F.coalesce("t", none)).withColumn("len", length)
+        per = per.withColumn("counted", F.col("low") - F.coalesce("common", F.lit(0))).withColumn("alone", F.col("counted") - F.size("t"))
+        # Places alone .. counted - 1 are those of t.
+        per = self.scratch.keep(per.where("alone < len").drop("common"), "ranked", self.files)
+        late = per.where("counted < len")
+        rest = self.read_again(late.select("rid").distinct(), reps, rows, uncounted=True)
+        rest = self.scratch.keep(rest.select((F.col("rid") * 2 + 1).alias("eid"), F.col("s").alias("toks")), "rest", self.files)
+        more = self.ranked(rest.select("eid", F.explode("toks").alias("tok"))).select("eid", F.col("t").alias("more"))
+        more = rest.select("eid", F.size("toks").alias("all")).join(more, "eid", "left").select("eid", F.coalesce("more", none).alias("more"), (F.col("all") - F.size(F.coalesce("more", none))).alias("single"))
+        per = per.join(more, "eid", "left").withColumn("more", F.coalesce("more", none)).withColumn("single", F.coalesce("single", F.lit(0)))
+        # Then come the uncounted tokens that it has alone, then more.
+        cut = lambda c, k: F.slice(c, F.lit(1), F.greatest(F.lit(0), k))
+        t, m = cut("t", F.col("len") - F.col("alone")), cut("more", F.col("len") - F.col("counted") - F.col("single"))
+        alone = F.when(F.col("counted") < F.col("len"), F.col("alone") + F.col("single")).otherwise(F.col("alone"))
+        gid = F.when(alone == 0, F.xxhash64("n", F.concat(t, m))).otherwise(F.xxhash64("rid", F.lit("alone")))
+        first = F.transform(t, lambda x, i: F.struct(x.alias("tok"), (F.col("alone") + i).cast("long").alias("pos")))
+        then = F.transform(m, lambda x, i: F.struct(x.alias("tok"), (F.col("counted") + F.col("single") + i).cast("long").alias("pos")))
+        at = per.select("rid", "n", gid.alias("gid"), (alone / F.col("n")).alias("rare"), F.explode(F.concat(first, then)).alias("x"))
+        at = self.scratch.keep(at.select("x.tok", "rid", "gid", "n", "x.pos", "rare"), "prefixes", self.files)
+        met = at.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
+        post = self.scratch.keep(at.join(met, "tok"), "postings", self.files)
+        self.scratch.drop("prefixes", "ranked", "rest")
+        return post
+
+    def read_again(self, rids: DataFrame, reps: DataFrame, rows: DataFrame, uncounted: bool = False) -> DataFrame:
+        """(rid, s) of some representatives, from their texts; only those texts are shuffled."""
+        name = "again" + "-rest" * uncounted
+        wanted = self.scratch.keep(reps.select("dig", "rid").join(rids, "rid"), f"{name}-rids", self.files)
+        texts = rows.select(F.col("_jac.dig").alias("dig"), F.col(self.text_col).alias("text"))
+        kind = "rid bigint, s array<bigint>" if uncounted else "rid bigint, s binary"
+        # The planner makes a Bloom filter only of a side that has a filter of its own.
+        with settings(self.spark, BLOOM_JOINS):
+            texts = texts.join(wanted.where("rid >= 0"), "dig").groupBy("rid").agg(F.first("text").alias("text"))
+            return self.scratch.keep(texts.mapInArrow(_set_rows(self.n_words, uncounted), kind), name)
 
     def passes(self, a: str, b: str):
         """Length and position filters of a pair of posting rows."""
@@ -272,66 +338,71 @@ class JaccardJoin:
         least = F.least(na - pa_, nb - pb)  # what the two can share from this token on
         return (F.least(na, nb) * 100 >= F.greatest(na, nb) * p) & (least * (100 + p) >= (na + nb) * p)
 
-    def links(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """Those pairs (a, b) whose whole sets are within the threshold."""
+    def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """pairs(a, b) with ok: whether their whole sets are within the threshold."""
         half = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("sa")), "a")
         full = half.join(sets.select(F.col("rid").alias("b"), F.col("s").alias("sb")), "b")
         checked = full.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a bigint, b bigint, ok boolean")
-        return self.scratch.keep(checked.where("ok").drop("ok"), name)
+        return self.scratch.keep(checked, name, self.files)
 
-    def components(self) -> tuple[DataFrame, DataFrame]:
-        """(dig, comp) of all linked representatives, comp being one of their rids; and the representatives."""
+    def components(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(node, comp) of all linked representatives, comp being one of their rids; (dig, rid); docs with _jac."""
         reps = self.representatives()
-        post = self.postings(reps)
-        met = post.select("rid").distinct()
-        sets = reps.join(met, "rid", "left_semi").select("rid", "text").mapInArrow(_set_rows(self.n_words), "rid bigint, s binary")
-        sets = self.scratch.keep(sets, "sets")
-        self.scratch.drop("entries")
+        rows = self.scratch.keep(self.digests(self.docs), "rows")
+        names = self.scratch.keep(reps.select("dig", "rid"), "names", self.files)
+        post = self.postings(reps, rows)
+        self.scratch.drop("reps")
+        sets = self.read_again(post.select("rid").distinct(), names, rows)
         # Round 1: the members of a group with its first, and each token's groups with its hub.
         heads = post.groupBy("gid").agg(F.min("rid").alias("a"))
         inside = post.select("gid", "rid").distinct().join(heads, "gid").where("rid <> a").select("a", F.col("rid").alias("b"))
-        hubs = post.groupBy("ord", "tok").agg(F.min_by(F.struct("rid", "n", "pos"), F.struct(F.col("rare") / F.col("n"), "rid")).alias("h"))
-        stars = post.alias("x").join(hubs.select("ord", "tok", "h.*").alias("y"), ["ord", "tok"]).where(
-            (F.col("x.rid") != F.col("y.rid")) & self.passes("x", "y")
-        ).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
-        one = self.links(inside.unionByName(stars).distinct(), sets, "links1")
-        comp = self.scratch.keep(connected_components(one, self.scratch, "cc1"), "comp1")
+        hubs = post.groupBy("tok").agg(F.min_by(F.struct("rid", "n", "pos"), F.struct("rare", "rid")).alias("h"))
+        near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * self.percent
+        stars = post.alias("x").join(hubs.select("tok", "h.*").alias("y"), "tok").where((F.col("x.rid") != F.col("y.rid")) & near)
+        stars = stars.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"))
+        inside = inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        seen = self.verified(inside.unionByName(stars).distinct(), sets, "pairs1")
+        one = seen.where("ok").drop("ok")
+        comp = connected_components(one, self.scratch, "cc1")
         # Round 2: what the first left in different components, by group and component.
         unit = post.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        unit = self.scratch.keep(unit.drop("rare"), "units")
-        most = unit.groupBy("ord", "tok", "comp").agg(F.count(F.lit(1)).alias("c"))
-        most = most.groupBy("ord", "tok").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("k"))
-        open_ = unit.join(most.where("k > 1"), ["ord", "tok"])
-        groups = open_.groupBy("ord", "tok", "gid", "comp", "n", "pos", "main").agg(F.min("rid").alias("any"))
+        unit = self.scratch.keep(unit.drop("rare"), "units", self.files)
+        most = unit.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
+        most = most.groupBy("tok").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("k"))
+        groups = unit.join(most.where("k > 1"), "tok").groupBy("tok", "gid", "comp", "n", "pos", "main").agg(F.min("rid").alias("any"))
         few = groups.where("comp <> main")
         apart = (F.col("x.comp") != F.col("y.comp")) & self.passes("x", "y")
-        pairs = few.alias("x").join(groups.alias("y"), ["ord", "tok"]).where(apart)
+        pairs = few.alias("x").join(groups.alias("y"), "tok").where(apart)
         pairs = pairs.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "comp"))).distinct()
         members = unit.select("gid", "comp", "rid").distinct()
         pairs = pairs.join(members.select(*(F.col(c).alias(f"{c}_x") for c in members.columns)), ["gid_x", "comp_x"])
         pairs = pairs.join(members.select(*(F.col(c).alias(f"{c}_y") for c in members.columns)), ["gid_y", "comp_y"])
         pairs = pairs.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
-        two = self.links(pairs, sets, "links2")
+        pairs = pairs.join(seen.drop("ok"), ["a", "b"], "left_anti")
+        two = self.verified(pairs, sets, "pairs2").where("ok").drop("ok")
         comp = connected_components(one.unionByName(two), self.scratch, "cc2")
-        self.scratch.drop("postings", "units", "sets")
-        return comp, reps
+        self.scratch.drop("postings", "units", "again", "pairs1", "pairs2")
+        return comp, names, rows
 
 
 def jaccard_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """docs with _jac_n (size of the set) and _jac_component (smallest id reachable by links)."""
-    j = JaccardJoin(docs, id_col, text_col, n_words, percent)
-    comp, reps = j.components()
-    named = reps.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select(
-        F.col("dig").alias("_jac_dig"), F.coalesce("comp", "rid").alias("_jac_comp")
-    )
-    named = j.scratch.keep(named, "named")
-    j.scratch.drop("reps")
-    rows = j.profile(docs)
-    least = rows.select(id_col, "_jac_dig").where("_jac_dig IS NOT NULL").join(named, "_jac_dig").groupBy("_jac_comp").agg(
-        F.min(id_col).alias("_jac_component")
-    )
-    ids = j.scratch.keep(named.join(least, "_jac_comp").select("_jac_dig", F.col("_jac_component").alias("_jac_least")), "least")
+    with settings(docs.sparkSession, BATCHES):
+        rows, ids = _components(docs, id_col, text_col, n_words, percent)
     out = rows.join(ids, "_jac_dig", "left")
     return out.withColumn("_jac_component", F.coalesce("_jac_least", F.col(id_col))).select(*docs.columns, "_jac_n", "_jac_component")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs with _jac_n and _jac_dig; the smallest id reachable from each digest."""
+    j = JaccardJoin(docs, text_col, n_words, percent)
+    comp, names, rows = j.components()
+    named = names.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select(F.col("dig").alias("_jac_dig"), F.coalesce("comp", "rid").alias("_jac_comp"))
+    named = j.scratch.keep(named, "named", j.files)
+    rows = rows.select(*docs.columns, F.col("_jac.n").alias("_jac_n"), F.col("_jac.dig").alias("_jac_dig"))
+    least = rows.select(id_col, "_jac_dig").join(named, "_jac_dig").groupBy("_jac_comp").agg(F.min(id_col).alias("_jac_least"))
+    ids = j.scratch.keep(named.join(least, "_jac_comp").select("_jac_dig", "_jac_least"), "least", j.files)
+    j.scratch.drop("named", "names")
+    return rows, ids
