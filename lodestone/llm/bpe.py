@@ -15,7 +15,8 @@ joined back by their SHA-256. All other texts are encoded where they are read, w
 shuffle. An Arrow batch's bytes are bounded by Spark.
 
 Defined results: null counts as empty, which has no ids; repeated rows each get a result; an
-empty table gives no rows; extra columns pass through unread.
+empty table gives no rows; extra columns pass through unread, but for those that have a
+result's name (n_tokens, ids_sha256, decoded_sha256, ids), which the result replaces.
 """
 
 from __future__ import annotations
@@ -188,6 +189,7 @@ def encode(
     if overlap >= chunk_chars:
         raise ValueError("overlap must be smaller than chunk_chars")
     ship_package(docs.sparkSession)
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)
     fields = [f for f in docs.schema if f.name != text_col or with_ids]
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     more = ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import ship_package
+from lodestone.runtime import release_memory, ship_package
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 GRAMS = (1, 2, 3)
 TRAIN_ROWS = 1_000
 CLUSTERS = 3
-STEP_CHARS = 1_000_000
+STEP_CHARS = 500_000
 UND = "und"
 #: A text is rejected below this share of the median cosine of a centroid's own members: one real word reaches it.
 LEAST_SHARE = 0.1
@@ -119,6 +119,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(b.column(0)):
             total += (counts(part) > 0).sum(axis=0)
     at = np.flatnonzero(total)
+    release_memory()
     yield pa.RecordBatch.from_pydict({"place": at, "df": total[at]})
 
 
@@ -172,6 +173,7 @@ def train(
                 v = vectors(part, idf)
                 yield pa.RecordBatch.from_arrays([b["lang"].slice(at, len(part)), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "v"])
                 at += len(part)
+        release_memory()
 
     def cluster(t: pa.Table) -> pa.Table:
         v = np.frombuffer(b"".join(sorted(t["v"].to_pylist())), np.float32).reshape(-1, DIM)
@@ -196,11 +198,14 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
             langs += a
             scores.append(b)
             rejected.append(c)
+        release_memory()
         join = lambda x, t: np.concatenate([*x, np.zeros(0, t)]).astype(t)
         return pa.StructArray.from_arrays(
             [pa.array(langs, pa.string()), pa.array(join(scores, np.float64)), pa.array(join(rejected, bool))], names=["lang", "score", "rejected"]
         )
 
+    # As it is, a filter on the result would run the classifier twice.
+    classify = classify.asNondeterministic()
     out = docs.withColumn("_lid", classify(F.col(text_col)))
     return out.select(
         *docs.columns, F.col("_lid.lang").alias("_lid_lang"), F.col("_lid.score").alias("_lid_score"), F.col("_lid.rejected").alias("_lid_rejected")

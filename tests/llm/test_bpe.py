@@ -17,7 +17,7 @@ def codec():
 @pytest.mark.parametrize(("chunk", "overlap"), [(64, 16), (50, 49), (65_536, 512)])
 def test_as_the_library(spark, codec, chunk, overlap):
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(7, WORDS * 40, 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, ids_sha int").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3)
     out = encode(docs, codec, chunk_chars=chunk, overlap=overlap).collect()
     assert len(out) == len(rows)
     for r in out:
