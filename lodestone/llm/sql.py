@@ -108,3 +108,54 @@ SELECT d.doc_id,
             ELSE coalesce(array_to_string(list_transform(list_filter(list_zip(d.ls, range(len(d.ls))), lambda x: NOT list_contains(g.gone, x[2])), lambda x: x[1]), chr(10)), '') END AS text
 FROM d LEFT JOIN g ON d.doc = g.doc
 """
+
+op2_url_filter = r"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^(?:.|\n)*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(url, '^(?:.|\n)*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+p AS (
+  SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs,
+         list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda s: s <> '') AS keys
+  FROM u),
+t AS (
+  SELECT page_id, host, path, list_sort(list_distinct(CASE WHEN contains(url, '://') THEN
+      ['scheme=' || regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)]
+      || list_transform(range(1, len(labels) + 1), lambda i: 'host=' || array_to_string(labels[i:], '.'))
+      || list_transform(range(1, len(segs) + 1), lambda i: 'path' || (i - 1) || '=' || regexp_replace(segs[i], '[0-9]+', '#', 'g'))
+      || list_transform(keys, lambda k: 'key=' || string_split(k, '=')[1]) ELSE []::VARCHAR[] END)) AS toks
+  FROM p),
+lab AS (SELECT doc_id AS page_id, bool_or(toxic = 1 OR quality = 0) AS bad FROM labels GROUP BY doc_id),
+tr AS (SELECT t.toks, lab.bad FROM t JOIN lab USING (page_id) WHERE lab.bad IS NOT NULL),
+sub AS (SELECT toks, bad, unnest(range(1, (2 ^ len(toks))::BIGINT)) AS m FROM tr),
+sets AS (SELECT list_transform(list_filter(range(1, len(toks) + 1), lambda i: (m >> (i - 1)) & 1 = 1), lambda i: toks[i]) AS s, bad FROM sub),
+rules AS (
+  SELECT s, sum(bad::INT) / count(*)::DOUBLE AS confidence FROM sets GROUP BY s
+  HAVING sum(bad::INT) >= (SELECT ceil(greatest(0.005 * count(*), 8)) FROM tr) AND sum(bad::INT) / count(*)::DOUBLE >= 0.8),
+kept AS (
+  SELECT r.* FROM rules r WHERE NOT EXISTS (
+    SELECT 1 FROM rules q WHERE len(q.s) = len(r.s) - 1 AND list_has_all(r.s, q.s) AND q.confidence >= r.confidence)),
+hit AS (SELECT t.page_id, max(k.confidence) AS confidence FROM t JOIN kept k ON list_has_all(t.toks, k.s) GROUP BY t.page_id),
+st AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) v(action, rh, rp)),
+fit AS (SELECT t.page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action FROM t JOIN st ON (t.host = rh OR ends_with(t.host, '.' || rh)) AND starts_with(t.path, rp) GROUP BY t.page_id)
+SELECT t.page_id, t.host, t.path, fit.rule, coalesce(fit.action, CASE WHEN hit.confidence IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, hit.confidence
+FROM t LEFT JOIN hit USING (page_id) LEFT JOIN fit USING (page_id)
+"""
+
+op7_jaccard_join = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS g
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, comp) AS (SELECT x, x FROM e UNION SELECT e.y, r.comp FROM r JOIN e ON e.x = r.doc_id WHERE r.comp < e.y),
+m AS (SELECT doc_id, min(comp) AS comp FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.comp, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
