@@ -159,3 +159,53 @@ m AS (SELECT doc_id, min(comp) AS comp FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.comp, d.doc_id)) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 """
+
+
+def _license_sql() -> str:
+    from lodestone.llm.license import TEMPLATES, WIDTHS
+
+    term = r"'[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*'"
+    rows = ", ".join("({}, '{}', '{}')".format(i, k, t.replace("'", "''")) for i, (k, t) in enumerate(TEMPLATES))
+    return f"""
+WITH d AS (SELECT doc_id, '/' || source || '/' || lang || '/' || doc_id AS path, '/' || source || '/' || lang AS folder, text FROM documents),
+tpl AS (SELECT * FROM (VALUES {rows}) v(i, lic, txt)),
+tt AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(regexp_extract_all(lower(txt), {term})) AS term FROM tpl) GROUP BY ALL),
+held AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), {term}))) AS term FROM d),
+n AS (SELECT count(text) AS n FROM d),
+idf AS (
+  SELECT v.term, ln((1 + (SELECT n FROM n)) / (1 + count(h.doc_id))::DOUBLE) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN held h ON h.term = v.term GROUP BY v.term),
+raw AS (SELECT i, term, tf * idf AS x FROM tt JOIN idf USING (term)),
+tw AS (SELECT i, term, x / sqrt(sum(x * x) OVER (PARTITION BY i)) AS w FROM raw),
+marks AS (
+  SELECT list(DISTINCT term) AS m FROM (
+    SELECT term, 1 - coalesce(sum(w * w) OVER (PARTITION BY i ORDER BY w DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM tw)
+  WHERE rest >= 0.75 * 0.75 - 1e-9),
+txt AS (SELECT DISTINCT text, string_split(text, chr(10)) AS l FROM d WHERE text IS NOT NULL),
+ln AS (SELECT text, l, len(l) AS k, unnest(range(len(l))) AS no FROM txt),
+beg AS (SELECT text, l, k, no FROM ln, marks WHERE list_has_any(regexp_extract_all(lower(l[no + 1]), {term}), m)),
+span AS (
+  SELECT text, l, no, w FROM (SELECT *, unnest({list(WIDTHS)}) AS w FROM beg) WHERE w = 1 OR no + w <= k
+  UNION SELECT text, l, 0, k FROM beg),
+seg AS (SELECT text, no, w, regexp_extract_all(lower(array_to_string(l[no + 1 : no + w], chr(10))), {term}) AS t FROM span),
+bag AS (SELECT text, no, w, len(t) AS size, term, count(*) AS tf FROM (SELECT text, no, w, t, unnest(t) AS term FROM seg) GROUP BY ALL),
+wt AS (SELECT b.*, tf * coalesce(idf.idf, ln(1 + (SELECT n FROM n)::DOUBLE) + 1) AS x FROM bag b LEFT JOIN idf ON idf.term = b.term),
+nrm AS (SELECT text, no, w, sqrt(sum(x * x)) AS norm FROM wt GROUP BY ALL),
+dot AS (SELECT wt.text, wt.no, wt.w, wt.size, tw.i, sum(wt.x * tw.w) AS dot FROM wt JOIN tw ON tw.term = wt.term GROUP BY ALL),
+found AS (
+  SELECT dot.*, round(dot / norm, 6) AS score FROM dot JOIN nrm ON nrm.text = dot.text AND nrm.no = dot.no AND nrm.w = dot.w
+  WHERE round(dot / norm, 6) >= 0.75),
+top AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, no, w, i) AS r, max(size) OVER (PARTITION BY text) AS most FROM found),
+own AS (
+  SELECT top.text, tpl.lic, score, no, most / len(regexp_extract_all(lower(top.text), {term}))::DOUBLE AS share FROM top JOIN tpl USING (i) WHERE r = 1),
+f AS (SELECT d.*, own.lic, own.score, own.no, coalesce(own.share >= 0.5, false) AS is_file FROM d LEFT JOIN own ON own.text = d.text),
+h AS (SELECT folder, string_agg(DISTINCT lic, ' AND ' ORDER BY lic) AS lic FROM f WHERE is_file GROUP BY folder),
+near AS (
+  SELECT g.folder, arg_max(h.folder, length(h.folder)) AS up, arg_max(h.lic, length(h.folder)) AS lic
+  FROM (SELECT DISTINCT folder FROM f) g JOIN h ON starts_with(g.folder || '/', h.folder || '/') GROUP BY g.folder)
+SELECT f.doc_id, f.path, f.lic AS own_licence, f.score, f.no::INTEGER AS line, f.is_file AS is_licence_file, near.up AS inherited_from, coalesce(f.lic, near.lic) AS licence
+FROM f LEFT JOIN near ON near.folder = f.folder
+"""
+
+
+op1_license_scan = _license_sql()
