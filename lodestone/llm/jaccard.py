@@ -8,7 +8,7 @@ paired under length and position filters, and pairs are expanded to members and
 their whole sets.
 
 Frequencies are counted over all representatives. To keep that count small only the tokens of
-large sets in the lowest 1/REGION of the hash range are counted; their order has the counted
+large sets in the lowest part of the hash range are counted, REGION times what a prefix takes; their order has the counted
 tokens of at most COMMON documents first, by frequency, then the other uncounted ones, then the
 counted common ones, which no prefix reaches. Sets with too few rare counted tokens for their
 prefix, mostly near copies, need the order of uncounted tokens: it goes by their frequency among
@@ -45,7 +45,7 @@ from lodestone.runtime import BLOOM_JOINS, Scratch, release_memory, settings, sh
 
 SHINGLE = 3
 PERCENT = 90
-REGION = 5
+REGION = 1.75
 SMALL = 128
 COMMON = 8
 SETS_A_FILE = 40_000
@@ -160,6 +160,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def region_limit(percent: int) -> np.uint64:
+    """Hashes below this are counted."""
+    return _U(min(2**64 - 1, int(REGION * (100 - percent) / 100 * 2**64)))
+
+
 def shown_tokens(s: np.ndarray, percent: int) -> tuple[np.ndarray | None, np.ndarray | None]:
     """(all tokens in the order of small sets, counted tokens in that of large sets).
 
@@ -167,7 +172,7 @@ def shown_tokens(s: np.ndarray, percent: int) -> tuple[np.ndarray | None, np.nda
     """
     n = len(s)
     small = np.sort(_mix(s ^ _U(BASE))) if n and n * percent <= SMALL * 100 + percent else None
-    return small, s[: int(np.searchsorted(s, _U(2**64 // REGION)))] if n >= SMALL else None
+    return small, s[: int(np.searchsorted(s, region_limit(percent)))] if n >= SMALL else None
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -216,7 +221,7 @@ def _digests(n_words: int):
     return run
 
 
-def _set_rows(n_words: int, uncounted: bool = False):
+def _set_rows(n_words: int, percent: int, uncounted: bool = False):
     """(rid, text) -> (rid, s): the whole set as bytes, or its uncounted tokens as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +230,7 @@ def _set_rows(n_words: int, uncounted: bool = False):
             for part in _steps(pc.cast(b["text"], pa.binary())):
                 sets = shingle_sets(part, n_words)
                 if uncounted:
-                    kind, sets = pa.list_(pa.int64()), [s[int(np.searchsorted(s, _U(2**64 // REGION))) :].view(np.int64) for s in sets]
+                    kind, sets = pa.list_(pa.int64()), [s[int(np.searchsorted(s, region_limit(percent))) :].view(np.int64) for s in sets]
                 else:
                     kind, sets = pa.binary(), [s.tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([b["rid"].slice(at, len(part)), pa.array(sets, kind)], names=["rid", "s"])
@@ -282,8 +287,8 @@ class JaccardJoin:
         )
         return g.withColumn("t", F.transform("t", lambda x: x["tok"]))
 
-    def postings(self, reps: DataFrame, rows: DataFrame) -> DataFrame:
-        """Prefix tokens that more than one set shows: (tok, rid, gid, n, pos, rare).
+    def postings(self, reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Prefix tokens that more than one set shows: (tok, rid, gid, n, pos, rare); (dig, rid); docs with _jac.
 
         An entry is a set in one order: eid is 2 rid, plus 1 in the order of large sets.
         rare is the share of its ranked tokens that it has alone.
@@ -300,8 +305,13 @@ class JaccardJoin:
         per = per.withColumn("counted", F.col("low") - F.coalesce("common", F.lit(0))).withColumn("alone", F.col("counted") - F.size("t"))
         # Places alone .. counted - 1 are those of t.
         per = self.scratch.keep(per.where("alone < len").drop("common"), "ranked", self.files)
+        names = self.scratch.keep(reps.select("dig", "rid"), "names", self.files)
+        self.scratch.drop("reps")
+        self.scratch.release()
+        rows = self.scratch.keep(self.digests(self.docs), "rows")
         late = per.where("counted < len")
-        rest = self.read_again(late.select("rid").distinct(), reps, rows, uncounted=True)
+        rest = self.read_again(late.select("rid").distinct(), names, rows, uncounted=True)
+        self.scratch.release()
         rest = self.scratch.keep(rest.select((F.col("rid") * 2 + 1).alias("eid"), F.col("s").alias("toks")), "rest", self.files)
         more = self.ranked(rest.select("eid", F.explode("toks").alias("tok"))).select("eid", F.col("t").alias("more"))
         more = rest.select("eid", F.size("toks").alias("all")).join(more, "eid", "left").select("eid", F.coalesce("more", none).alias("more"), (F.col("all") - F.size(F.coalesce("more", none))).alias("single"))
@@ -317,8 +327,9 @@ class JaccardJoin:
         at = self.scratch.keep(at.select("x.tok", "rid", "gid", "n", "x.pos", "rare"), "prefixes", self.files)
         met = at.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
         post = self.scratch.keep(at.join(met, "tok"), "postings", self.files)
-        self.scratch.drop("prefixes", "ranked", "rest")
-        return post
+        self.scratch.drop("prefixes", "ranked", "rest", "again-rest")
+        self.scratch.release()
+        return post, names, rows
 
     def read_again(self, rids: DataFrame, reps: DataFrame, rows: DataFrame, uncounted: bool = False) -> DataFrame:
         """(rid, s) of some representatives, from their texts; only those texts are shuffled."""
@@ -329,7 +340,7 @@ class JaccardJoin:
         # The planner makes a Bloom filter only of a side that has a filter of its own.
         with settings(self.spark, BLOOM_JOINS):
             texts = texts.join(wanted.where("rid >= 0"), "dig").groupBy("rid").agg(F.first("text").alias("text"))
-            return self.scratch.keep(texts.mapInArrow(_set_rows(self.n_words, uncounted), kind), name)
+            return self.scratch.keep(texts.mapInArrow(_set_rows(self.n_words, self.percent, uncounted), kind), name)
 
     def passes(self, a: str, b: str):
         """Length and position filters of a pair of posting rows."""
@@ -348,10 +359,8 @@ class JaccardJoin:
     def components(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(node, comp) of all linked representatives, comp being one of their rids; (dig, rid); docs with _jac."""
         reps = self.representatives()
-        rows = self.scratch.keep(self.digests(self.docs), "rows")
-        names = self.scratch.keep(reps.select("dig", "rid"), "names", self.files)
-        post = self.postings(reps, rows)
-        self.scratch.drop("reps")
+        self.scratch.release()
+        post, names, rows = self.postings(reps)
         sets = self.read_again(post.select("rid").distinct(), names, rows)
         # Round 1: the members of a group with its first, and each token's groups with its hub.
         heads = post.groupBy("gid").agg(F.min("rid").alias("a"))
@@ -363,6 +372,7 @@ class JaccardJoin:
         inside = inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         seen = self.verified(inside.unionByName(stars).distinct(), sets, "pairs1")
         one = seen.where("ok").drop("ok")
+        self.scratch.release()
         comp = connected_components(one, self.scratch, "cc1")
         # Round 2: what the first left in different components, by group and component.
         unit = post.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
