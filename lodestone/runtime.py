@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,12 +50,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
-    """Tables written under the shared folder to cut lineage; each has its own path."""
+    """Tables written under the shared folder to cut lineage; each has its own path.
+
+    They stay while the driver runs, as results may still read them, and go when it ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._clear)
+
+    def _clear(self) -> None:
+        with suppress(Exception):  # the session may be gone; what is left is only space
+            if self.spark.sparkContext._jsc is not None:
+                _delete(self.spark, self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -71,11 +86,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            _delete(self.spark, self.path(name))
 
 
 def release_memory() -> None:
