@@ -25,15 +25,18 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import Scratch, release_memory, ship_package
+from lodestone.runtime import release_memory, ship_package
 
 CHUNK_CHARS = 65_536
 OVERLAP = 512
+STEP_BYTES = 1_000_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -114,40 +117,54 @@ def _encode_pieces(codec: Codec):
     return run
 
 
+def _steps(b: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about STEP_BYTES of text each, or one longer text."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(b[text_col]).fill_null(0).to_pylist()):
+        size += n
+        if size >= STEP_BYTES:
+            yield b.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < b.num_rows:
+        yield b.slice(start)
+
+
 def _encode_rows(codec: Codec, text_col: str, with_ids: bool):
     """Rows with their results."""
 
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        rest = [n for n in b.schema.names if n != text_col or with_ids]
+        n, ids, raw, all_ids = [], [], [], []
+        for t in b[text_col]:
+            got = codec.encode(t.as_py() or "")
+            n.append(len(got))
+            ids.append(hashlib.sha256(codec.joined(got)).hexdigest())
+            raw.append(hashlib.sha256(codec.decode(got)).hexdigest())
+            if with_ids:
+                all_ids.append(np.array(got, np.int32))
+        cols = [*(b[c] for c in rest), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
+        names = [*rest, "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rest = [n for n in b.schema.names if n != text_col or with_ids]
-            n, ids, raw, all_ids = [], [], [], []
-            for t in b[text_col]:
-                got = codec.encode(t.as_py() or "")
-                n.append(len(got))
-                ids.append(hashlib.sha256(codec.joined(got)).hexdigest())
-                raw.append(hashlib.sha256(codec.decode(got)).hexdigest())
-                if with_ids:
-                    all_ids.append(got)
-            cols = [*(b[c] for c in rest), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
-            names = [*rest, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            for part in _steps(b, text_col):
+                yield one(part)
         release_memory()
 
     return run
 
 
 def _long_texts(docs: DataFrame, text_col: str, codec: Codec, chunk: int, overlap: int) -> DataFrame:
-    """(key, ids, raw, n) of every distinct text longer than chunk."""
-    scratch = Scratch(docs.sparkSession, "bpe")
+    """(key, ids, raw, n) of every distinct text longer than chunk. One plan: the exchange of the long texts is reused."""
     long = (
         docs.where(F.char_length(text_col) > chunk)
         .select(F.unhex(F.sha2(text_col, 256)).alias("key"), F.col(text_col).alias("text"))
         .dropDuplicates(["key"])
     )
-    long = scratch.keep(long, "long")
     size = F.char_length("text")
     nos = long.withColumn("no", F.explode(F.sequence(F.lit(0), ((size - 1) / chunk).cast("int"))))
     chunks = nos.select("key", "no", F.substring("text", F.col("no") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
