@@ -35,6 +35,7 @@ SIMILAR = 0.7
 MIN_DOCS = 5
 MIN_TOKENS = 3
 BROADCAST_ROWS = 100_000
+LINES_A_FILE = 100_000
 FIELD = "<*>"
 
 
@@ -71,6 +72,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_doc
         leaves = F.broadcast(leaves)
     some = lines.join(leaves, "leaf").withColumn("line", masked(F.col("line")))
     some = scratch.keep(some.withColumn("own", F.xxhash64("line")), "lines")
+    files = 8 + some.count() // LINES_A_FILE
     kinds = some.groupBy("leaf", "own").agg(F.split(F.first("line"), " ").alias("toks"), F.first("n").alias("n"))
     votes = kinds.select("leaf", "n", F.posexplode("toks").alias("at", "tok")).groupBy("leaf", "n", "at", "tok").count()
     top = votes.groupBy("leaf", "n", "at").agg(F.sum("count").alias("all"), F.max(F.struct("count", "tok")).alias("top"))
@@ -83,15 +85,17 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_doc
     named = kinds.join(fixed, "leaf", "left").select(
         "leaf", "own", F.when(F.coalesce(fits, F.lit(False)), F.lit(0).cast("long")).otherwise(F.col("own")).alias("template")
     )
-    named = scratch.keep(named, "templates")
+    named = scratch.keep(named, "templates", files)
     found = some.select("leaf", "own", "doc", "no").join(named, ["leaf", "own"])
     per_doc = found.groupBy("leaf", "template", "doc").agg(F.collect_set("no").alias("nos"))
-    per_doc = scratch.keep(per_doc, "found")
+    per_doc = scratch.keep(per_doc, "found", files)
     again = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
-    again = again.where(F.col("docs") >= min_docs).select("leaf", "template", "first")
+    again = scratch.keep(again.where(F.col("docs") >= min_docs).select("leaf", "template", "first"), "again", files=32)
+    if again.count() <= BROADCAST_ROWS:  # else a template with very many documents leaves its rows to skew handling
+        again = F.broadcast(again)
     gone = per_doc.join(again, ["leaf", "template"]).where(F.col("doc") != F.col("first"))
-    gone = scratch.keep(gone.groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("nos"))).alias("gone")), "gone")
-    scratch.drop("lines", "templates", "found")
+    gone = scratch.keep(gone.groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("nos"))).alias("gone")), "gone", files)
+    scratch.drop("lines", "templates", "found", "again")
     return gone
 
 
