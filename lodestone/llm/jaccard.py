@@ -49,6 +49,7 @@ REGION = 1.75
 SMALL = 128
 COMMON = 8
 SETS_A_FILE = 40_000
+HELD = 512  # longer prefixes may make a pair at several tokens; it is still verified once
 STEP_BYTES = 500_000
 #: Batches of texts to the workers are kept small, as every text's tokens stand beside it.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
@@ -288,7 +289,7 @@ class JaccardJoin:
         return g.withColumn("t", F.transform("t", lambda x: x["tok"]))
 
     def postings(self, reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Prefix tokens that more than one set shows: (tok, rid, gid, n, pos, rare); (dig, rid); docs with _jac.
+        """Prefix tokens that more than one set shows: (tok, rid, gid, n, ord, pos, rare); (dig, rid); docs with _jac.
 
         An entry is a set in one order: eid is 2 rid, plus 1 in the order of large sets.
         rare is the share of its ranked tokens that it has alone.
@@ -323,8 +324,8 @@ class JaccardJoin:
         gid = F.when(alone == 0, F.xxhash64("n", F.concat(t, m))).otherwise(F.xxhash64("rid", F.lit("alone")))
         first = F.transform(t, lambda x, i: F.struct(x.alias("tok"), (F.col("alone") + i).cast("long").alias("pos")))
         then = F.transform(m, lambda x, i: F.struct(x.alias("tok"), (F.col("counted") + F.col("single") + i).cast("long").alias("pos")))
-        at = per.select("rid", "n", gid.alias("gid"), (alone / F.col("n")).alias("rare"), F.explode(F.concat(first, then)).alias("x"))
-        at = self.scratch.keep(at.select("x.tok", "rid", "gid", "n", "x.pos", "rare"), "prefixes", self.files)
+        at = per.select("rid", "n", gid.alias("gid"), (F.col("eid") % 2).alias("ord"), (alone / F.col("n")).alias("rare"), F.explode(F.concat(first, then)).alias("x"))
+        at = self.scratch.keep(at.select("x.tok", "rid", "gid", "n", "ord", "x.pos", "rare"), "prefixes", self.files)
         met = at.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
         post = self.scratch.keep(at.join(met, "tok"), "postings", self.files)
         self.scratch.drop("prefixes", "ranked", "rest", "again-rest")
@@ -379,9 +380,15 @@ class JaccardJoin:
         unit = self.scratch.keep(unit.drop("rare"), "units", self.files)
         most = unit.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
         most = most.groupBy("tok").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("k"))
-        groups = unit.join(most.where("k > 1"), "tok").groupBy("tok", "gid", "comp", "n", "pos", "main").agg(F.min("rid").alias("any"))
+        groups = unit.join(most.where("k > 1"), "tok").groupBy("tok", "gid", "comp", "n", "ord", "pos", "main").agg(F.min("rid").alias("any"))
+        # A pair is made at the first token that both prefixes share, by what each holds before it.
+        held = unit.groupBy("gid").agg(F.array_sort(F.collect_set(F.struct("ord", "pos", "tok"))).alias("held"))
+        held = held.where(F.size("held") <= HELD)
+        groups = groups.join(held, "gid", "left")
+        before = F.filter("held", lambda x: (x["ord"] < F.col("ord")) | ((x["ord"] == F.col("ord")) & (x["pos"] < F.col("pos"))))
+        groups = groups.withColumn("before", F.coalesce(F.transform(before, lambda x: x["tok"]), F.array().cast("array<bigint>"))).drop("held")
         few = groups.where("comp <> main")
-        apart = (F.col("x.comp") != F.col("y.comp")) & self.passes("x", "y")
+        apart = (F.col("x.comp") != F.col("y.comp")) & self.passes("x", "y") & ~F.arrays_overlap("x.before", "y.before")
         pairs = few.alias("x").join(groups.alias("y"), "tok").where(apart)
         pairs = pairs.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("gid", "comp"))).distinct()
         members = unit.select("gid", "comp", "rid").distinct()
