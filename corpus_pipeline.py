@@ -39,13 +39,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays.
 
-    Documents without words link with nothing and all stay.
+    Documents without words link with nothing and all stay. Components are told apart by their sets,
+    so unlinked documents with a null id or with one and the same id all stay.
     """
     out = jaccard.jaccard_components(docs, n_words=NEAR_WORDS, percent=NEAR_PERCENT)
     first = (F.col("_jac_n") == 0) | F.col("doc_id").eqNullSafe(F.col("_jac_component"))
     out = out.where(first)
-    # Rows that repeat the smallest id of a component are copies of one another in part: one stays.
-    order = W.partitionBy("_jac_component", "_jac_alone").orderBy(F.xxhash64("text"))
+    # Ids may be null or repeated, so one row stays per component of sets, not per id.
+    order = W.partitionBy("_jac_comp", "_jac_alone").orderBy(F.xxhash64("text"))
     alone = F.when(F.col("_jac_n") == 0, F.monotonically_increasing_id())
     out = out.withColumn("_jac_alone", alone).withColumn("_jac_at", F.row_number().over(order))
     return out.where("_jac_at = 1").select(docs.columns)

@@ -405,21 +405,25 @@ class JaccardJoin:
 def jaccard_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """docs with _jac_n (size of the set) and _jac_component (smallest id reachable by links)."""
+    """docs with _jac_n (size of the set), _jac_component (smallest id reachable by links) and _jac_comp.
+
+    _jac_comp names the component by its sets and not by ids, which may be null or repeated; it
+    is null for an empty set.
+    """
     with settings(docs.sparkSession, BATCHES):
         rows, ids = _components(docs, id_col, text_col, n_words, percent)
     out = rows.join(ids, "_jac_dig", "left")
-    return out.withColumn("_jac_component", F.coalesce("_jac_least", F.col(id_col))).select(*docs.columns, "_jac_n", "_jac_component")
+    return out.withColumn("_jac_component", F.coalesce("_jac_least", F.col(id_col))).select(*docs.columns, "_jac_n", "_jac_component", "_jac_comp")
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """docs with _jac_n and _jac_dig; the smallest id reachable from each digest."""
+    """docs with _jac_n and _jac_dig; the smallest id reachable from each digest and its component's key."""
     j = JaccardJoin(docs, text_col, n_words, percent)
     comp, names, rows = j.components()
     named = names.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select(F.col("dig").alias("_jac_dig"), F.coalesce("comp", "rid").alias("_jac_comp"))
     named = j.scratch.keep(named, "named", j.files)
     rows = rows.select(*docs.columns, F.col("_jac.n").alias("_jac_n"), F.col("_jac.dig").alias("_jac_dig"))
     least = rows.select(id_col, "_jac_dig").join(named, "_jac_dig").groupBy("_jac_comp").agg(F.min(id_col).alias("_jac_least"))
-    ids = j.scratch.keep(named.join(least, "_jac_comp").select("_jac_dig", "_jac_least"), "least", j.files)
+    ids = j.scratch.keep(named.join(least, "_jac_comp").select("_jac_dig", "_jac_least", "_jac_comp"), "least", j.files)
     j.scratch.drop("named", "names")
     return rows, ids

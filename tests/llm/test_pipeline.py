@@ -88,3 +88,14 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
     assert sorted(r["doc_id"] for r in twice.collect()) == sorted(r["doc_id"] for r in once.collect())
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Rows that share an id, or have none, but no words, all stay; of near copies one stays."""
+    schema = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    texts = [(None, prose(0)), (None, prose(1)), (None, prose(2)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (7, prose(5)), (9, prose(5)), (3, prose(6)), (None, prose(6)), (3, prose(7)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in texts], schema)
+    got = [(r["doc_id"], r["text"]) for r in P.one_of_near_copies(spark, docs, str(tmp_path)).collect()]
+    want = [(None, prose(0)), (None, prose(1)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (7, prose(5)), (3, prose(6)), (3, prose(7)), (None, None), (None, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
