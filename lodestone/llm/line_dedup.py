@@ -6,11 +6,13 @@ leaf that enough documents reach, positions whose tokens vary over the leaf's di
 are generalised too: where one token holds at least SHARE of them, it is constant. If enough
 positions are constant, at least the path and one more and SIMILAR of all, the constants are
 the leaf's template and all lines that have them are its instances; other lines are templates
-of their own. Templates that occur in at least min_docs documents recur: their lines are
-dropped from all documents but the one whose text has the smallest MD5, so no wording is lost.
+of their own. Templates that occur in enough documents recur: their lines are dropped from all
+documents but the one whose text has the smallest MD5. Enough is min_docs, but LONG_DOCS from
+LONG_TOKENS tokens on, as a long passage is no chance meeting, and SHORT_DOCS under MIN_TOKENS
+tokens, where many documents must share the very line; there a line needs a letter.
 
 Documents with equal texts count as one document and get the same lines dropped; finding
-copies is another operator's job. Lines under MIN_TOKENS tokens are never dropped.
+copies is another operator's job.
 
 All lines are shuffled as hashes only; texts move for lines in leaves that recur, and once
 for the documents that lose lines. Leaf tables are broadcast up to BROADCAST_ROWS rows, else
@@ -34,6 +36,8 @@ SHARE = 0.6
 SIMILAR = 0.7
 MIN_DOCS = 5
 MIN_TOKENS = 3
+LONG_TOKENS, LONG_DOCS = 20, 2
+SHORT_DOCS = 100
 BROADCAST_ROWS = 100_000
 LINES_A_FILE = 100_000
 FIELD = "<*>"
@@ -54,11 +58,16 @@ def masked(line: Column) -> Column:
     return F.when(field(line), F.array_join(fields, " ")).otherwise(line)
 
 
+def enough_docs(n: Column, min_docs: int) -> Column:
+    """In how many documents a template of n tokens recurs."""
+    return F.when(n < MIN_TOKENS, max(min_docs, SHORT_DOCS)).when(n >= LONG_TOKENS, min(min_docs, LONG_DOCS)).otherwise(min_docs)
+
+
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     """(doc, no, line, n, leaf) of every line that may recur; doc is the text's MD5, line is spaced."""
     t = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(text_col)).alias("doc"), F.split(text_col, "\n").alias("l"))
     t = t.select("doc", F.posexplode("l").alias("no", "line")).withColumn("line", spaced(F.col("line")))
-    t = t.withColumn("n", F.size(F.split("line", " "))).where(F.col("n") >= MIN_TOKENS)
+    t = t.withColumn("n", F.size(F.split("line", " "))).where((F.col("n") >= MIN_TOKENS) | F.col("line").rlike(r"\p{L}"))
     # The path takes the leading tokens alone, so whole lines are masked later, where they matter.
     return t.withColumn("leaf", F.xxhash64("n", masked(F.substring_index("line", " ", DEPTH))))
 
@@ -66,7 +75,8 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
 def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_docs: int) -> DataFrame:
     """(doc, gone): of each distinct text that loses lines their sorted numbers."""
     lines = _lines(docs, text_col)
-    leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    enough = enough_docs(F.col("n"), min_docs)
+    leaves = lines.select("leaf", "n", "doc").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= enough)
     leaves = scratch.keep(leaves.select("leaf"), "leaves", files=32)
     if leaves.count() <= BROADCAST_ROWS:
         leaves = F.broadcast(leaves)
@@ -79,18 +89,18 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_doc
     fixed = top.where(F.col("top.count") >= SHARE * F.col("all")).groupBy("leaf", "n").agg(
         F.array_sort(F.collect_list(F.struct("at", F.col("top.tok").alias("tok")))).alias("fixed"), F.max("all").alias("kinds")
     )
-    enough = F.size("fixed") >= F.greatest(F.lit(DEPTH + 1), F.ceil(F.col("n") * SIMILAR))
-    fixed = fixed.where(enough & (F.col("kinds") > 1)).select("leaf", "fixed")
+    alike = F.size("fixed") >= F.greatest(F.lit(DEPTH + 1), F.ceil(F.col("n") * SIMILAR))
+    fixed = fixed.where(alike & (F.col("kinds") > 1)).select("leaf", "fixed")
     fits = F.forall("fixed", lambda x: F.col("toks")[x["at"]] == x["tok"])
     named = kinds.join(fixed, "leaf", "left").select(
-        "leaf", "own", F.when(F.coalesce(fits, F.lit(False)), F.lit(0).cast("long")).otherwise(F.col("own")).alias("template")
+        "leaf", "own", "n", F.when(F.coalesce(fits, F.lit(False)), F.lit(0).cast("long")).otherwise(F.col("own")).alias("template")
     )
     named = scratch.keep(named, "templates", files)
     found = some.select("leaf", "own", "doc", "no").join(named, ["leaf", "own"])
-    per_doc = found.groupBy("leaf", "template", "doc").agg(F.collect_set("no").alias("nos"))
+    per_doc = found.groupBy("leaf", "template", "n", "doc").agg(F.collect_set("no").alias("nos"))
     per_doc = scratch.keep(per_doc, "found", files)
-    again = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
-    again = scratch.keep(again.where(F.col("docs") >= min_docs).select("leaf", "template", "first"), "again", files=32)
+    again = per_doc.groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
+    again = scratch.keep(again.where(F.col("docs") >= enough).select("leaf", "template", "first"), "again", files=32)
     if again.count() <= BROADCAST_ROWS:  # else a template with very many documents leaves its rows to skew handling
         again = F.broadcast(again)
     gone = per_doc.join(again, ["leaf", "template"]).where(F.col("doc") != F.col("first"))

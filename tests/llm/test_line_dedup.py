@@ -67,3 +67,18 @@ def test_shuffled_leaves(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert L.drop_recurring_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def _dropped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["_line_gone"] for r in L.drop_recurring_lines(df).collect()}
+
+
+def test_long_passages_and_very_frequent_short_lines(spark):
+    """A passage of 55 words recurs from 2 documents on, a line of 2 words in very many, one without letters never."""
+    passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
+    short = " ".join(passage.split()[:10])
+    texts = [f"Own words {'q' * (i + 1)}\nRead more\n--\n" + ("Seldom seen" if i < 50 else "") + (f"\n{passage}\n{short}" if i < 3 else "") for i in range(L.SHORT_DOCS)]
+    got = _dropped(spark, texts)
+    gone = Counter(no for nos in got.values() for no in nos)
+    assert gone == {1: L.SHORT_DOCS - 1, 4: 2}
