@@ -1,6 +1,8 @@
 """Line deduplication by a log-template tree [native].
 
-Method: a line's tokens that hold a digit, an at sign or a scheme are variable fields. Lines
+Method: a line's tokens that hold a digit, an at sign or a scheme are variable fields, if words
+enough are left beside them: DEPTH, and SIMILAR of all tokens; else the line, such as a row of a
+table or a list of links, is compared as it is. Lines
 fall through a tree of fixed depth: token count first, then the DEPTH leading tokens. In each
 leaf that enough documents reach, positions whose tokens vary over the leaf's distinct lines
 are generalised too: where one token holds at least SHARE of them, it is constant. If enough
@@ -53,9 +55,18 @@ def spaced(line: Column) -> Column:
 
 def masked(line: Column) -> Column:
     """A spaced line with variable fields as <*>."""
-    field = lambda x: x.rlike("[0-9@]") | x.contains("://")
-    fields = F.transform(F.split(line, " "), lambda x: F.when(field(x), FIELD).otherwise(x))
-    return F.when(field(line), F.array_join(fields, " ")).otherwise(line)
+    fields = F.transform(F.split(line, " "), lambda x: F.when(_field(x), FIELD).otherwise(x))
+    return F.when(_field(line), F.array_join(fields, " ")).otherwise(line)
+
+
+def _field(x: Column) -> Column:
+    return x.rlike("[0-9@]") | x.contains("://")
+
+
+def generalised(line: Column, n: Column) -> Column:
+    """A spaced line of n tokens, masked if it has words enough outside its variable fields."""
+    words = F.size(F.filter(F.split(line, " "), lambda x: x.rlike(r"\p{L}") & ~_field(x)))
+    return F.when(_field(line) & (words >= F.greatest(F.lit(DEPTH), F.ceil(n * SIMILAR))), masked(line)).otherwise(line)
 
 
 def enough_docs(n: Column, min_docs: int) -> Column:
@@ -80,7 +91,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_doc
     leaves = scratch.keep(leaves.select("leaf"), "leaves", files=32)
     if leaves.count() <= BROADCAST_ROWS:
         leaves = F.broadcast(leaves)
-    some = lines.join(leaves, "leaf").withColumn("line", masked(F.col("line")))
+    some = lines.join(leaves, "leaf").withColumn("line", generalised(F.col("line"), F.col("n")))
     some = scratch.keep(some.withColumn("own", F.xxhash64("line")), "lines")
     files = 8 + some.count() // LINES_A_FILE
     kinds = some.groupBy("leaf", "own").agg(F.split(F.first("line"), " ").alias("toks"), F.first("n").alias("n"))
@@ -89,7 +100,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_doc
     fixed = top.where(F.col("top.count") >= SHARE * F.col("all")).groupBy("leaf", "n").agg(
         F.array_sort(F.collect_list(F.struct("at", F.col("top.tok").alias("tok")))).alias("fixed"), F.max("all").alias("kinds")
     )
-    alike = F.size("fixed") >= F.greatest(F.lit(DEPTH + 1), F.ceil(F.col("n") * SIMILAR))
+    alike = F.size(F.filter("fixed", lambda x: x["tok"] != FIELD)) >= F.greatest(F.lit(DEPTH + 1), F.ceil(F.col("n") * SIMILAR))
     fixed = fixed.where(alike & (F.col("kinds") > 1)).select("leaf", "fixed")
     fits = F.forall("fixed", lambda x: F.col("toks")[x["at"]] == x["tok"])
     named = kinds.join(fixed, "leaf", "left").select(

@@ -82,3 +82,10 @@ def test_long_passages_and_very_frequent_short_lines(spark):
     got = _dropped(spark, texts)
     gone = Counter(no for nos in got.values() for no in nos)
     assert gone == {1: L.SHORT_DOCS - 1, 4: 2}
+
+
+def test_rows_of_values_stay(spark):
+    """Rows whose tokens are all or mostly values are told apart by them; equal ones and worded ones recur."""
+    texts = [f"12{i} 34{i} 56{i}\nhttp://a/{i} http://b/{i} http://c/{i} links\n1 2 3 4\nPosted at noon by user{i}" for i in range(8)]
+    gone = Counter(no for nos in _dropped(spark, texts).values() for no in nos)
+    assert gone == {2: 7, 3: 7}
