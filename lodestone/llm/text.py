@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,3 +29,23 @@ def word_count(text: Column) -> Column:
 def null_last_key(value: Column) -> Column:
     """A non-null string that orders by code point with null last."""
     return F.when(value.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), value.cast("string")))
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands in SQL, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(quoted(name))
+
+
+def without_reserved(df: DataFrame, prefix: str) -> DataFrame:
+    """df without the columns whose names an operator reserves for itself."""
+    return df.drop(*(c for c in df.columns if c.lower().startswith(prefix)))
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    """Every column of df."""
+    return [named(c) for c in df.columns]
