@@ -3,18 +3,21 @@
 A turn has a role and typed content parts. A visitor flattens the parts in order: texts are
 escaped and kept, image, audio and document parts become placeholders whose references and
 expanded token counts are recorded; the parts that a document holds follow its placeholder.
-The template marks turns by control strings, all of which start with `<|`; inside texts `\\`
-is written `\\\\` and `<|` is written `<\\|`, which no text can forge and which is reversible.
+The template marks turns by control strings, all of which start with `<|`. Inside texts `\\`
+is written `\\\\`, `<|` is written `<\\|`, and a `|` that begins a later part of a turn is
+written `\\|`, so that no text, nor two texts side by side, can forge one; this is reversible.
 
 A conversation is dealt by range over (conversation, turn), so that even one conversation with
 a third of all rows is formatted by many tasks. The output has a row per conversation and
 chunk of at most CHUNK turns: its text, the spans of the loss mask (code points from the
-chunk's start), the attachments. A conversation's text is its chunks' texts in order.
+chunk's start), the attachments. A conversation's text is its chunks' texts in order. The mask
+covers the texts of the trained role's turns, a span for each part, and no placeholder.
 
 Defined results: null text or parts are empty, null role is the empty role, a null
 conversation id is a conversation; rows that share a turn are ordered by role, then parts;
 repeated rows are kept; an unknown or null part kind is shown as a placeholder of its own
-name with 0 tokens; null sizes count 0 tokens; an empty table gives no rows.
+name with 0 tokens; null sizes count 0 tokens; an empty table gives no rows; extra columns
+are never read.
 """
 
 from __future__ import annotations
@@ -73,9 +76,13 @@ def _flat(parts: Column) -> Column:
     )
 
 
-def _shown(x: Column) -> Column:
+def _shown(x: Column, i: Column) -> Column:
+    """A part as it is written, and whether it is a text."""
     name = F.regexp_replace(F.coalesce(x["kind"], F.lit("none")), r"[^A-Za-z0-9_]", "_")
-    return F.when(x["kind"] == "text", escape(x["text"])).otherwise(F.concat(F.lit("<|at:"), name, F.lit("|>")))
+    text = escape(x["text"])
+    text = F.when((i > 0) & text.startswith("|"), F.concat(F.lit("\\"), text)).otherwise(text)
+    is_text = F.coalesce(x["kind"] == "text", F.lit(False))
+    return F.struct(F.when(is_text, text).otherwise(F.concat(F.lit("<|at:"), name, F.lit("|>"))).alias("s"), is_text.alias("on"))
 
 
 def format_chats(
@@ -98,31 +105,34 @@ def format_chats(
     )
     rows = rows.select(
         "conv", "turn", "role",
-        F.array_join(F.transform("flat", _shown), "").alias("body"),
+        F.transform("flat", _shown).alias("body"),
         F.filter(F.transform("flat", lambda x, i: F.struct(i.alias("ordinal"), x["kind"].alias("kind"), x["uri"].alias("uri"), x["tokens"].alias("tokens"))),
                  lambda x: ~x["kind"].eqNullSafe("text")).alias("files"),
     )
-    dealt = rows.repartitionByRange("conv", "turn", "role", "body").withColumn("piece", F.spark_partition_id())
-    some = dealt.groupBy("conv", "piece").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "body", "files"))).alias("all")
-    )
-    n = F.size("all")
-    some = some.select("conv", "piece", F.explode(F.sequence(F.lit(0), ((n - 1) / chunk).cast("int"))).alias("chunk"), "all")
-    some = some.select("conv", "piece", "chunk", F.slice("all", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("t"))
+    # Sorted within their range, turns are numbered where they are; each chunk is gathered by itself.
+    order = ["conv", "turn", "role", "body"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "files").withColumn("at", F.monotonically_increasing_id())
+    place = F.col("at").bitwiseAND((1 << 33) - 1)
+    dealt = dealt.withColumn("piece", F.shiftright("at", 33).cast("int")).withColumn("chunk", F.floor(place / chunk).cast("int"))
+    some = dealt.groupBy("conv", "piece", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "turn", "role", "body", "files"))).alias("t"))
     head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY))
-    some = some.withColumn("parts", F.transform("t", lambda t: F.struct(head(t).alias("head"), t["body"].alias("body"), (t["role"] == trained_role).alias("on"))))
+    on = lambda t, p: p["on"] & (t["role"] == trained_role)
+    mark = lambda s, k: F.struct(s.alias("s"), k.alias("on"))
+    said = lambda t: F.concat(
+        F.array(mark(head(t), F.lit(False))), F.transform(t["body"], lambda p: mark(p["s"], on(t, p))), F.array(mark(F.lit(END), F.lit(False)))
+    )
+    some = some.withColumn("parts", F.flatten(F.transform("t", said)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: bigint, length: bigint>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
-        at = acc["at"] + F.char_length(p["head"])
-        size = F.char_length(p["body"]).cast("long")
-        spans = F.when(p["on"], F.concat(acc["spans"], F.array(F.struct(at.alias("start"), size.alias("length"))))).otherwise(acc["spans"])
-        return F.struct((at + size + len(END)).alias("at"), spans.alias("spans"))
+        size = F.char_length(p["s"]).cast("long")
+        spans = F.when(p["on"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), size.alias("length"))))).otherwise(acc["spans"])
+        return F.struct((acc["at"] + size).alias("at"), spans.alias("spans"))
 
     return some.select(
         "conv", "piece", "chunk",
         F.size("t").cast("long").alias("n_turns"),
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("text"),
+        F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("text"),
         F.aggregate("parts", start, step, lambda a: a["spans"]).alias("loss_spans"),
         F.flatten(F.transform("t", lambda t: F.transform(t["files"], lambda f: F.struct(
             t["turn"].alias("turn"), f["ordinal"].alias("ordinal"), f["kind"].alias("kind"), f["uri"].alias("uri"), f["tokens"].alias("tokens"))))).alias("attachments"),
@@ -130,16 +140,23 @@ def format_chats(
 
 
 def read_back(chunks: DataFrame) -> DataFrame:
-    """Parse the formatted chunks: (conv, piece, chunk, turns[role, text], loss, chars).
+    """Parse the formatted chunks: (conv, piece, chunk, turns[role, text, parts], loss, chars).
 
-    loss is all text under the chunk's loss mask, unescaped and joined.
+    A turn's parts are its texts, unescaped, and placeholders (kind, text), in order; neighbouring
+    texts are one. text is its texts and placeholders joined; loss is all text under the chunk's
+    loss mask, unescaped and joined.
     """
     pieces = F.transform(
         F.filter(F.split("text", r"<\|end\|>"), lambda s: s != ""), lambda s: F.split(F.replace(s, F.lit(TURN), F.lit("")), r"<\|body\|>")
     )
+    # A placeholder is a control string, which no escaped text holds.
+    shown = lambda b: F.regexp_extract_all(b, F.lit(r"(?s)<\|at:\w*\|>|.+?(?=<\|at:|\z)"), F.lit(0))
+    part = lambda s: F.when(
+        s.startswith("<|at:"), F.struct(F.regexp_extract(s, r"^<\|at:(\w*)\|>$", 1).alias("kind"), F.lit(None).cast("string").alias("text"))
+    ).otherwise(F.struct(F.lit("text").alias("kind"), unescape(s).alias("text")))
     return chunks.select(
         "conv", "piece", "chunk",
-        F.transform(pieces, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text"))).alias("turns"),
+        F.transform(pieces, lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text"), F.transform(shown(p[1]), part).alias("parts"))).alias("turns"),
         F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("text"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "").alias("loss"),
         F.char_length("text").cast("long").alias("chars"),
     )
