@@ -1,8 +1,10 @@
+import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm.mixing import mix, mixed_rows
 
@@ -27,8 +29,10 @@ ROWS += [(3000, "", "nil"), (None, "one two", "big"), (None, "one two", "big"),
 
 
 def test_targets_and_budget(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string").repartition(5)
-    out = mix(docs, bits=4).collect()
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string").withColumn("a.b", F.lit(1)).withColumn("_mix_key", F.lit(2)).repartition(5)
+    out = mix(docs, bits=4)
+    assert out.columns[:4] == ["doc_id", "text", "source", "a.b"]
+    out = out.collect()
     assert len(out) == len(ROWS)
     sizes, taken, most = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in out:
@@ -61,3 +65,27 @@ def test_empty_and_wordless(spark):
     blank = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r["_mix_target"], r["_mix_copies"]) for r in mix(blank).collect()] == [(0.0, 0)] * 2
     assert math.isfinite(mix(blank).collect()[0]["_mix_target"])
+
+
+def test_texts_are_not_shuffled(spark):
+    """The plan's exchanges hold no text, whatever the mix returns."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    plan = mixed_rows(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_cut_as_a_running_sum(spark):
+    """The rows taken are those that a running sum over all keys takes, in every source."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    out = mix(docs, bits=6).collect()
+    md5 = lambda i: hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()
+    for source in {r["source"] for r in out}:
+        mine = [r for r in out if r["source"] == source]
+        whole, target = mine[0]["_mix_source_size"], mine[0]["_mix_target"]
+        epochs = int(target // whole) if whole else 0
+        rest, sofar = target - epochs * whole, 0
+        want, got = Counter(), Counter((str(r["doc_id"]), r["_mix_size"], r["_mix_copies"]) for r in mine)
+        for r in sorted(mine, key=lambda r: (md5(r["doc_id"]), r["_mix_size"])):
+            want[str(r["doc_id"]), r["_mix_size"], epochs + int(rest > 0 and 2 * sofar + r["_mix_size"] <= 2 * rest)] += 1
+            sofar += r["_mix_size"]
+        assert got == want
