@@ -3,11 +3,14 @@
 Method: a line's tokens that hold a digit, an at sign or a scheme are variable fields, if words
 enough are left beside them: DEPTH, and SIMILAR of all tokens; else the line, such as a row of a
 table or a list of links, is compared as it is. Lines
-fall through a tree of fixed depth: token count first, then the DEPTH leading tokens. In each
-leaf that enough documents reach, positions whose tokens vary over the leaf's distinct lines
-are generalised too: where one token holds at least SHARE of them, it is constant. If enough
+fall through a tree of fixed depth: token count first, then the DEPTH leading tokens, then, in
+leaves that enough documents reach, the branch token: of the tokens past the path that enough
+distinct lines of the leaf have at the same position, the one that the fewest have. So families
+of lines that begin alike, and ordinary lines among them, come to different branches, however
+many there are. In each branch positions whose tokens vary over its distinct lines are
+generalised too: where one token holds at least SHARE of them, it is constant. If enough
 positions are constant, at least the path and one more and SIMILAR of all, the constants are
-the leaf's template and all lines that have them are its instances; other lines are templates
+the branch's template and all lines that have them are its instances; other lines are templates
 of their own. Templates that occur in enough documents recur: their lines are dropped from all
 documents but the one whose text has the smallest MD5. Enough is min_docs, but LONG_DOCS from
 LONG_TOKENS tokens on, as a long passage is no chance meeting, and SHORT_DOCS under MIN_TOKENS
@@ -17,13 +20,13 @@ Documents with equal texts count as one document and get the same lines dropped;
 copies is another operator's job.
 
 All lines are shuffled as hashes only; texts move for lines in leaves that recur, and once
-for the documents that lose lines. Leaf tables are broadcast up to BROADCAST_ROWS rows, else
-joined by a shuffle.
+for the documents that lose lines: a bitmap of fixed size tells all but a few others, which stay
+where they are. Leaf tables are broadcast up to BROADCAST_ROWS rows, else joined by a shuffle.
 
 Defined results: null text stays null with 0 lines; an empty text is one empty line; lines
 end at line feeds; a document that loses all lines keeps an empty text; repeated rows are
-kept; an empty table gives no rows; extra columns pass through; names starting with _line_
-are reserved.
+kept; an empty table gives no rows; extra columns pass through, but for those whose name
+starts with _line_, which are dropped.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.text import named, without_reserved
 from lodestone.runtime import Scratch
 
 DEPTH = 3
@@ -43,6 +47,7 @@ SHORT_DOCS = 100
 BROADCAST_ROWS = 100_000
 LINES_A_FILE = 100_000
 FIELD = "<*>"
+WORDS = 1 << 18  # of 64 bits each, in the bitmap of documents that lose lines
 
 
 def spaced(line: Column) -> Column:
@@ -76,7 +81,7 @@ def enough_docs(n: Column, min_docs: int) -> Column:
 
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     """(doc, no, line, n, leaf) of every line that may recur; doc is the text's MD5, line is spaced."""
-    t = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(text_col)).alias("doc"), F.split(text_col, "\n").alias("l"))
+    t = docs.where(named(text_col).isNotNull()).select(F.unhex(F.md5(named(text_col))).alias("doc"), F.split(named(text_col), "\n").alias("l"))
     t = t.select("doc", F.posexplode("l").alias("no", "line")).withColumn("line", spaced(F.col("line")))
     t = t.withColumn("n", F.size(F.split("line", " "))).where((F.col("n") >= MIN_TOKENS) | F.col("line").rlike(r"\p{L}"))
     # The path takes the leading tokens alone, so whole lines are masked later, where they matter.
@@ -95,19 +100,25 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_doc
     some = scratch.keep(some.withColumn("own", F.xxhash64("line")), "lines")
     files = 8 + some.count() // LINES_A_FILE
     kinds = some.groupBy("leaf", "own").agg(F.split(F.first("line"), " ").alias("toks"), F.first("n").alias("n"))
-    votes = kinds.select("leaf", "n", F.posexplode("toks").alias("at", "tok")).groupBy("leaf", "n", "at", "tok").count()
-    top = votes.groupBy("leaf", "n", "at").agg(F.sum("count").alias("all"), F.max(F.struct("count", "tok")).alias("top"))
-    fixed = top.where(F.col("top.count") >= SHARE * F.col("all")).groupBy("leaf", "n").agg(
+    kinds = scratch.keep(kinds, "kinds", files)
+    words = kinds.select("leaf", "own", "n", F.posexplode("toks").alias("at", "tok"))
+    # The branch of each distinct line: the rarest of its tokens past the path that enough distinct lines share.
+    often = words.where((F.col("at") >= DEPTH) & (F.col("tok") != FIELD)).groupBy("leaf", "n", "at", "tok").count().where(F.col("count") >= enough)
+    branch = words.join(often.drop("n"), ["leaf", "at", "tok"]).groupBy("leaf", "own").agg(F.min(F.struct("count", "at", "tok")).alias("b"))
+    branch = branch.select("leaf", "own", F.xxhash64("b.at", "b.tok").alias("branch"))
+    kinds = scratch.keep(kinds.join(branch, ["leaf", "own"], "left"), "branches", files)
+    votes = kinds.where("branch IS NOT NULL").select("leaf", "branch", "n", F.posexplode("toks").alias("at", "tok")).groupBy("leaf", "branch", "n", "at", "tok").count()
+    top = votes.groupBy("leaf", "branch", "n", "at").agg(F.sum("count").alias("all"), F.max(F.struct("count", "tok")).alias("top"))
+    fixed = top.where(F.col("top.count") >= SHARE * F.col("all")).groupBy("leaf", "branch", "n").agg(
         F.array_sort(F.collect_list(F.struct("at", F.col("top.tok").alias("tok")))).alias("fixed"), F.max("all").alias("kinds")
     )
     alike = F.size(F.filter("fixed", lambda x: x["tok"] != FIELD)) >= F.greatest(F.lit(DEPTH + 1), F.ceil(F.col("n") * SIMILAR))
-    fixed = fixed.where(alike & (F.col("kinds") > 1)).select("leaf", "fixed")
+    fixed = fixed.where(alike & (F.col("kinds") > 1)).select("leaf", "branch", "fixed")
     fits = F.forall("fixed", lambda x: F.col("toks")[x["at"]] == x["tok"])
-    named = kinds.join(fixed, "leaf", "left").select(
-        "leaf", "own", "n", F.when(F.coalesce(fits, F.lit(False)), F.lit(0).cast("long")).otherwise(F.col("own")).alias("template")
-    )
-    named = scratch.keep(named, "templates", files)
-    found = some.select("leaf", "own", "doc", "no").join(named, ["leaf", "own"])
+    template = F.when(F.coalesce(fits, F.lit(False)), F.col("branch")).otherwise(F.col("own"))
+    templates = kinds.join(fixed, ["leaf", "branch"], "left").select("leaf", "own", "n", template.alias("template"))
+    templates = scratch.keep(templates, "templates", files)
+    found = some.select("leaf", "own", "doc", "no").join(templates, ["leaf", "own"])
     per_doc = found.groupBy("leaf", "template", "n", "doc").agg(F.collect_set("no").alias("nos"))
     per_doc = scratch.keep(per_doc, "found", files)
     again = per_doc.groupBy("leaf", "template", "n").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
@@ -116,20 +127,33 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_doc
         again = F.broadcast(again)
     gone = per_doc.join(again, ["leaf", "template"]).where(F.col("doc") != F.col("first"))
     gone = scratch.keep(gone.groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("nos"))).alias("gone")), "gone", files)
-    scratch.drop("lines", "templates", "found", "again")
+    scratch.drop("lines", "kinds", "branches", "templates", "found", "again")
     return gone
 
 
+def _may_hold(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with _line_may: false only where the key is not among keys. The bitmap has at most WORDS rows."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(WORDS)).cast("int")
+    bit = lambda c: f"cast(pmod(shiftright(xxhash64({c}), 32), 64) AS int)"
+    bits = keys.groupBy(place(key).alias("_line_word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit(key)}))").alias("_line_bits"))
+    flagged = rows.withColumn("_line_word", place("_line_doc")).join(F.broadcast(bits), "_line_word", "left")
+    return flagged.withColumn("_line_may", F.expr(f"coalesce(getbit(_line_bits, {bit('_line_doc')}) = 1, false)")).drop("_line_word", "_line_bits")
+
+
 def drop_recurring_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the text shortened, _line_count (lines before) and _line_gone (numbers of dropped lines, from 0)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
+    docs = without_reserved(docs, "_line_")
     gone = recurring_lines(docs, scratch, text_col=text_col, min_docs=min_docs)
-    rows = docs.withColumn("_line_doc", F.unhex(F.md5(text_col)))
-    out = rows.join(gone.select(F.col("doc").alias("_line_doc"), F.col("gone").alias("_line_gone")), "_line_doc", "left")
-    lines = F.split(text_col, "\n")
+    text, lines = named(text_col), F.split(named(text_col), "\n")
+    rows = _may_hold(docs.withColumn("_line_doc", F.unhex(F.md5(text))), gone, "doc")
+    hits = rows.where("_line_may").join(gone.select(F.col("doc").alias("_line_doc"), F.col("gone").alias("_line_gone")), "_line_doc", "left")
+    rest = rows.where("NOT _line_may").withColumn("_line_gone", F.lit(None).cast("array<int>"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_gone")
     kept = F.transform(numbers, lambda i: F.element_at(lines, i + 1))
-    text = F.when(F.col("_line_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn("_line_count", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)))
-    shown = [text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*shown, "_line_count", F.coalesce("_line_gone", F.array().cast("array<int>")).alias("_line_gone"))
+    short = F.when(F.col("_line_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    count = F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("_line_count")
+    shown = [short.alias(text_col) if c == text_col else named(c) for c in docs.columns]
+    none = F.array().cast("array<int>")
+    result = lambda df: df.select(*shown, count, F.coalesce("_line_gone", none).alias("_line_gone"))
+    return result(hits).union(result(rest))

@@ -79,27 +79,38 @@ WITH d AS (SELECT doc_id, text, md5(text) AS doc, string_split(text, chr(10)) AS
 t AS (SELECT DISTINCT doc, ls FROM d WHERE text IS NOT NULL),
 e AS (SELECT doc, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS no FROM t),
 k AS (
-  SELECT doc, no, list_transform(list_filter(regexp_split_to_array(line, '[ \t\r\f\x0B]+'), lambda x: x <> ''),
-                lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS toks
-  FROM e),
-l AS (SELECT doc, no, toks, len(toks) AS n, toks[1:3] AS head FROM k WHERE len(toks) >= 3),
-leaves AS (SELECT n, head FROM l GROUP BY n, head HAVING count(DISTINCT doc) >= 5),
+  SELECT doc, no, line, list_filter(regexp_split_to_array(line, '[ \t\r\f\x0B]+'), lambda x: x <> '') AS raw FROM e),
+w AS (
+  SELECT doc, no, raw, len(raw) AS n,
+         list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS m,
+         len(list_filter(raw, lambda x: regexp_matches(x, '\p{L}') AND NOT regexp_matches(x, '[0-9@]|://'))) AS words
+  FROM k WHERE len(raw) >= 3 OR regexp_matches(line, '\p{L}')),
+l AS (
+  SELECT doc, no, n, CASE WHEN words >= greatest(3, ceil(n * 0.7)) THEN m ELSE raw END AS toks, m[1:3] AS head,
+         CASE WHEN n < 3 THEN 100 WHEN n >= 20 THEN 2 ELSE 5 END AS enough
+  FROM w),
+leaves AS (SELECT n, head FROM l GROUP BY n, head, enough HAVING count(DISTINCT doc) >= enough),
 picked AS (SELECT l.* FROM l JOIN leaves USING (n, head)),
-kinds AS (SELECT DISTINCT n, head, toks FROM picked),
-v AS (SELECT n, head, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM kinds),
-c AS (SELECT n, head, pos, tok, count(*) AS cnt FROM v GROUP BY ALL),
-p AS (SELECT n, head, pos, sum(cnt) AS tot, max(cnt) AS top, max(struct_pack(cnt, tok)).tok AS tok FROM c GROUP BY n, head, pos),
+kinds AS (SELECT DISTINCT n, head, enough, toks FROM picked),
+v AS (SELECT n, head, enough, toks, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM kinds),
+often AS (SELECT n, head, pos, tok, count(*) AS cnt FROM v WHERE pos > 3 AND tok <> '<*>' GROUP BY n, head, enough, pos, tok HAVING count(*) >= enough),
+br AS (SELECT v.n, v.head, v.toks, min(struct_pack(cnt, pos, tok)) AS b FROM v JOIN often USING (n, head, pos, tok) GROUP BY v.n, v.head, v.toks),
+bv AS (SELECT n, head, b.pos AS bp, b.tok AS bt, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM br),
+c AS (SELECT n, head, bp, bt, pos, tok, count(*) AS cnt FROM bv GROUP BY ALL),
+p AS (SELECT n, head, bp, bt, pos, sum(cnt) AS tot, max(cnt) AS top, max(struct_pack(cnt, tok)).tok AS tok FROM c GROUP BY n, head, bp, bt, pos),
 f AS (
-  SELECT n, head, list(struct_pack(pos, tok)) AS fixed FROM p WHERE top >= 0.6 * tot
-  GROUP BY n, head HAVING count(*) >= greatest(4, ceil(n * 0.7)) AND max(tot) > 1),
+  SELECT n, head, bp, bt, list(struct_pack(pos, tok)) AS fixed FROM p WHERE top >= 0.6 * tot
+  GROUP BY n, head, bp, bt HAVING count(*) FILTER (tok <> '<*>') >= greatest(4, ceil(n * 0.7)) AND max(tot) > 1),
+fit AS (
+  SELECT br.n, br.head, br.toks, struct_pack(bp, bt) AS branch FROM br JOIN f ON br.n = f.n AND br.head = f.head AND br.b.pos = f.bp AND br.b.tok = f.bt
+  WHERE len(list_filter(f.fixed, lambda x: br.toks[x.pos] <> x.tok)) = 0),
 m AS (
-  SELECT s.n, s.head, s.doc, s.no,
-         CASE WHEN f.fixed IS NOT NULL AND len(list_filter(f.fixed, lambda x: s.toks[x.pos] <> x.tok)) = 0
-              THEN NULL ELSE s.toks END AS template
-  FROM picked s LEFT JOIN f ON s.n = f.n AND s.head = f.head),
-r AS (SELECT n, head, template, min(doc) AS first FROM m GROUP BY n, head, template HAVING count(DISTINCT doc) >= 5),
+  SELECT s.n, s.head, s.enough, s.doc, s.no, fit.branch, CASE WHEN fit.branch IS NULL THEN s.toks END AS template
+  FROM picked s LEFT JOIN fit ON s.n = fit.n AND s.head = fit.head AND s.toks = fit.toks),
+r AS (SELECT n, head, branch, template, min(doc) AS first FROM m GROUP BY n, head, enough, branch, template HAVING count(DISTINCT doc) >= enough),
 g AS (
-  SELECT m.doc, list(m.no) AS gone FROM m JOIN r ON m.n = r.n AND m.head = r.head AND m.template IS NOT DISTINCT FROM r.template
+  SELECT m.doc, list(m.no) AS gone FROM m
+  JOIN r ON m.n = r.n AND m.head = r.head AND m.branch IS NOT DISTINCT FROM r.branch AND m.template IS NOT DISTINCT FROM r.template
   WHERE m.doc <> r.first GROUP BY m.doc)
 SELECT d.doc_id,
        coalesce(len(d.ls), 0)::BIGINT AS n_lines,

@@ -39,7 +39,7 @@ def test_language_keeps_documents_with_words(stages):
 
 
 def test_lines(stages):
-    gone = lines_brute([r["text"] for r in stages[1]], 5)
+    gone = lines_brute([r["text"] for r in stages[1]])
     want = {}
     for r in stages[1]:
         t = "\n".join(x for i, x in enumerate(r["text"].split("\n")) if i not in set(gone.get(r["text"], [])))
