@@ -23,24 +23,33 @@ pairs whose ends lie in different components are still candidates: within a toke
 outside its largest component against all others. Both rounds together miss no link between
 components, so components are exact although links inside one are not all listed.
 
+Words are hashed to 128 bits and shingles to 64. Two different sets have equal digests with a
+probability under 2^-64, under 2^-128 up to DOUBLE shingles; two shingles of a verified pair of
+sets of n count as shared wrongly with a probability under n^2 / 2^64. Sets too small for any
+link but equality make no pairs.
+
 Defined results: words are runs without ASCII white space after lower-casing A-Z; a text of
 fewer words than n has one shingle, the whole sequence; null, empty or blank texts have an
 empty set and link with nothing; repeated rows and ids are kept, equal sets are linked; a
 null id is never the smallest unless its component has no other; an empty table gives no
-rows; extra columns pass through; names starting with _jac_ are reserved.
+rows; extra columns pass through, but for those whose name starts with _jac, which are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
+from lodestone.llm.text import all_of, named, without_reserved
 from lodestone.runtime import BLOOM_JOINS, Scratch, release_memory, settings, ship_package
 
 SHINGLE = 3
@@ -53,12 +62,11 @@ HELD = 512  # longer prefixes may make a pair at several tokens; it is still ver
 STEP_BYTES = 500_000
 #: Batches of texts to the workers are kept small, as every text's tokens stand beside it.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-_U = np.uint64
-_rng = np.random.default_rng(20240607)
-#: A random 64-bit value for every byte, and an odd base of the rolling hash with its inverse.
-BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+DOUBLE = 64  # sets of at most so many shingles are hashed twice for their digest
+CACHED = 200_000  # words whose hash a worker holds
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 2**64)
+_U = np.uint64
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,79 +75,75 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, _U(base))
-    out[:1] = 1
-    return np.multiply.accumulate(out) if n else out
+class _Hashes(dict):
+    """The 128-bit hash of a word."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        h = xxhash.xxh3_128_digest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
 
-_pow: list[np.ndarray] = []
 
+_hashes = _Hashes()
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _pow:
-        _pow.extend([_powers(BASE, 2 * STEP_BYTES), _powers(INVERSE, 2 * STEP_BYTES)])
-    if n > 2 * STEP_BYTES:  # one endless word; too rare to be kept
-        return _powers(BASE, n), _powers(INVERSE, n)
-    return _pow[0][:n], _pow[1][:n]
 
-
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word in UTF-8 bytes; A-Z count as a-z. Bytes are taken in steps that end after white space."""
-    starts, hashes, at = [], [], 0
-    while at < len(data):
-        end = at + STEP_BYTES
-        while end < len(data):
-            near = data[end - 1 : end + 65_536]
-            hit = np.flatnonzero((near == 32) | ((near >= 9) & (near <= 13)))
-            end = end + int(hit[0]) if len(hit) else end + len(near)
-            if len(hit):
-                break
-        start, h = _word_hashes(data[at:end])
-        starts.append(start + at)
-        hashes.append(h)
+def _slices(text: bytes) -> Iterator[bytes]:
+    """text in slices of about STEP_BYTES that end after white space."""
+    at = 0
+    while at < len(text):
+        hit = _SPACE.search(text, at + STEP_BYTES) if at + STEP_BYTES < len(text) else None
+        end = hit.end() if hit else len(text)
+        yield text[at:end]
         at = end
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *starts]), np.concatenate([none.astype(np.uint64), *hashes])
-
-
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return start, _mix(h + (end - start).astype(np.uint64))
-
-
-def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    # A space between texts keeps their words apart.
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    start, h = word_hashes(data)
-    first = np.searchsorted(start, at)  # each text's first word
-    words = np.diff(first)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each text, words x 2 hashes). A-Z count as a-z; bytes know ASCII white space and letters only."""
+    counts, found = [], []
+    for t in texts:
+        n = 0
+        for piece in [t] if len(t) <= STEP_BYTES else _slices(t):
+            words = piece.lower().split()
+            found.append(b"".join(map(_hashes.__getitem__, words)))
+            n += len(words)
+        counts.append(n)
+    return np.array(counts, np.int64), np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+
+
+def _chained(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each n neighbouring words, by all their 128 bits."""
     m = max(0, len(h) - n + 1)
     s = np.zeros(m, np.uint64)
     for i in range(n):
-        s = _mix(s * _U(BASE) + h[i : i + m])
+        s = _mix(_mix(s * _U(BASE) + h[i : i + m, 0]) + h[i : i + m, 1])
+    return s
+
+
+def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[tuple[np.ndarray, bytes]]:
+    """Of each text the sorted distinct shingle hashes, and further bytes for a small set's digest."""
+    words, h = word_hashes(texts)
+    first = np.concatenate([[0], np.cumsum(words)])
+    s = _chained(h, n)
     out = []
-    for i, w in enumerate(words):
-        a = first[i]
+    for a, w in zip(first[:-1], words, strict=True):
         if w >= n:
-            out.append(np.unique(s[a : a + w - n + 1]))
+            all_ = s[a : a + w - n + 1]
+            one = np.unique(all_)
         elif w:
-            v = np.zeros(1, np.uint64)
-            for x in h[a : a + w]:
-                v = _mix(v * _U(BASE) + x + _U(w))
-            out.append(v)
+            # Short texts are one shingle, told from longer ones by their number of words.
+            all_ = one = _mix(_chained(h[a : a + w], int(w)) + _U(w))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), b""))
+            continue
+        more = b""
+        if len(one) <= DOUBLE:
+            at = np.unique(all_, return_index=True)[1]
+            other = _chained(h[a : a + w, ::-1] ^ _U(BASE), n if w >= n else int(w))
+            more = np.sort(other[at]).tobytes()
+        out.append((one, more))
     return out
 
 
@@ -161,6 +165,14 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_size(percent: int) -> int:
+    """Smaller sets link with equal ones only: one shingle more or less is already too much."""
+    n = 1
+    while 100 * n < percent * (n + 1):
+        n += 1
+    return n
+
+
 def region_limit(percent: int) -> np.uint64:
     """Hashes below this are counted."""
     return _U(min(2**64 - 1, int(REGION * (100 - percent) / 100 * 2**64)))
@@ -176,48 +188,28 @@ def shown_tokens(s: np.ndarray, percent: int) -> tuple[np.ndarray | None, np.nda
     return small, s[: int(np.searchsorted(s, region_limit(percent)))] if n >= SMALL else None
 
 
-def _digest(s: np.ndarray) -> bytes:
-    import hashlib
+def _digest(s: np.ndarray, more: bytes) -> bytes:
+    return hashlib.blake2b(s.tobytes() + more, digest_size=16).digest()
 
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-
-PROFILE = "n bigint, dig binary, small array<bigint>, large array<bigint>"
+PROFILE = "struct<n: bigint, dig: binary, small: array<bigint>, large: array<bigint>>"
 
 
 def _profiles(n_words: int, percent: int):
-    """Of each text with words its set's size and digest, and its tokens in both orders."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
-        for b in batches:
-            for part in _steps(pc.cast(b.column(0), pa.binary())):
-                n, dig, toks = [], [], ([], [])
-                for s in shingle_sets(part, n_words):
-                    if len(s):
-                        n.append(len(s))
-                        dig.append(_digest(s))
-                        for to, t in zip(toks, shown_tokens(s, percent), strict=True):
-                            to.append(None if t is None else t.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(n, pa.int64()), pa.array(dig, pa.binary()), *(pa.array(t, kind) for t in toks)], names=["n", "dig", "small", "large"]
-                )
-        release_memory()
-
-    return run
-
-
-def _digests(n_words: int):
-    """Of each text its set's size and digest."""
+    """Of each text its set's size and digest, and its tokens in both orders; null tokens and digest without words."""
 
     def run(column: pa.Array) -> pa.Array:
-        n, dig = [], []
+        n, dig, toks = [], [], ([], [])
+        least = least_size(percent)
         for part in _steps(pc.cast(column, pa.binary())):
-            for s in shingle_sets(part, n_words):
+            for s, more in shingle_sets(part, n_words):
                 n.append(len(s))
-                dig.append(_digest(s) if len(s) else None)
+                dig.append(_digest(s, more) if len(s) else None)
+                for to, t in zip(toks, shown_tokens(s, percent) if len(s) >= least else (None, None), strict=True):
+                    to.append(None if t is None else t.view(np.int64))
         release_memory()
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(dig, pa.binary())], names=["n", "dig"])
+        kind = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(dig, pa.binary()), *(pa.array(t, kind) for t in toks)], names=["n", "dig", "small", "large"])
 
     return run
 
@@ -229,7 +221,7 @@ def _set_rows(n_words: int, percent: int, uncounted: bool = False):
         for b in batches:
             at = 0
             for part in _steps(pc.cast(b["text"], pa.binary())):
-                sets = shingle_sets(part, n_words)
+                sets = [s for s, _ in shingle_sets(part, n_words)]
                 if uncounted:
                     kind, sets = pa.list_(pa.int64()), [s[int(np.searchsorted(s, region_limit(percent))) :].view(np.int64) for s in sets]
                 else:
@@ -266,18 +258,15 @@ class JaccardJoin:
         self.scratch = Scratch(self.spark, "jaccard")
         self.files = 8  # of the tables that have a few rows per set
 
-    def digests(self, df: DataFrame) -> DataFrame:
-        """df with _jac(n, dig)."""
-        f = F.arrow_udf(_digests(self.n_words), "struct<n: bigint, dig: binary>").asNondeterministic()
-        return df.withColumn("_jac", f(F.coalesce(F.col(self.text_col), F.lit(""))))
-
-    def representatives(self) -> DataFrame:
-        """One row for each distinct set: rid, dig, n, small, large."""
-        rows = self.docs.select(self.text_col).mapInArrow(_profiles(self.n_words, self.percent), PROFILE)
-        one = rows.groupBy("dig").agg(*(F.first(c).alias(c) for c in ("n", "small", "large")))
+    def representatives(self) -> tuple[DataFrame, DataFrame]:
+        """docs with _jac(n, dig), shingled once; one row for each distinct set: rid, dig, n, small, large."""
+        f = F.arrow_udf(_profiles(self.n_words, self.percent), PROFILE).asNondeterministic()
+        profiled = self.docs.withColumn("_jac", f(F.coalesce(named(self.text_col), F.lit(""))))
+        rows = self.scratch.keep(profiled, "rows")
+        one = rows.where("_jac.dig IS NOT NULL").select("_jac.*").groupBy("dig").agg(*(F.first(c).alias(c) for c in ("n", "small", "large")))
         reps = self.scratch.keep(one.withColumn("rid", F.monotonically_increasing_id()), "reps")
         self.files = 4 + reps.count() // SETS_A_FILE
-        return reps
+        return rows, reps
 
     def ranked(self, shown: DataFrame, common=None) -> DataFrame:
         """shown(eid, tok) -> (eid, t, common): tokens of several entries, by frequency; common ones are only counted."""
@@ -288,8 +277,8 @@ class JaccardJoin:
         )
         return g.withColumn("t", F.transform("t", lambda x: x["tok"]))
 
-    def postings(self, reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Prefix tokens that more than one set shows: (tok, rid, gid, n, ord, pos, rare); (dig, rid); docs with _jac.
+    def postings(self, reps: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Prefix tokens that more than one set shows: (tok, rid, gid, n, ord, pos, rare); (dig, rid).
 
         An entry is a set in one order: eid is 2 rid, plus 1 in the order of large sets.
         rare is the share of its ranked tokens that it has alone.
@@ -309,7 +298,6 @@ class JaccardJoin:
         names = self.scratch.keep(reps.select("dig", "rid"), "names", self.files)
         self.scratch.drop("reps")
         self.scratch.release()
-        rows = self.scratch.keep(self.digests(self.docs), "rows")
         late = per.where("counted < len")
         rest = self.read_again(late.select("rid").distinct(), names, rows, uncounted=True)
         self.scratch.release()
@@ -330,13 +318,13 @@ class JaccardJoin:
         post = self.scratch.keep(at.join(met, "tok"), "postings", self.files)
         self.scratch.drop("prefixes", "ranked", "rest", "again-rest")
         self.scratch.release()
-        return post, names, rows
+        return post, names
 
     def read_again(self, rids: DataFrame, reps: DataFrame, rows: DataFrame, uncounted: bool = False) -> DataFrame:
         """(rid, s) of some representatives, from their texts; only those texts are shuffled."""
         name = "again" + "-rest" * uncounted
         wanted = self.scratch.keep(reps.select("dig", "rid").join(rids, "rid"), f"{name}-rids", self.files)
-        texts = rows.select(F.col("_jac.dig").alias("dig"), F.col(self.text_col).alias("text"))
+        texts = rows.select(F.col("_jac.dig").alias("dig"), named(self.text_col).alias("text"))
         kind = "rid bigint, s array<bigint>" if uncounted else "rid bigint, s binary"
         # The planner makes a Bloom filter only of a side that has a filter of its own.
         with settings(self.spark, BLOOM_JOINS):
@@ -359,9 +347,9 @@ class JaccardJoin:
 
     def components(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(node, comp) of all linked representatives, comp being one of their rids; (dig, rid); docs with _jac."""
-        reps = self.representatives()
+        rows, reps = self.representatives()
         self.scratch.release()
-        post, names, rows = self.postings(reps)
+        post, names = self.postings(reps, rows)
         sets = self.read_again(post.select("rid").distinct(), names, rows)
         # Round 1: the members of a group with its first, and each token's groups with its hub.
         heads = post.groupBy("gid").agg(F.min("rid").alias("a"))
@@ -410,20 +398,21 @@ def jaccard_components(
     _jac_comp names the component by its sets and not by ids, which may be null or repeated; it
     is null for an empty set.
     """
+    docs = without_reserved(docs, "_jac")
     with settings(docs.sparkSession, BATCHES):
         rows, ids = _components(docs, id_col, text_col, n_words, percent)
     out = rows.join(ids, "_jac_dig", "left")
-    return out.withColumn("_jac_component", F.coalesce("_jac_least", F.col(id_col))).select(*docs.columns, "_jac_n", "_jac_component", "_jac_comp")
+    return out.withColumn("_jac_component", F.coalesce("_jac_least", named(id_col))).select(*all_of(docs), "_jac_n", "_jac_component", "_jac_comp")
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """docs with _jac_n and _jac_dig; the smallest id reachable from each digest and its component's key."""
     j = JaccardJoin(docs, text_col, n_words, percent)
     comp, names, rows = j.components()
-    named = names.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select(F.col("dig").alias("_jac_dig"), F.coalesce("comp", "rid").alias("_jac_comp"))
-    named = j.scratch.keep(named, "named", j.files)
-    rows = rows.select(*docs.columns, F.col("_jac.n").alias("_jac_n"), F.col("_jac.dig").alias("_jac_dig"))
-    least = rows.select(id_col, "_jac_dig").join(named, "_jac_dig").groupBy("_jac_comp").agg(F.min(id_col).alias("_jac_least"))
-    ids = j.scratch.keep(named.join(least, "_jac_comp").select("_jac_dig", "_jac_least", "_jac_comp"), "least", j.files)
+    known = names.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select(F.col("dig").alias("_jac_dig"), F.coalesce("comp", "rid").alias("_jac_comp"))
+    known = j.scratch.keep(known, "named", j.files)
+    rows = rows.select(*all_of(docs), F.col("_jac.n").alias("_jac_n"), F.col("_jac.dig").alias("_jac_dig"))
+    least = rows.select(named(id_col).alias("id"), "_jac_dig").join(known, "_jac_dig").groupBy("_jac_comp").agg(F.min("id").alias("_jac_least"))
+    ids = j.scratch.keep(known.join(least, "_jac_comp").select("_jac_dig", "_jac_least", "_jac_comp"), "least", j.files)
     j.scratch.drop("named", "names")
     return rows, ids

@@ -59,9 +59,9 @@ def _rows(seed, n=3):
 @pytest.mark.parametrize(("seed", "n", "percent"), [(1, 3, 90), (2, 3, 80), (3, 5, 80)])
 def test_as_brute_force(spark, seed, n, percent):
     rows = _rows(seed)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("dig", F.lit(b"x")).repartition(3)
-    out = J.jaccard_components(df, n_words=n, percent=percent)
-    assert out.columns[:4] == df.columns
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("dig", F.lit(b"x")).withColumn("a.b", F.lit(2)).repartition(3)
+    out = J.jaccard_components(df.withColumn("_jac_n", F.lit(7)), n_words=n, percent=percent)
+    assert out.columns[:5] == df.columns
     assert sorted((str(r["doc_id"]), r["_jac_n"], str(r["_jac_component"])) for r in out.collect()) == _brute(rows, n, percent)
 
 
@@ -92,3 +92,30 @@ def test_components(spark):
             par[max(x, y)] = min(x, y)
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "cc").collect()
     assert {(r["node"], r["comp"]) for r in got} == {(x, find(x)) for x in list(par)} and len(got) == len(par)
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    """The Thue-Morse word and its complement, alone and in otherwise equal texts; very long words; case and split ends."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word[:1024]), (4, other[:1024]), (5, word.upper()), (6, "x " + word), (7, "x " + other), (8, "y" * 3_000_000), (9, "y" * 3_000_001), (10, "Y" * 3_000_000)]
+    rows += [(20 + i, " ".join([f"w{i}x{k}" for k in range(30)] + [w])) for i, w in enumerate((word, other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = J.jaccard_components(df).collect()
+    assert sorted((str(r["doc_id"]), r["_jac_n"], str(r["_jac_component"])) for r in out) == _brute(rows, 3, 90)
+
+
+def test_word_hashes_do_not_depend_on_steps(monkeypatch):
+    text = " ".join(f"Wörd{i}\t{i}" for i in range(500)).encode()
+    whole = J.shingle_sets([text, b"", b"one", text], 3)
+    monkeypatch.setattr(J, "STEP_BYTES", 50)
+    stepped = J.shingle_sets([text, b"", b"one", text], 3)
+    assert all((a[0] == b[0]).all() and a[1] == b[1] for a, b in zip(whole, stepped, strict=True)) and len(whole[0][0]) == 998
+
+
+def test_sets_too_small_for_other_links():
+    for percent in (50, 80, 90, 95):
+        n = J.least_size(percent)
+        assert 100 * n >= percent * (n + 1) and (n == 1 or 100 * (n - 1) < percent * n)
