@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Learns from the non-null lang of the documents that are not held out, like the query.
     """
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    return language.predict(docs, model).where(~F.col("_lid_rejected")).select(docs.columns)
+    return language.predict(docs, model).where(~F.col("_lid_rejected")).drop("_lid_lang", "_lid_score", "_lid_rejected")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

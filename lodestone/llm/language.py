@@ -2,16 +2,22 @@
 
 Method: a text is the bag of its character n-grams (1 to 3, lower-cased, runs of other
 characters as one space), hashed to DIM places and weighted by TF-IDF with unit norm. The
-document frequencies cover all labelled rows. Per language a bounded sample of at most about
-train_rows labelled texts, drawn by hash, is clustered by spherical k-means into several
-centroids. A text goes to the language of the centroid with the highest cosine, which is its
-score; it is rejected if it has no letter or if its cosine is under the centroid's limit,
-which lies well below what the centroid's own members reach.
+document frequencies cover all labelled rows. Per language a bounded sample of at most
+train_rows distinct labelled texts, those with the smallest hashes, is clustered by spherical
+k-means (k-means++ seeds, RESTARTS runs, clusters under LEAST_SHARE of the sample dissolved). A
+text goes to the language of the centroid with the highest cosine, which is its score.
+
+It is rejected if it has no letter or lies too far from the centroid: short texts reach lower
+cosines than long ones, so each language has a limit for every length (doubling n-gram counts),
+learnt from the sampled texts and from pieces of them. A limit is where texts of the other
+languages end, but at least NEAR and at most FAR of the cosine that QUANTILE of the language's
+own texts of that length fall below.
 
 Defined results: null text and text without any letter is `und` with score 0; empty training
-data makes every text `und`; rows whose label is null teach nothing; ties between centroids
-go to the language that is first by name; repeated rows each get a result; whole texts count
-whatever their length; extra columns pass through; names starting with _lid_ are reserved.
+data makes every text `und`; rows whose label is null teach nothing; repeated rows teach the
+frequencies once each, and the centroids once; ties between centroids go to the language that is
+first by name; repeated rows each get a result; whole texts count whatever their length; extra
+columns pass through, but for those whose name starts with _lid, which are dropped.
 """
 
 from __future__ import annotations
@@ -23,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from lodestone.runtime import release_memory, ship_package
+from lodestone.llm.text import all_of, named, without_reserved
+from lodestone.runtime import Scratch, release_memory, ship_package
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
@@ -33,8 +41,11 @@ TRAIN_ROWS = 1_000
 CLUSTERS = 3
 STEP_CHARS = 500_000
 UND = "und"
-#: A text is rejected below this share of the median cosine of a centroid's own members: one real word reaches it.
-LEAST_SHARE = 0.1
+RESTARTS = 4
+LEAST_SHARE = 0.05
+QUANTILE, NEAR, FAR = 0.01, 0.6, 0.75
+PIECES = tuple(1 << i for i in range(2, 13))  # characters of the pieces that limits are learnt from
+BUCKETS = 32  # texts whose n-gram counts have so many binary digits share a limit
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,25 +90,52 @@ def _count(pieces: list[tuple[int, str]], out: np.ndarray) -> None:
     np.add.at(out, [i for i, _ in pieces], got)
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts(texts)) * idf[None, :]
+def weigh(n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    v = np.log1p(n) * idf[None, :]
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return (v / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def spread_clusters(v: np.ndarray, k: int, rounds: int = 12) -> list[tuple[np.ndarray, float]]:
-    """Spherical k-means from farthest-first seeds: (unit centroid, least cosine that it accepts)."""
-    seeds = [v.mean(axis=0)]
-    while len(seeds) < min(k, len(v)):
-        seeds.append(v[(v @ np.array(seeds).T).max(axis=1).argmin()])
-    c = np.array(seeds)
-    for _ in range(rounds):
-        c = c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-12)
+def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
+    return weigh(counts(texts), idf)
+
+
+def bucket(n: np.ndarray) -> np.ndarray:
+    """Binary digits of a text's number of n-grams."""
+    return np.minimum(np.floor(np.log2(np.maximum(n.sum(axis=1), 1))).astype(np.int64), BUCKETS - 1)
+
+
+def _unit(c: np.ndarray) -> np.ndarray:
+    return c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def spread_clusters(v: np.ndarray, k: int, rounds: int = 25) -> list[tuple[np.ndarray, int]]:
+    """Spherical k-means: (unit centroid, members). The best of RESTARTS runs from k-means++ seeds."""
+    rng = np.random.default_rng(len(v))
+    best: tuple[float, list] = (-np.inf, [])
+    for _ in range(RESTARTS):
+        c = v[[int(rng.integers(len(v)))]]
+        while len(c) < min(k, len(v)):
+            far = np.maximum(1 - (v @ c.T).max(axis=1), 0)
+            if far.sum() <= 1e-6:
+                break
+            c = np.concatenate([c, v[[int(rng.choice(len(v), p=far / far.sum()))]]])
+        own = None
+        for _ in range(rounds):
+            now = (v @ c.T).argmax(axis=1)
+            if own is not None and (now == own).all():
+                size = np.bincount(own, minlength=len(c))
+                if len(c) == 1 or size.min() >= LEAST_SHARE * len(v):
+                    break
+                c = np.delete(c, size.argmin(), axis=0)  # too small: its members go to the others
+                now = (v @ c.T).argmax(axis=1)
+            own = now
+            c = _unit(np.array([v[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))]))
         own = (v @ c.T).argmax(axis=1)
-        c = np.array([v[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-    c = c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-12)
-    own = (v @ c.T).argmax(axis=1)
-    return [(c[j], LEAST_SHARE * float(np.median((v[own == j] @ c[j])))) for j in range(len(c)) if (own == j).any()]
+        total = float((v * c[own]).sum())
+        if total > best[0]:
+            best = total, [(c[j], int((own == j).sum())) for j in range(len(c)) if (own == j).any()]
+    return best[1]
 
 
 def _slices(column: pa.Array, chars: int = 4 * STEP_CHARS) -> Iterator[list[str]]:
@@ -124,34 +162,82 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """idf and the centroids: (language, centroid, limit)."""
+    """idf, the centroids (language, centroid, members) and a limit for each language and length."""
 
-    def __init__(self, idf: np.ndarray, centroids: list[tuple[str, np.ndarray, float]]) -> None:
-        centroids = sorted(centroids, key=lambda c: c[0])
+    def __init__(self, idf: np.ndarray, centroids: list[tuple[str, np.ndarray, int]], limits: dict[str, np.ndarray] | None = None) -> None:
+        centroids = sorted(centroids, key=lambda c: (c[0], -c[2]))
         self.idf = idf
         self.names = [c[0] for c in centroids]
+        self.sizes = [c[2] for c in centroids]
         self.matrix = np.array([c[1] for c in centroids], np.float32).reshape(len(centroids), DIM)
-        self.limits = np.array([c[2] for c in centroids])
+        none = np.zeros(BUCKETS)
+        self.limits = np.array([(limits or {}).get(n, none) for n in self.names]).reshape(len(centroids), BUCKETS)
+
+    def cosines(self, n: np.ndarray) -> np.ndarray:
+        return np.clip(weigh(n, self.idf) @ self.matrix.T, 0, 1)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text."""
         letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
         if not self.names:
             return [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        s = np.clip(vectors(texts, self.idf) @ self.matrix.T, 0, 1)
+        n = counts(texts)
+        s = self.cosines(n)
         at = s.argmax(axis=1)
         best = s[np.arange(len(texts)), at] * letters
-        return [self.names[j] if a else UND for j, a in zip(at, letters, strict=True)], best, ~letters | (best < self.limits[at])
+        return [self.names[j] if a else UND for j, a in zip(at, letters, strict=True)], best, ~letters | (best < self.limits[at, bucket(n)])
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text and pieces from its middle, that begin with a word if they can."""
+    out = [text]
+    for size in PIECES:
+        if len(text) >= 2 * size:
+            at = (len(text) - size) // 2
+            space = text.find(" ", at, at + size)
+            at = at if space < 0 else space + 1
+            out.append(text[at : at + size])
+    return out
+
+
+def limit_curve(own: list[tuple[int, float]], other: list[tuple[int, float]]) -> np.ndarray:
+    """A language's limit for each length, from (bucket, cosine) of its own texts and of other languages' texts."""
+    got = np.full(BUCKETS, np.nan)
+    for b in range(BUCKETS):
+        mine = np.sort([c for k, c in own if k == b])
+        if len(mine):
+            low = mine[int(QUANTILE * len(mine))]
+            theirs = [c for k, c in other if k == b]
+            end = np.quantile(theirs, 1 - QUANTILE) if theirs else 0.0
+            got[b] = min(FAR * low, max(NEAR * low, end))
+    known = np.flatnonzero(~np.isnan(got))
+    if not len(known):
+        return np.zeros(BUCKETS)
+    # Shorter texts than any seen have no limit; longer ones that of the longest.
+    return np.interp(np.arange(BUCKETS), known, got[known], left=0.0)
+
+
+def sample(rows: DataFrame, per_lang: dict[str, int], train_rows: int) -> DataFrame:
+    """rows(lang, text): of each language at most train_rows distinct texts, those with the smallest hashes."""
+    share = F.lit(0.0)
+    for lang, n in per_lang.items():
+        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * train_rows / n)).otherwise(share)
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    drawn = hashed.where((F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30)) < share)
+    order = W.partitionBy("lang").orderBy(F.xxhash64("h"), "h")
+    first = drawn.select("lang", "h").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= train_rows)
+    # languages x train_rows hashes; a text's copies meet in a partial aggregate.
+    return drawn.join(F.broadcast(first.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
 def train(
     labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, clusters: int = CLUSTERS
 ) -> Model:
-    """A model from labelled texts; what comes to the driver is bounded by languages x clusters x DIM."""
+    """A model from labelled texts; what comes to the driver is bounded by languages x clusters x DIM and by the sample's pieces."""
     spark = labelled.sparkSession
     ship_package(spark)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+    rows = labelled.where(named(lang_col).isNotNull() & named(text_col).isNotNull()).select(
+        named(text_col).alias("text"), named(lang_col).alias("lang")
     )
     per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     df = rows.select("text").mapInArrow(_frequencies, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()
@@ -161,10 +247,6 @@ def train(
         idf[r["place"]] = math.log((1 + total) / (1 + r["df"])) + 1
     if not per_lang:
         return Model(idf, [])
-    share = F.lit(0.0)
-    for lang, n in per_lang.items():
-        share = F.when(F.col("lang") == lang, min(1.0, train_rows / n)).otherwise(share)
-    drawn = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)) < share
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,14 +262,36 @@ def train(
         got = spread_clusters(v, clusters)
         return pa.table({"lang": [t["lang"][0].as_py()] * len(got), "c": [c.astype(np.float32).tobytes() for c, _ in got], "m": [m for _, m in got]})
 
-    sample = rows.where(drawn).mapInArrow(vectorise, "lang string, v binary")
-    found = sample.groupBy("lang").applyInArrow(cluster, "lang string, c binary, m double").collect()
-    return Model(idf, [(r["lang"], np.frombuffer(r["c"], np.float32), r["m"]) for r in found])
+    scratch = Scratch(spark, "language")
+    some = scratch.keep(sample(rows, per_lang, train_rows).select("lang", "text"), "sample")
+    found = some.mapInArrow(vectorise, "lang string, v binary").groupBy("lang").applyInArrow(cluster, "lang string, c binary, m long").collect()
+    centroids = [(r["lang"], np.frombuffer(r["c"], np.float32), r["m"]) for r in found]
+    model = Model(idf, centroids)
+    names = sorted(set(model.names))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each piece its language, length and best cosine with each language's centroids."""
+        for b in batches:
+            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
+                n = counts([p for p in pieces_of(text) if any(map(str.isalpha, p))])
+                if len(n):
+                    s = model.cosines(n)
+                    best = np.array([s[:, [i for i, x in enumerate(model.names) if x == k]].max(axis=1) for k in names]).T
+                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(n), "size": bucket(n), "cos": [x.tolist() for x in best.astype(np.float64)]})
+
+    seen = some.mapInArrow(near, "lang string, size long, cos array<double>").collect()
+    scratch.drop("sample")
+    limits = {
+        k: limit_curve([(r["size"], r["cos"][i]) for r in seen if r["lang"] == k], [(r["size"], r["cos"][i]) for r in seen if r["lang"] != k])
+        for i, k in enumerate(names)
+    }
+    return Model(idf, centroids, limits)
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs with _lid_lang, _lid_score, _lid_rejected."""
     ship_package(docs.sparkSession)
+    docs = without_reserved(docs, "_lid")
     kind = "struct<lang: string, score: double, rejected: boolean>"
 
     @F.arrow_udf(kind)
@@ -206,9 +310,9 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
 
     # As it is, a filter on the result would run the classifier twice.
     classify = classify.asNondeterministic()
-    out = docs.withColumn("_lid", classify(F.col(text_col)))
+    out = docs.withColumn("_lid", classify(named(text_col)))
     return out.select(
-        *docs.columns, F.col("_lid.lang").alias("_lid_lang"), F.col("_lid.score").alias("_lid_score"), F.col("_lid.rejected").alias("_lid_rejected")
+        *all_of(docs), F.col("_lid.lang").alias("_lid_lang"), F.col("_lid.score").alias("_lid_score"), F.col("_lid.rejected").alias("_lid_rejected")
     )
 
 
