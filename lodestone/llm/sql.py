@@ -142,7 +142,7 @@ sub AS (SELECT toks, bad, unnest(range(1, (2 ^ len(toks))::BIGINT)) AS m FROM tr
 sets AS (SELECT list_transform(list_filter(range(1, len(toks) + 1), lambda i: (m >> (i - 1)) & 1 = 1), lambda i: toks[i]) AS s, bad FROM sub),
 rules AS (
   SELECT s, sum(bad::INT) / count(*)::DOUBLE AS confidence FROM sets GROUP BY s
-  HAVING sum(bad::INT) >= (SELECT ceil(greatest(0.005 * count(*), 8)) FROM tr) AND sum(bad::INT) / count(*)::DOUBLE >= 0.8),
+  HAVING sum(bad::INT) >= (SELECT CASE WHEN len(s) = 1 THEN 8 ELSE ceil(greatest(0.005 * count(*), 8)) END FROM tr) AND sum(bad::INT) / count(*)::DOUBLE >= 0.8),
 kept AS (
   SELECT r.* FROM rules r WHERE NOT EXISTS (
     SELECT 1 FROM rules q WHERE len(q.s) = len(r.s) - 1 AND list_has_all(r.s, q.s) AND q.confidence >= r.confidence)),
