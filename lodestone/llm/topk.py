@@ -1,13 +1,16 @@
 """Exact top-k search by inner product.
 
-Method: candidates are dealt by hash of their id into shards of bounded size; each shard
-becomes a ball tree (median splits along the direction of widest spread; a node keeps its
-centre and radius). A block of queries descends a shard's tree in order of the upper bound
-q.c + |q| r and prunes nodes whose bound is below the current k-th score; bounds of equal
-height are kept, since ties go to the smaller id. First each block searches one shard; the
-k-th scores found there are shared with all other shards, which start with them and so
-return only what can still be among the k best. Blocks of the stated query set meet every
-shard, which is what exactness asks for; each pair is one row of two bounded blobs.
+Method: candidates are dealt by similarity, each to the nearest of at most PIVOTS drawn vectors,
+and the candidates of a pivot by hash, into shards of bounded size. Each shard becomes a ball
+tree (median splits along the direction of widest spread; a node keeps its centre and radius).
+Queries are dealt alike into blocks. The shards' roots are kept apart, in pages: for a block and
+a page of roots the upper bounds q.c + |q| r tell which shards may hold a result before any of
+them is moved. First each block searches the FIRST shards of the highest bounds; the k-th scores
+found there are shared with all others: only shards whose bound reaches the k-th score of one of
+the block's queries are joined to it and searched, starting with those scores. Inside a shard a
+block descends the tree in order of the bound and prunes nodes whose bound is below the current
+k-th score; bounds of equal height are kept, since ties go to the smaller id. So exactness costs
+one row of two bounded blobs for each block and shard that is not pruned.
 
 Scores are integer inner products of floor(scale * x), exact in 64 bits: floating point is
 used where it is exact, Python integers else; a score beyond 64 bits raises an error.
@@ -28,11 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lodestone.llm.text import named
 from lodestone.runtime import Scratch, ship_package
 
 SHARD_ROWS = 8_192
 BLOCK_ROWS = 256
 LEAF_ROWS = 128
+PIVOTS = 2_048
+PAGE_ROWS = 4_096
+FIRST = 2
+SALTS = 64
 NONE = np.iinfo(np.int64).min
 
 
@@ -180,10 +188,143 @@ def usable(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & fine, F.lit(False))
 
 
+def _nearest(pivots: dict[int, np.ndarray]):
+    """Of each vector the nearest pivot of its length; 0 where there is none."""
+    half = {d: (p * p).sum(axis=1) / 2 for d, p in pivots.items()}
+
+    def run(column: pa.Array) -> pa.Array:
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(column), np.int32)
+        for d in np.unique(sizes):
+            if d in pivots:
+                at = np.flatnonzero(sizes == d)
+                x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
+                for i in range(0, len(at), 4_096):
+                    out[at[i : i + 4_096]] = (x[i : i + 4_096] @ pivots[d].T - half[d]).argmax(axis=1)
+        return pa.array(out, pa.int32())
+
+    return run
+
+
+def _roots(t: pa.Table) -> pa.Table:
+    """One page of shards' roots."""
+    o = np.argsort(t["shard"].to_numpy(), kind="stable")
+    centres = np.stack([np.frombuffer(c) for c in t["centre"].to_pylist()])[o]
+    cols = {"dim": t["dim"][:1], "page": t["page"][:1], "shards": [t["shard"].to_numpy()[o].tobytes()]}
+    return pa.table({**cols, "cs": [centres.tobytes()], "rs": [t["radius"].to_numpy()[o].tobytes()]})
+
+
+def _bounds(first: int | None):
+    """(dim, block, shard, bound) of each block with a page's shards: the first by bound, or all that may hold a result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                r = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+                q = _array(r, "q_").astype(np.float64)
+                shards, c = np.frombuffer(r["shards"], np.int64), np.frombuffer(r["cs"]).reshape(-1, r["dim"])
+                bound = q @ c.T + np.sqrt((q * q).sum(axis=1))[:, None] * np.frombuffer(r["rs"])[None, :]
+                bound += 1e-9 * (np.abs(bound) + 1) + 0.5
+                best = bound.max(axis=0)
+                if first:
+                    at = np.argsort(-best, kind="stable")[:first]
+                else:
+                    at = np.flatnonzero((bound >= np.frombuffer(r["q_kth"], np.int64)[:, None]).any(axis=0))
+                yield pa.RecordBatch.from_pydict(
+                    {"dim": pa.array([r["dim"]] * len(at), pa.int32()), "block": pa.array([r["block"]] * len(at), pa.int64()), "shard": shards[at], "bound": best[at]}
+                )
+
+    return run
+
+
+PAIR = "dim int, block bigint, shard bigint, bound double"
+
+
 def _search(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(_search_rows(k), "query_id bigint, vec_id bigint, score bigint")
 
 
+class TopK:
+    """The search's tables over one input, all in the shared scratch folder."""
+
+    def __init__(self, vectors: DataFrame, is_query: Column, scale: int, id_col: str, vec_col: str, shard_rows: int, block_rows: int) -> None:
+        self.spark = vectors.sparkSession
+        ship_package(self.spark)
+        self.scratch = Scratch(self.spark, "topk")
+        v = vectors.where(named(id_col).isNotNull() & usable(named(vec_col))).select(
+            named(id_col).cast("long").alias("id"),
+            F.transform(named(vec_col), lambda x: F.floor(x.cast("double") * scale)).alias("v"),
+            F.coalesce(is_query, F.lit(False)).alias("q"),
+        )
+        v = v.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("dim", F.size("v"))
+        v = self.scratch.keep(v, "vectors")
+        wanted = min(PIVOTS, -(-2 * v.count() // shard_rows))
+        # At most PIVOTS vectors come to the driver, those whose ids have the smallest hashes.
+        drawn = [r["v"] for r in v.orderBy(F.xxhash64("id"), "id").select("v").limit(wanted).collect()]
+        pivots = {d: np.unique(np.array([x for x in drawn if len(x) == d], np.float64), axis=0) for d in {len(x) for x in drawn}}
+        v = v.withColumn("cell", F.arrow_udf(_nearest(pivots), "int")("v"))
+        v = self.scratch.keep(v, "cells")
+        cells = v.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("nq"))
+        # A row for each pivot, or less.
+        v = v.join(F.broadcast(cells), ["dim", "cell"])
+        part = lambda n, most, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.greatest(F.lit(1), F.ceil(F.col(n) / most)))
+        place = lambda p: (F.shiftleft(F.col("cell").cast("long"), 32) + p).cast("long")
+        v = v.withColumn("shard", place(part("n", shard_rows, 1))).withColumn("block", place(part("nq", block_rows, 2)))
+        self.shards = self.scratch.keep(
+            v.groupBy("dim", "shard").applyInArrow(_shards, "dim int, shard bigint, nodes binary, centres binary, radii binary, " + BLOB), "shards"
+        )
+        self.queries = self.scratch.keep(v.where("q").select("dim", "block", "id"), "queries")
+        blocks = self.scratch.keep(v.where("q").groupBy("dim", "block").applyInArrow(_blocks, "dim int, block bigint, " + BLOB), "blocks")
+        self.blocks = blocks.select("dim", "block", *(F.col(c).alias(f"q_{c}") for c in ("n", "x", "kind", "ids")))
+        # A tree's first node is its root.
+        roots = self.shards.select("dim", "shard", F.substring("centres", F.lit(1), F.col("dim") * 8).alias("centre"), _first_double("radii").alias("radius"))
+        roots = roots.withColumn("page", F.floor(F.row_number().over(W.partitionBy("dim").orderBy("shard")) / PAGE_ROWS).cast("int"))
+        self.pages = self.scratch.keep(roots.groupBy("dim", "page").applyInArrow(_roots, "dim int, page int, shards binary, cs binary, rs binary"), "roots")
+
+    def with_pages(self, blocks: DataFrame) -> DataFrame:
+        """Each block beside each page of its vectors' length; SALTS tasks share what would be one key."""
+        salted = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+        copies = self.pages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return salted.join(copies, ["dim", "salt"]).drop("salt")
+
+    def first_pairs(self) -> DataFrame:
+        """For each block the shards of the highest bounds."""
+        met = self.with_pages(self.blocks.withColumn("q_kth", F.lit(None).cast("binary")))
+        order = W.partitionBy("dim", "block").orderBy(F.desc("bound"), "shard")
+        best = met.mapInArrow(_bounds(FIRST), PAIR).withColumn("at", F.row_number().over(order))
+        return self.scratch.keep(best.where(F.col("at") <= FIRST).select("dim", "block", "shard"), "first-pairs")
+
+    def other_pairs(self, done: DataFrame, kth: DataFrame) -> DataFrame:
+        """The further shards that may hold a result of a block, by the k-th scores found so far."""
+        met = self.with_pages(self.blocks.join(kth, ["dim", "block"]))
+        pairs = met.mapInArrow(_bounds(None), PAIR).select("dim", "block", "shard")
+        return self.scratch.keep(pairs.join(done, ["dim", "block", "shard"], "left_anti"), "pairs")
+
+    def kth_scores(self, found: DataFrame, k: int) -> DataFrame:
+        """(dim, block, q_kth): of each query the k-th score found, in the order of ids."""
+        order = W.partitionBy("query_id").orderBy(F.desc("score"))
+        kth = found.withColumn("at", F.row_number().over(order)).where(F.col("at") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+        held = self.queries.join(kth, "id", "left").select("dim", "block", "id", F.coalesce("kth", F.lit(NONE + 1)).alias("kth"))
+        held = held.groupBy("dim", "block").applyInArrow(_kth_blob, "dim int, block bigint, q_kth binary")
+        return self.scratch.keep(held, "kth")
+
+    def searched(self, pairs: DataFrame, kth: DataFrame, k: int) -> DataFrame:
+        return _search(pairs.join(self.blocks, ["dim", "block"]).join(kth, ["dim", "block"], "left").join(self.shards, ["dim", "shard"]), k)
+
+    def results(self, k: int) -> DataFrame:
+        some = self.first_pairs()
+        none = self.blocks.select("dim", "block", F.lit(None).cast("binary").alias("q_kth")).limit(0)
+        first = self.scratch.keep(self.searched(some, none, k), "first")
+        kth = self.kth_scores(first, k)
+        rest = self.other_pairs(some, kth)
+        return _ranked(first.unionByName(self.searched(rest, kth, k)), k)
+
+
+def _first_double(c: str) -> Column:
+    """The first of the doubles in a binary."""
+    return F.arrow_udf(lambda a: pa.array([np.frombuffer(x.as_py()[:8])[0] for x in a], pa.float64()), "double")(c)
+
+
 def top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -196,41 +337,7 @@ def top_k(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with is_query its k best other rows."""
-    spark = vectors.sparkSession
-    ship_package(spark)
-    scratch = Scratch(spark, "topk")
-    v = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(
-        F.col(id_col).cast("long").alias("id"),
-        F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"),
-        F.coalesce(is_query, F.lit(False)).alias("q"),
-    )
-    v = v.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("dim", F.size("v"))
-    v = scratch.keep(v, "vectors")
-    totals = v.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
-    n_shards, n_blocks = max(1, -(-totals[0] // shard_rows)), max(1, -(-totals[1] // block_rows))
-    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    shards = scratch.keep(
-        v.withColumn("shard", spread(n_shards, 1)).groupBy("dim", "shard").applyInArrow(
-            _shards, "dim int, shard int, nodes binary, centres binary, radii binary, " + BLOB),
-        "shards",
-    )
-    blocks = scratch.keep(
-        v.where("q").withColumn("block", spread(n_blocks, 2)).groupBy("dim", "block").applyInArrow(_blocks, "dim int, block int, " + BLOB), "blocks"
-    )
-    blocks = blocks.select("dim", "block", *(F.col(c).alias(f"q_{c}") for c in ("n", "x", "kind", "ids")))
-    home = F.pmod("block", F.lit(n_shards))
-    first = _search(blocks.withColumn("shard", home).withColumn("q_kth", F.lit(None).cast("binary")).join(shards, ["dim", "shard"]), k)
-    first = scratch.keep(first, "first")
-    if n_shards == 1:
-        return _ranked(first, k)
-    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
-    held = v.where("q").withColumn("block", spread(n_blocks, 2)).join(kth, F.col("id") == F.col("query_id"), "left")
-    held = held.select("dim", "block", "id", F.coalesce("kth", F.lit(NONE + 1)).alias("kth")).groupBy("dim", "block").applyInArrow(
-        _kth_blob, "dim int, block int, q_kth binary"
-    )
-    rest = F.filter(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: s != home)
-    pairs = blocks.join(held, ["dim", "block"]).withColumn("shard", F.explode(rest)).join(shards, ["dim", "shard"])
-    return _ranked(first.unionByName(_search(pairs, k)), k)
+    return TopK(vectors, is_query, scale, id_col, vec_col, shard_rows, block_rows).results(k)
 
 
 def _kth_blob(t: pa.Table) -> pa.Table:

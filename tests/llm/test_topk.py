@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.topk import top_k
+from lodestone.llm.topk import TopK, top_k
 
 
 def _brute(rows, k, scale):
@@ -35,3 +35,16 @@ def test_as_brute_force(spark, shard_rows):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(df, F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_shards_are_pruned_before_they_move(spark):
+    """Of vectors in clusters most pairs of block and shard are never joined, and the results are exact."""
+    g = np.random.default_rng(3)
+    centres = g.normal(size=(30, 16)) * 4
+    rows = [(i, [float(c) for c in np.float32(centres[i % 30] + g.normal(size=16) * 0.2)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    t = TopK(df, F.col("vec_id") % 5 == 0, 64, "vec_id", "embedding", 50, 16)
+    got = t.results(7).collect()
+    assert {tuple(r) for r in got} == _brute(rows, 7, 64)
+    searched = spark.read.parquet(t.scratch.path("first-pairs")).count() + spark.read.parquet(t.scratch.path("pairs")).count()
+    assert searched < 0.3 * t.blocks.count() * t.shards.count()
