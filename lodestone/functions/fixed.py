@@ -83,3 +83,14 @@ LOW_CONFIDENCE, FLOOR, CEILING = 0.60, 0.10, 0.95
 REPLAY, STUCK_SECONDS = 500, 900
 DIAGRAM_EDGES, DIAGRAM_ENTITIES, DIAGRAM_CALLS, STORY_CALLS, PERSONA_NAMES = 50, 20, 30, 15, 10
 CONTEXT_CAPS = {"entities": 30, "rules": 20, "risks": 10, "purposes": 15, "relationships": 20, "workflows": 5, "samples": 5}
+
+#: Words that begin a table's constraint; bases and calls of mapped classes; verbs of routes; lines in which a handler follows its decorator.
+TABLE_CONSTRAINTS = ["PRIMARY", "UNIQUE", "CHECK", "CONSTRAINT", "INDEX"]
+ORM_BASES = ["Base", "Model", "DeclarativeBase"]
+ORM_COLUMNS = ["Column", "mapped_column"]
+HTTP_VERBS = ["get", "post", "put", "delete", "patch"]
+HANDLER_LINES = 5
+
+#: Patterns of identifier words and of placeholder marks.
+IDENTIFIER_WORD = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)|[a-z]+|\d+"
+PLACEHOLDER_MARK = r"\[([A-Z][A-Z0-9_\s]{2,30})\]"

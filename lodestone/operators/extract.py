@@ -1,27 +1,30 @@
 """Extraction of declarations, calls, imports, tables and endpoints from chunks of source code.
 
-chunks(file_path, language, start_line, content, seq). Imports and endpoints are line
-patterns and stay JVM-side. Declarations and calls need a parser: Python's own for Python;
-for other languages a scanner of declaration and call shapes, which sees what is written on
-one line. Table definitions need a counter of parentheses. A chunk that cannot be parsed
-gives no rows and stops nothing.
+chunks(file_path, language, start_line, content, seq). Python is read by its own parser, all
+other languages and SQL by a lexer that knows comments, strings and brackets, so that what is
+written over several lines is seen like what stands on one. Declarations are those of the top
+level; a class names the functions inside it. A chunk that cannot be parsed gives no rows and
+stops nothing.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed as K
 from lodestone.functions.text import path_params
+from lodestone.operators import lexer
+from lodestone.operators.lexer import Token
 from lodestone.runtime import ship_package
 
 ENTITY = "name string, entity_type string, file_path string, start_line int, end_line int, language string, signature string, docstring string, parent string, children array<string>, seq bigint, ordinal int"
+IMPORT = "source_file string, target string, import_type string, symbols array<string>, seq bigint, ordinal int"
+ROUTE = "method string, path string, handler_file string, handler_function string, handler_line int, seq bigint, ordinal int"
 CALL = "caller_file string, caller_line int, callee string, receiver string, call_type string, seq bigint, ordinal int"
 SCHEMA = (
     "name string, source_type string, file_path string, start_line int, "
@@ -29,30 +32,7 @@ SCHEMA = (
     "relationships array<struct<target_entity: string, relationship_type: string, foreign_key: string>>, seq bigint, ordinal int"
 )
 
-#: One-line shapes of declarations: (language, entity type, pattern).
-_NAME = r"([A-Za-z_$][\w$]*)"
-SHAPES = [
-    ("javascript", "function", rf"(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*{_NAME}\s*\("),
-    ("javascript", "class", rf"(?:export\s+(?:default\s+)?)?class\s+{_NAME}"),
-    ("typescript", "function", rf"(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*{_NAME}\s*[(<]"),
-    ("typescript", "class", rf"(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+{_NAME}"),
-    ("typescript", "interface", rf"(?:export\s+)?interface\s+{_NAME}"),
-    ("java", "class", rf"(?:(?:public|private|protected|abstract|final|static)\s+)*(?:class|enum)\s+{_NAME}"),
-    ("java", "interface", rf"(?:(?:public|private|protected)\s+)*interface\s+{_NAME}"),
-    ("go", "function", rf"func\s+(?:\([^)]*\)\s*)?{_NAME}\s*\("),
-    ("go", "class", rf"type\s+{_NAME}\s+struct\b"),
-    ("go", "interface", rf"type\s+{_NAME}\s+interface\b"),
-    ("rust", "function", rf"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+{_NAME}"),
-    ("rust", "class", rf"(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+{_NAME}"),
-    ("rust", "interface", rf"(?:pub(?:\([^)]*\))?\s+)?trait\s+{_NAME}"),
-    ("c", "function", rf"[A-Za-z_][\w\s\*]*?\b{_NAME}\s*\([^;{{]*\)\s*\{{"),
-    ("c", "class", rf"(?:typedef\s+)?struct\s+{_NAME}\s*\{{"),
-    ("cpp", "function", rf"[A-Za-z_][\w\s\*&:<>,]*?\b{_NAME}\s*\([^;{{]*\)\s*(?:const\s*)?\{{"),
-    ("cpp", "class", rf"(?:class|struct)\s+{_NAME}[^;]*$"),
-]
-_CALL = re.compile(r"(?:\b(new)\s+)?(?:([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\.)?([A-Za-z_$][\w$]*)\s*\(")
-_NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "function", "func", "fn", "sizeof", "def", "class", "match", "import"}
-_DECLARES = re.compile(r"\b(?:function\s*\*?|func|fn)\s*$")
+_NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "function", "func", "fn", "sizeof", "def", "class", "match", "import", "super"}
 
 
 def _per_chunk(chunks: DataFrame, one: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
@@ -78,34 +58,40 @@ def _per_chunk(chunks: DataFrame, one: Callable[[dict], list[tuple]], schema: st
     return chunks.select("file_path", "language", F.col("start_line").cast("int").alias("start_line"), "content", F.col("seq").cast("long").alias("seq")).mapInArrow(run, schema)
 
 
-def _signature(node: ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) -> str:
+def _signature(node: ast.AST, source: str) -> str | None:
+    """name(parameters) -> result, as written; None for a class."""
     if isinstance(node, ast.ClassDef):
-        bases = ", ".join(map(ast.unparse, node.bases))
-        return f"class {node.name}({bases})" if bases else f"class {node.name}"
-    back = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-    lead = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
-    return f"{lead} {node.name}({ast.unparse(node.args)}){back}"
+        return None
+    lines = ast.get_source_segment(source, node) or ""
+    head = lines[lines.index(node.name) :]
+    depth, end = 0, len(head)
+    for i, ch in enumerate(head):
+        depth += (ch in "([{") - (ch in ")]}")
+        if ch == ")" and depth == 0:
+            end = i + 1
+            break
+    back = f" -> {ast.get_source_segment(source, node.returns)}" if node.returns else ""
+    return head[:end] + back
+
+
+def _python_declarations(source: str) -> list[ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef]:
+    return [n for n in ast.parse(source).body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
 
 
 def _entities(c: dict) -> list[tuple]:
-    path, lang, base = c["file_path"], c["language"], c["start_line"]
+    path, lang, base, text = c["file_path"], c["language"], c["start_line"], c["content"]
+    out = []
     if lang == "python":
-        out = []
-        for n in ast.parse(c["content"]).body:
-            if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                kind = "class" if isinstance(n, ast.ClassDef) else "function"
-                inner = [x.name for x in n.body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)] if kind == "class" else []
-                out.append((n.name, kind, path, base + n.lineno - 1, base + n.end_lineno - 1, lang, _signature(n), ast.get_docstring(n), None, inner))
+        for n in _python_declarations(text):
+            kind = "class" if isinstance(n, ast.ClassDef) else "function"
+            inner = [x.name for x in n.body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)] if kind == "class" else []
+            note = ast.get_docstring(n, clean=False)
+            out.append((n.name, kind, path, base + n.lineno - 1, base + n.end_lineno - 1, lang, _signature(n, text), note.strip() if note else None, None, inner))
         return out
-    shapes = [(t, re.compile(p)) for k, t, p in SHAPES if k == lang]
-    out, lines = [], c["content"].split("\n")
-    for i, line in enumerate(lines):
-        for kind, p in shapes:
-            if m := p.match(line):
-                before = lines[i - 1].strip() if i else ""
-                note = re.sub(r"^(//+|/\*+|\*+)\s*|\s*\*/$", "", before) if before.startswith(("//", "/*", "*")) else None
-                out.append((m[1], kind, path, base + i, None, lang, line.strip().rstrip("{").strip(), note, None, []))
-                break
+    for s in lexer.statements(text, lang):
+        if d := lexer.declaration(s, text, lang):
+            note = s.comment.text.strip("/*").strip() if s.comment and lang in ("javascript", "typescript", "java") else None
+            out.append((d.name, d.kind, path, base + s.start, base + s.stop, lang, d.signature, note, None, d.members))
     return out
 
 
@@ -122,19 +108,42 @@ def _calls(c: dict) -> list[tuple]:
             if isinstance(n, ast.Call):
                 f = n.func
                 if isinstance(f, ast.Attribute):
-                    out.append((n.lineno, n.col_offset, f.attr, ast.unparse(f.value), "method"))
+                    out.append((n.lineno, n.col_offset, f.attr, ast.unparse(f.value), "direct"))
                 else:
                     text = f.id if isinstance(f, ast.Name) else ast.unparse(f)
                     if len(text) < 100:
-                        out.append((n.lineno, n.col_offset, text, None, "function"))
+                        out.append((n.lineno, n.col_offset, text, None, "direct"))
         return [(path, base + line - 1, name, got, kind) for line, _, name, got, kind in sorted(out, key=lambda x: x[:2])]
-    for i, line in enumerate(c["content"].split("\n")):
-        for m in _CALL.finditer(line):
-            if m[3] not in _NOT_CALLS and not _DECLARES.search(line[: m.start(3)]):
-                out.append((path, base + i, m[3], m[2], "constructor" if m[1] else "method" if m[2] else "function"))
+    toks = [t for t in lexer.tokens(c["content"], lang) if t.kind != "comment"]
+    for i, t in enumerate(toks[:-1]):
+        before = toks[i - 1].text if i else ""
+        called = toks[i + 1].text == "(" or (lang == "rust" and toks[i + 1].text == "!" and i + 2 < len(toks) and toks[i + 2].text in "([{")
+        if t.kind != "name" or not called or t.text in _NOT_CALLS or before in {"function", "func", "fn", "*"} or (before, lang) == ("@", "java"):
+            continue
+        k = i
+        while k >= 2 and toks[k - 1].text in {".", "->", "::"} and toks[k - 2].kind == "name":
+            k -= 2
+        if _declares(toks, i, k, lang):
+            continue
+        receiver = c["content"][toks[k].at : toks[i - 1].at] if k < i else None
+        made = k > 0 and toks[k - 1].text == "new"
+        out.append((path, base + t.line, t.text, receiver, "constructor" if made else "direct"))
     return out
 
 
+def _declares(toks: list[Token], i: int, k: int, lang: str) -> bool:
+    """True where name(...) is the head of a function with a body, not a call."""
+    if i != k or i == 0:
+        return False
+    end = lexer.closing(toks, i + 1)
+    after = toks[end + 1].text if end + 1 < len(toks) else ""
+    before = toks[i - 1]
+    if lang in ("c", "cpp", "java"):
+        typed = (before.kind == "name" and before.text not in {"return", "new", "else", "throw"}) or before.text in {">", "&", "]"}
+        return typed and after in {"{", "throws", "const", ";"}
+    return before.text in {"{", "}", ";", "async", "static", "get", "set", "public", "private", "protected"} and after in {"{", ":"}
+
+
 def calls(chunks: DataFrame, known: DataFrame) -> DataFrame:
     """Call sites, with confidence high where the callee is a known(name)."""
     c = _per_chunk(chunks.where(F.col("language").isin(K.GRAMMAR_LANGUAGES)), _calls, CALL)
@@ -142,42 +151,71 @@ def calls(chunks: DataFrame, known: DataFrame) -> DataFrame:
     return c.join(k, "callee", "left").select(*c.columns, F.when(F.col("_k") == 1, "high").otherwise("low").alias("confidence"))
 
 
-def _split(inner: str) -> list[str]:
-    """At commas outside parentheses."""
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(inner):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            out.append(inner[start:i])
-            start = i + 1
-    return [x.strip() for x in [*out, inner[start:]] if x.strip()]
+def _is(t: Token, *words: str) -> bool:
+    return t.kind == "name" and t.text.upper() in words
+
+
+def _words(toks: list[Token], source: str) -> list[str]:
+    """What white space separates in a run of tokens."""
+    out: list[str] = []
+    for i, t in enumerate(toks):
+        if i and toks[i - 1].end == t.at:
+            out[-1] += t.text
+        else:
+            out.append(t.text)
+    return [w for x in out for w in x.split()]
 
 
-def _column(text: str) -> dict | None:
-    words, up = text.split(), text.upper()
-    if len(words) < 2 or words[0].upper() in ("PRIMARY", "UNIQUE", "CHECK", "CONSTRAINT", "INDEX"):
+def _column(part: list[Token], source: str) -> dict | None:
+    """A column: its name, its second word as the type, and what its other words say."""
+    words = _words(part, source)
+    if len(words) < 2 or words[0].upper() in K.TABLE_CONSTRAINTS:
         return None
-    limits = ["unique"] * ("UNIQUE" in up) + [f"default:{d[1].lower()}" for d in [re.search(r"DEFAULT\s+(\S+)", up)] if d]
-    return {"name": words[0], "data_type": words[1], "nullable": "NOT NULL" not in up, "primary_key": "PRIMARY KEY" in up, "constraints": limits}
+    pairs = list(zip(part, part[1:], strict=False))
+    limits = ["unique"] if any(_is(t, "UNIQUE") for t in part) else []
+    for i, t in enumerate(part[:-1]):
+        if _is(t, "DEFAULT"):
+            limits.append("default:" + _words(part[i + 1 :], source)[0].lower())
+            break
+    return {
+        "name": words[0],
+        "data_type": words[1],
+        "nullable": not any(_is(a, "NOT") and _is(b, "NULL") for a, b in pairs),
+        "primary_key": any(_is(a, "PRIMARY") and _is(b, "KEY") for a, b in pairs),
+        "constraints": limits,
+    }
+
+
+def _foreign_key(part: list[Token]) -> dict | None:
+    """FOREIGN KEY (column) REFERENCES table."""
+    if len(part) < 7 or not (_is(part[0], "FOREIGN") and _is(part[1], "KEY") and part[2].text == "("):
+        return None
+    end = lexer.closing(part, 2)
+    if end != 4 or end + 2 >= len(part) or not _is(part[end + 1], "REFERENCES"):
+        return None
+    return {"target_entity": part[end + 2].text, "relationship_type": "one_to_many", "foreign_key": part[3].text}
 
 
 def _tables(c: dict) -> list[tuple]:
-    lines, out, i = c["content"].split("\n"), [], 0
-    while i < len(lines):
-        m = re.match(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)\s*\(", lines[i].strip(), re.I)
-        j = i
-        if m:
-            while j < len(lines) - 1 and ");" not in lines[j] and lines[j].strip() != ")":
-                j += 1
-            inner = re.search(r"\((.*)\)", "\n".join(lines[i : j + 1]), re.S)
-            columns, links = [], []
-            for part in _split(inner[1]) if inner else []:
-                if fk := re.match(r"FOREIGN\s+KEY\s*\((\w+)\)\s*REFERENCES\s+(\w+)", part, re.I):
-                    links.append({"target_entity": fk[2], "relationship_type": "one_to_many", "foreign_key": fk[1]})
-                elif col := _column(part):
-                    columns.append(col)
-            out.append((m[1], "sql_definition", c["file_path"], c["start_line"] + i, columns, links))
-        i = j + 1
+    source = c["content"]
+    toks = [t for t in lexer.tokens(source, "sql") if t.kind != "comment"]
+    out, i = [], 0
+    while i + 3 < len(toks):
+        name = i + 2
+        if not (toks[i].first and _is(toks[i], "CREATE") and _is(toks[i + 1], "TABLE")):
+            i += 1
+            continue
+        if [t.text.upper() for t in toks[name : name + 3]] == ["IF", "NOT", "EXISTS"]:
+            name += 3
+        if name + 1 >= len(toks) or toks[name].kind != "name" or toks[name + 1].text != "(":
+            i += 1
+            continue
+        end = lexer.closing(toks, name + 1)
+        parts = list(lexer.split_at(toks[name + 2 : end]))
+        links = [k for k in map(_foreign_key, parts) if k]
+        columns = [k for p in parts if not _foreign_key(p) and (k := _column(p, source))]
+        out.append((toks[name].text, "sql_definition", c["file_path"], c["start_line"] + toks[i].line, columns, links))
+        i = end + 1
     return out
 
 
@@ -185,23 +223,50 @@ def sql_tables(chunks: DataFrame) -> DataFrame:
     return _per_chunk(chunks.where("language = 'sql'"), _tables, SCHEMA)
 
 
+def _called(node: ast.AST | None) -> str | None:
+    """The name of a plainly named function that an expression calls."""
+    return node.func.id if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) else None
+
+
+def _root(node: ast.AST) -> str:
+    """The word that an argument begins with."""
+    while isinstance(node, ast.Call | ast.Attribute | ast.Subscript):
+        node = node.func if isinstance(node, ast.Call) else node.value
+    return node.id if isinstance(node, ast.Name) else "unknown"
+
+
+def _keyword(call: ast.Call, name: str):
+    """The constant that a keyword argument has."""
+    return next((k.value.value for k in call.keywords if k.arg == name and isinstance(k.value, ast.Constant)), None)
+
+
+def _mapped_field(node: ast.stmt) -> tuple[str, ast.Call] | None:
+    """(name, call) of `name = call(...)` and `name: call(...)`."""
+    if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Call):
+        return node.targets[0].id, node.value
+    if isinstance(node, ast.AnnAssign) and node.value is None and isinstance(node.target, ast.Name) and isinstance(node.annotation, ast.Call):
+        return node.target.id, node.annotation
+    return None
+
+
 def _orm(c: dict) -> list[tuple]:
-    lines, out = c["content"].split("\n"), []
-    for i, line in enumerate(lines):
-        m = re.match(r"class\s+(\w+)\s*\(.*(?:Base|Model|DeclarativeBase).*\)\s*:", line)
-        if not m:
+    out = []
+    for n in ast.parse(c["content"]).body:
+        if not isinstance(n, ast.ClassDef) or not any(w in ast.unparse(b) for b in [*n.bases, *(k.value for k in n.keywords)] for w in K.ORM_BASES):
             continue
-        columns, links = [], []
-        for body in lines[i + 1 :]:
-            if body.strip() and not body.startswith((" ", "\t")):
-                break
-            if col := re.match(r"(\w+)\s*[=:]\s*(?:Column|mapped_column)\s*\((.+)\)", body.strip()):
-                kind = re.match(r"\s*(\w+)", col[2])
-                columns.append({"name": col[1], "data_type": kind[1] if kind else "unknown", "nullable": "nullable=False" not in col[2], "primary_key": "primary_key=True" in col[2], "constraints": []})
-            if rel := re.match(r"(\w+)\s*=\s*relationship\s*\(['\"]?(\w+)['\"]?", body.strip()):
-                links.append({"target_entity": rel[2], "relationship_type": "one_to_many", "foreign_key": None})
+        fields = [f for f in map(_mapped_field, n.body) if f]
+        columns = [
+            {"name": name, "data_type": _root(call.args[0]) if call.args else call.keywords[0].arg, "nullable": _keyword(call, "nullable") is not False,
+             "primary_key": _keyword(call, "primary_key") is True, "constraints": []}
+            for name, call in fields if _called(call) in K.ORM_COLUMNS and (call.args or call.keywords)
+        ]
+        links = []
+        for _, call in fields:
+            if _called(call) == "relationship" and call.args:
+                to = call.args[0]
+                links.append({"target_entity": to.value if isinstance(to, ast.Constant) else _root(to), "relationship_type": "one_to_many", "foreign_key": None})
         if columns:
-            out.append((m[1], "orm_model", c["file_path"], c["start_line"] + i, columns, links))
+            out.append((n.name, "orm_model", c["file_path"], c["start_line"] + n.lineno - 1, columns, links))
     return out
 
 
@@ -209,74 +274,128 @@ def orm_models(chunks: DataFrame) -> DataFrame:
     return _per_chunk(chunks.where("language = 'python'"), _orm, SCHEMA)
 
 
-def _with_lines(chunks: DataFrame) -> DataFrame:
-    return chunks.select("file_path", "language", "start_line", "seq", F.split("content", "\n").alias("l")).select("*", F.posexplode("l").alias("i", "line"))
+def _python_imports(text: str) -> list[tuple]:
+    """(target, kind, symbols) in the order of their lines, wherever they stand."""
+    out = []
+    for n in ast.walk(ast.parse(text)):
+        if isinstance(n, ast.Import):
+            out += [(n.lineno, i, a.name, "module", []) for i, a in enumerate(n.names)]
+        elif isinstance(n, ast.ImportFrom):
+            names = [a.name for a in n.names]
+            out.append((n.lineno, 0, "." * n.level + (n.module or ""), "wildcard" if names == ["*"] else "symbol", names))
+    return [x[2:] for x in sorted(out, key=lambda x: x[:2])]
+
+
+def _script_import(toks: list[Token]) -> tuple | None:
+    """import ... from 'target', its braces naming symbols."""
+    source = next((b for a, b in zip(toks, toks[1:], strict=False) if a.text == "from" and b.kind == "string"), None)
+    if source is None:
+        return None
+    names: list[str] = []
+    braces = next((i for i, t in enumerate(toks) if t.text == "{"), None)
+    if braces is not None:
+        for part in lexer.split_at(toks[braces + 1 : lexer.closing(toks, braces)]):
+            named = [t.text for t in part if t.kind == "name" and t.text != "type"]
+            names += named[:1]
+    return source.value, "symbol" if names else "module", names
+
+
+def _path(toks: list[Token], joints: set[str]) -> str:
+    """The names and joints that a run begins with, as one text."""
+    out = ""
+    for t in toks:
+        if t.kind != "name" and t.text not in joints:
+            break
+        if t.kind == "name" and out and out[-1] not in ".:":
+            break
+        out += t.text
+    return out
 
 
-def _g(pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract("line", pattern, group)
+def _imports(c: dict) -> list[tuple]:
+    path, lang, text = c["file_path"], c["language"], c["content"]
+    if lang == "python":
+        return [(path, *x) for x in _python_imports(text)]
+    out: list[tuple] = []
+    for s in lexer.statements(text, lang):
+        t = s.toks
+        if lang in ("javascript", "typescript"):
+            if t[0].text == "import" and (got := _script_import(t)):
+                out.append(got)
+            for a, b, d, e in zip(t, t[1:], t[2:], t[3:], strict=False):
+                if (a.text, b.text, d.kind, e.text) == ("require", "(", "string", ")"):
+                    out.append((d.value, "module", []))
+        elif lang == "java" and t[0].text == "import":
+            rest = t[2:] if len(t) > 1 and t[1].text == "static" else t[1:]
+            if name := _path(rest, {"."}):
+                whole = name.endswith(".")
+                out.append((name.rstrip("."), "wildcard" if whole else "symbol", []))
+        elif lang == "go" and t[0].text == "import":
+            out += [(x.value, "module", []) for x in t if x.kind == "string"]
+        elif lang == "rust" and "use" in (words := [x.text for x in t[:5]]) and all(w in {"pub", "(", ")", "crate", "super"} for w in words[: words.index("use")]):
+            if name := _path(t[words.index("use") + 1 :], {"::"}):
+                out.append((name, "module", []))
+        elif lang in ("c", "cpp") and t[0].text == "#" and len(t) > 2 and t[1].text == "include":
+            if t[2].kind == "string":
+                out.append((t[2].value, "module", []))
+            elif t[2].text == "<":
+                out.append((text[t[2].end : next((x.at for x in t[3:] if x.text == ">"), t[-1].end)], "module", []))
+    return [(path, *x) for x in out]
 
 
 def imports(chunks: DataFrame) -> DataFrame:
-    """(source_file, target, import_type, symbols, seq, ordinal) by each language's import lines."""
-    rows = _with_lines(chunks.where(F.col("language").isin(K.GRAMMAR_LANGUAGES)))
-    lang = F.col("language")
-    names = lambda text: F.filter(F.transform(F.split(F.regexp_replace(text, r"[(){}]|#.*$|//.*$", ""), ","), lambda s: F.regexp_replace(F.btrim(s), r"\s+as\s+.*$", "")), lambda s: s != "")
-    none = F.array().cast("array<string>")
-    item = lambda target, kind, symbols: F.struct(target.alias("target"), F.lit(kind).alias("import_type"), symbols.alias("symbols"))
-    py_from, py_names = _g(r"^\s*from\s+([\w.]+)\s+import\s+(.+)$"), _g(r"^\s*from\s+([\w.]+)\s+import\s+(.+)$", 2)
-    js = _g(r"""^\s*import\s+(?:.*?\s+from\s+)?['"]([^'"]+)['"]""")
-    js_names = _g(r"""^\s*import\s+\{([^}]*)\}\s+from""")
-    required = _g(r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""")
-    java = _g(r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;")
-    go = F.coalesce(F.nullif(_g(r'^\s*import\s+(?:\w+\s+)?"([^"]+)"'), F.lit("")), _g(r'^\s+(?:[\w.]+\s+)?"([^"]+)"\s*$'))
-    rust = _g(r"^\s*(?:pub\s+)?use\s+([^;{]+?)(?:::)?\s*[;{]")
-    include = _g(r'^\s*#\s*include\s*[<"]([^>"]+)[>"]')
-    script = lang.isin("javascript", "typescript")
-    one = (
-        F.when((lang == "python") & (py_from != ""), F.when(F.btrim(py_names) == "*", item(py_from, "wildcard", F.array(F.lit("*")))).otherwise(item(py_from, "symbol", names(py_names))))
-        .when(script & (js != ""), item(js, "module", F.when(js_names != "", names(js_names)).otherwise(none)))
-        .when(script & (required != ""), item(required, "module", none))
-        .when((lang == "java") & (java != ""), F.when(java.endswith(".*"), item(F.regexp_replace(java, r"\.\*$", ""), "wildcard", F.array(F.lit("*")))).otherwise(item(java, "symbol", F.array(F.element_at(F.split(java, r"\."), -1)))))
-        .when((lang == "go") & (go != ""), item(go, "module", none))
-        .when((lang == "rust") & (rust != ""), item(rust, "module", none))
-        .when(lang.isin("c", "cpp") & (include != ""), item(include, "module", none))
-    )
-    plain = _g(r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)\s*(?:#.*)?$")
-    many = F.when((lang == "python") & (plain != ""), F.transform(names(plain), lambda n: item(n, "module", none))).otherwise(F.array_compact(F.array(one)))
-    rows = rows.select(F.col("file_path").alias("source_file"), "seq", "i", F.posexplode(many).alias("j", "x"))
-    return rows.select("source_file", "x.target", "x.import_type", "x.symbols", "seq", (F.col("i") * 1000 + F.col("j")).alias("ordinal"))
+    """(source_file, target, import_type, symbols, seq, ordinal) of each language's imports, over any number of lines."""
+    return _per_chunk(chunks.where(F.col("language").isin(K.GRAMMAR_LANGUAGES)), _imports, IMPORT)
+
+
+def _python_routes(text: str) -> list[tuple]:
+    """(line, methods, path, handler) of decorators that name a verb or a route."""
+    out = []
+    for n in ast.walk(ast.parse(text)):
+        for d in getattr(n, "decorator_list", []):
+            f = d.func if isinstance(d, ast.Call) else None
+            if not isinstance(f, ast.Attribute) or not isinstance(f.value, ast.Name) or not d.args or not isinstance(d.args[0], ast.Constant) or not isinstance(d.args[0].value, str):
+                continue
+            if f.attr.lower() in K.HTTP_VERBS:
+                methods = [f.attr.upper()]
+            elif f.attr == "route":
+                listed = next((k.value for k in d.keywords if k.arg == "methods"), None)
+                methods = [x.value.upper() for x in getattr(listed, "elts", []) if isinstance(x, ast.Constant)] or ["GET"]
+            else:
+                continue
+            near = not isinstance(n, ast.ClassDef) and n.lineno - d.lineno <= K.HANDLER_LINES
+            out.append((d.lineno, methods, d.args[0].value, n.name if near else "unknown"))
+    return sorted(out, key=lambda x: x[0])
+
+
+def _script_routes(text: str, lang: str) -> list[tuple]:
+    """Calls like `app.get('/path'`; the first of a line counts."""
+    toks = [t for t in lexer.tokens(text, lang) if t.kind != "comment"]
+    out: dict[int, tuple] = {}
+    for who, dot, verb, opened, path in zip(toks, toks[1:], toks[2:], toks[3:], toks[4:], strict=False):
+        quoted = path.kind == "string" and path.text[0] in "'\"" and path.value
+        if who.kind == "name" and dot.text == "." and verb.text.lower() in K.HTTP_VERBS and opened.text == "(" and quoted:
+            out.setdefault(who.line, (who.line + 1, [verb.text.upper()], path.value, "anonymous"))
+    return list(out.values())
+
+
+def _routes(c: dict) -> list[tuple]:
+    found = _python_routes(c["content"]) if c["language"] == "python" else _script_routes(c["content"], c["language"])
+    return [(m, path, c["file_path"], handler, c["start_line"] + line - 1) for line, methods, path, handler in found for m in methods]
 
 
 def endpoints(chunks: DataFrame) -> DataFrame:
     """(method, path, handler_file, handler_function, handler_line, parameters, seq, ordinal): one row per method."""
-    rows = _with_lines(chunks.where(F.col("language").isin("python", "javascript", "typescript"))).withColumn("raw", F.col("line"))
-    rows = rows.withColumn("line", F.when(F.col("language") == "python", F.btrim(F.col("raw"), F.lit(" \t\r"))).otherwise(F.col("raw")))
-    verb = r"""\.(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]"""
-    fast, express = rf"(?i)^@\w+{verb}", rf"(?i)\w+{verb}"
-    flask = r"""^@\w+\.route\s*\(\s*['"]([^'"]+)['"](?:\s*,\s*methods\s*=\s*\[([^\]]+)\])?"""
-    py, hit = F.col("language") == "python", lambda p: F.col("line").rlike(p)
-    listed = F.transform(F.split(_g(flask, 2), ","), lambda s: F.upper(F.btrim(F.btrim(s), F.lit("'\""))))
-    methods = (
-        F.when(py & hit(fast), F.array(F.upper(_g(fast)))).when(py & hit(flask), F.when(_g(flask, 2) != "", listed).otherwise(F.array(F.lit("GET"))))
-        .when(~py & hit(express), F.array(F.upper(_g(express))))
-    )
-    path = F.when(py & hit(fast), _g(fast, 2)).when(py, _g(flask, 1)).otherwise(_g(express, 2))
-    after = F.slice("l", F.col("i") + 2, F.lit(5))
-    defs = F.filter(F.transform(after, lambda s: F.regexp_extract(s, r"^\s*(?:async\s+)?def\s+(\w+)", 1)), lambda s: s != "")
-    handler = F.when(py, F.coalesce(F.get(defs, F.lit(0)), F.lit("unknown"))).otherwise("anonymous")
-    out = rows.withColumn("methods", methods).where("methods IS NOT NULL").withColumn("path", path).withColumn("handler_function", handler)
-    out = out.select("*", F.posexplode("methods").alias("j", "method"))
-    return out.select("method", "path", F.col("file_path").alias("handler_file"), "handler_function", (F.col("start_line") + F.col("i")).alias("handler_line"),
-                      path_params(F.col("path")).alias("parameters"), "seq", (F.col("i") * 100 + F.col("j")).alias("ordinal"))
+    rows = _per_chunk(chunks.where(F.col("language").isin("python", "javascript", "typescript")), _routes, ROUTE)
+    return rows.select("method", "path", "handler_file", "handler_function", "handler_line", path_params(F.col("path")).alias("parameters"), "seq", "ordinal")
 
 
 def declaration_chunks(files: DataFrame, *, frame: int = 300) -> DataFrame:
     """files(path, language, content) -> chunks per top-level declaration: (file_path, language, start_line, end_line, chunk_type, symbol_name, content, seq).
 
     What stands before the first declaration is a block; a declaration over frame lines is
-    cut; code after or between declarations belongs to none. Files without one, and languages
-    without a scanner, are one block.
+    cut; code after or between declarations belongs to none. Files without one, languages
+    without a grammar, and files that do not parse are one block.
     """
     kinds = "file_path string, language string, start_line int, end_line int, chunk_type string, symbol_name string, content string, seq bigint, ordinal int"
 
@@ -285,14 +404,14 @@ def declaration_chunks(files: DataFrame, *, frame: int = 300) -> DataFrame:
         lines = text.split("\n")
         spans: list[tuple[int, int, str, str]] = []
         if lang == "python":
-            for n in ast.parse(text).body:
-                if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            try:
+                for n in _python_declarations(text):
                     first = min([n.lineno, *(d.lineno for d in n.decorator_list)])
                     spans.append((first, n.end_lineno, "class" if isinstance(n, ast.ClassDef) else "function", n.name))
-        else:
-            starts = [(r[3], r[1], r[0]) for r in _entities({**c, "start_line": 1})]
-            ends = [s[0] - 1 for s in starts[1:]] + [len(lines)]
-            spans = [(s, e, k, n) for (s, k, n), e in zip(starts, ends, strict=True)]
+            except SyntaxError:
+                spans = []
+        elif lang in K.GRAMMAR_LANGUAGES:
+            spans = [(s.start + 1, s.stop + 1, d.kind, d.name) for s in lexer.statements(text, lang) if (d := lexer.declaration(s, text, lang))]
         out = []
         if not spans:
             return [(path, lang, 1, len(lines), "block", None, text)] if text else []

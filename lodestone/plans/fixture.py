@@ -1,4 +1,83 @@
-"""A small source tree in eight languages, for the extraction queries and their tests."""
+"""Source files for the extraction queries: a small tree in eight languages, and files made from the part table.
+
+A generated file is a template in which %K stands for K and a part's key and %S for S and its size, so what is to be
+found in it follows from the table without parsing: a part has the template of its key modulo 4.
+"""
+
+TEMPLATES = [
+    (
+        "gen/%K.py",
+        """from pkg%S import (
+    a%K,  # first
+    b%K as other,
+)
+import os%K.path
+
+@app.get(
+    "/p/%K/{item}"
+)
+async def f%K(x, y=(1, 2)):
+    return g%S(x,
+              obj.h%K(y))
+
+class M%K(Base):
+    id = Column(Integer, primary_key=True)
+    ref = Column(
+        String(%S),
+        nullable=False,
+    )
+""",
+    ),
+    (
+        "gen/%K.ts",
+        """import {
+  a%K,
+  type b%K as c,
+} from './mod%S';
+/** Adds %K. */
+export async function f%K(
+  x: number,
+  y = "}"
+) {
+  return g%S(x) + `${y}`; // not h%K(x)
+}
+export default class C%K extends D {
+  run(a) { return new E%K(a); }
+  stop() {}
+}
+router.post('/q/%K/:id', f%K);
+""",
+    ),
+    (
+        "gen/%K.sql",
+        """-- CREATE TABLE no (id INT);
+CREATE TABLE IF NOT EXISTS t%K (
+  id BIGINT NOT NULL PRIMARY KEY, /* a, b) */
+  note VARCHAR(%S) DEFAULT 'x);y' UNIQUE,
+  other INT,
+  CHECK (id > 0),
+  FOREIGN KEY (other) REFERENCES t%S (id)
+);
+""",
+    ),
+    (
+        "gen/%K.java",
+        """package p;
+import java.util.
+    Lib%S;
+import static org.junit.T%K.*;
+/* Part %K. */
+@Entity(name = "%K")
+public final class C%K
+    extends Base%S {
+  public int run(int a) {
+    return help%S(a);
+  }
+}
+enum L%K { A, B }
+""",
+    ),
+]
 
 FILES = {
     "app/main.py": '''"""Entry."""
