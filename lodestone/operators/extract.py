@@ -211,7 +211,7 @@ def _tables(c: dict) -> list[tuple]:
             i += 1
             continue
         end = lexer.closing(toks, name + 1)
-        parts = list(lexer.split_at(toks[name + 2 : end]))
+        parts = list(lexer.split_at(toks[name + 2 : end])) if toks[end].text == ")" else []  # else it never ends
         links = [k for k in map(_foreign_key, parts) if k]
         columns = [k for p in parts if not _foreign_key(p) and (k := _column(p, source))]
         out.append((toks[name].text, "sql_definition", c["file_path"], c["start_line"] + toks[i].line, columns, links))

@@ -11,21 +11,29 @@ from lodestone.operators.ordered import joined_lines, top_per
 from lodestone.runtime import Scratch
 
 
+#: A front of at most so many nodes is broadcast to the edges; a larger one is joined by a shuffle.
+BROADCAST_FRONT = 100_000
+
+
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, *, callers: bool = False) -> DataFrame:
     """(start, node, distance): nodes within depth call edges of each start(start), nearest distance once.
 
-    A breadth-first search of at most 5 levels; each level is one join against the edges and
-    an anti-join against what was seen, written to the shared folder to cut the lineage.
+    A breadth-first search of at most 5 levels. The call edges are written once, as (at, node);
+    each level is one join of the front with them, without a shuffle of the edges while the
+    front is small, and an anti-join against what was seen; levels cut the lineage.
     The start itself is reported only if a cycle leads back to it, as distance of that cycle.
     """
     depth = max(0, min(int(depth), 5))
     here, there = ("target_id", "source_id") if callers else ("source_id", "target_id")
-    hops = edges.where("relationship_type = 'calls'").select(F.col(here).alias("at"), F.col(there).alias("node")).distinct()
     scratch = Scratch(edges.sparkSession, "khop")
     seen = start.select("start", F.lit(None).cast("string").alias("node"), F.lit(0).alias("distance")).limit(0)
-    front = start.select("start", F.col("start").alias("at")).distinct()
+    front = scratch.keep(start.select("start", F.col("start").alias("at")).distinct(), "level0")
+    hops = edges.where("relationship_type = 'calls'").select(F.col(here).alias("at"), F.col(there).alias("node"))
+    if depth > 1:
+        hops = scratch.keep(hops.distinct(), "hops")
     for d in range(1, depth + 1):
-        new = front.join(hops, "at").select("start", "node").distinct()
+        small = front.count() <= BROADCAST_FRONT
+        new = (F.broadcast(front) if small else front).join(hops, "at").select("start", "node").distinct()
         new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(d))
         new = scratch.keep(new, f"level{d}")
         seen = seen.unionByName(new)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -60,46 +63,70 @@ def merge_small(chunks: DataFrame, *, min_lines: int = K.MIN_CHUNK_LINES) -> Dat
     """Left fold of a file's chunks: two neighbours that are both short become one block.
 
     chunks(file_path, language, seq, start_line, end_line, chunk_type, symbol_name, content).
-    Files are independent, so the fold runs inside one aggregate per file.
+    A file's chunks lie side by side in one sorted partition and pass one by one; only the open
+    block is held.
     """
-    item = "struct<start_line: int, end_line: int, chunk_type: string, symbol_name: string, content: string>"
-    c = chunks.groupBy("file_path", "language").agg(
-        F.array_sort(F.collect_list(F.struct("seq", F.struct(
-            F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "chunk_type", "symbol_name", "content").alias("c")))).alias("s")
-    )
-    size = lambda x: x["end_line"] - x["start_line"] + 1
-
-    def step(acc: Column, x: Column) -> Column:
-        now, prev = x["c"], F.element_at(acc, -1)
-        both = (F.size(acc) > 0) & (size(prev) < min_lines) & (size(now) < min_lines)
-        merged = F.struct(
-            prev["start_line"].alias("start_line"), now["end_line"].alias("end_line"), F.lit("block").alias("chunk_type"),
-            prev["symbol_name"].alias("symbol_name"), F.concat(prev["content"], F.lit("\n"), now["content"]).alias("content"),
-        ).cast(item)
-        return F.when(both, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(now.cast(item))))
-
-    folded = c.select("file_path", "language", F.aggregate("s", F.array().cast(f"array<{item}>"), step).alias("m"))
-    return folded.select("file_path", "language", F.posexplode("m").alias("ordinal", "c")).select("file_path", "language", "ordinal", "c.*")
+    names = ["file_path", "language", "start_line", "end_line", "chunk_type", "symbol_name", "content"]
+    ints = [F.col(c).cast("int").alias(c) if c.endswith("_line") else F.col(c) for c in names]
+    c = chunks.select(*ints, "seq").repartition("file_path", "language").sortWithinPartitions("file_path", "language", "seq").select(names)
+    out = "file_path string, language string, ordinal int, start_line int, end_line int, chunk_type string, symbol_name string, content string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ordinal, head, body = None, 0, [], []  # the open block: its first columns and its contents
+
+        def row() -> dict:
+            start, end, kind, symbol = head
+            # A text without content stays null, as in a concatenation.
+            text = None if any(x is None for x in body) else "\n".join(body)
+            return {"file_path": key[0], "language": key[1], "ordinal": ordinal, "start_line": start, "end_line": end, "chunk_type": kind, "symbol_name": symbol, "content": text}
+
+        schema = pa.schema([(n, pa.int32() if n.endswith("_line") or n == "ordinal" else pa.string()) for n in (x.split()[0] for x in out.split(", "))])
+        for b in batches:
+            rows = []
+            for path, lang, start, end, kind, symbol, text in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                if key != (path, lang):
+                    if key is not None:
+                        rows.append(row())
+                    key, ordinal, head, body = (path, lang), 0, [start, end, kind, symbol], [text]
+                elif head[1] - head[0] + 1 < min_lines and end - start + 1 < min_lines:
+                    head[1], head[2] = end, "block"
+                    body.append(text)
+                else:
+                    rows.append(row())
+                    ordinal, head, body = ordinal + 1, [start, end, kind, symbol], [text]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([row()], schema=schema)
+
+    return c.mapInArrow(run, out)
 
 
 def token_batches(rows: DataFrame, *, group: str, seq: str, text: str, most: int = K.MAX_BATCH_TOKENS) -> DataFrame:
     """rows with batch: a new one starts where the running token sum of a non-empty batch would pass most.
 
-    The sum starts anew with each batch, so this is a fold; it runs per group.
+    The sum starts anew with each batch, so a group is a fold in its order. Only keys and sizes
+    are shuffled; a group's rows pass one by one through a sorted partition, and the open
+    batch's sum is all that is held.
     """
-    c = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("k"), estimate_tokens(F.col(text)).alias("t")))).alias("s"))
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        new = (a["n"] > 0) & (a["sum"] + x["t"] > most)
-        batch = F.when(new, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(
-            F.when(new, x["t"]).otherwise(a["sum"] + x["t"]).alias("sum"), F.when(new, 1).otherwise(a["n"] + 1).alias("n"),
-            batch.alias("batch"), F.concat(a["out"], F.array(batch)).alias("out"),
-        )
-
-    done = c.select(group, "s", F.aggregate("s", zero, step, lambda a: a["out"]).alias("b"))
-    return done.select(group, F.explode(F.arrays_zip("s", "b")).alias("z")).select(group, F.col("z.s.k").alias(seq), F.col("z.s.t").alias("tokens"), F.col("z.b").alias("batch"))
+    c = rows.select(F.col(group).alias("g"), F.col(seq).alias("k"), estimate_tokens(F.col(text)).cast("long").alias("t"))
+    c = c.repartition("g").sortWithinPartitions("g", "k", "t")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, total, batch = (), 0, 0, 0
+        for b in batches:
+            out = []
+            for g, t in zip(b["g"].to_pylist(), b["t"].to_pylist(), strict=True):
+                t = t or 0
+                if key != (g,):
+                    key, held, total, batch = (g,), 0, 0, 0
+                if held and total + t > most:
+                    held, total, batch = 0, 0, batch + 1
+                held, total = held + 1, total + t
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "batch"])
+
+    return c.mapInArrow(run, f"{kinds}, batch int").select(F.col("g").alias(group), F.col("k").alias(seq), F.col("t").alias("tokens"), "batch")
 
 
 def with_chunk_hash(chunks: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ class Model:
     rules(project_id, seq, rule_text, rule_type, confidence)
     risks(project_id, seq, title, severity, risk_type, file_path, line, confidence)
     workflows(project_id, seq, name, steps, confidence)
+    projects(project_id), each once: those to report on; by default all that the tables name
     """
 
     entities: DataFrame
@@ -36,6 +37,7 @@ class Model:
     rules: DataFrame
     risks: DataFrame
     workflows: DataFrame
+    projects: DataFrame | None = None
 
 
 def _or_dash(c: str) -> Column:
@@ -58,6 +60,8 @@ def _name(words: list[str]) -> Column:
 
 
 def _projects(m: Model) -> DataFrame:
+    if m.projects is not None:
+        return m.projects.select(P)
     parts = [getattr(m, t).select(P) for t in ("entities", "edges", "purposes", "rules", "risks", "workflows")]
     out = parts[0]
     for p in parts[1:]:

@@ -40,11 +40,14 @@ def settings(spark: SparkSession, conf: dict[str, str]):
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's spark.checkpoint.dir; only where that is unset (tests, a
-    laptop) a folder of our own is made.
+    It is the cluster's spark.checkpoint.dir. Only a local master (tests, a laptop) may do
+    without: there a folder of our own is made. On a cluster an unset folder is an error, as
+    executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import fixed as K
 from lodestone.functions.text import language_of
+from lodestone.runtime import Scratch
 
 
 def gitignore_patterns(text: str) -> list[tuple[bool, bool, str]]:
@@ -43,8 +44,8 @@ def is_binary(content: Column) -> Column:
     return F.locate("\x00", F.decode(F.substring(content, 1, K.SNIFF_BYTES), "ISO-8859-1")) > 0
 
 
-def _hidden_files(spark: SparkSession, base: str, skip_dirs: list[str]) -> list[tuple[str, int, bytearray]]:
-    """Files with a part of their path that starts with `_` or whose name starts with `.`."""
+def _hidden_files(spark: SparkSession, base: str, skip_dirs: list[str]) -> list[tuple[str, int, str]]:
+    """(path below base, length, whole path) of files that have a part that starts with `_` or a name that starts with `.`."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(base)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -57,27 +58,43 @@ def _hidden_files(spark: SparkSession, base: str, skip_dirs: list[str]) -> list[
                 if not name.startswith(".") and name not in skip_dirs:
                     todo.append(st.getPath())
             elif name.startswith((".", "_")) or any(p.startswith("_") for p in rel.split("/")):
-                stream = fs.open(st.getPath())
-                out.append((rel, st.getLen(), bytearray(stream.readAllBytes())))
-                stream.close()
+                out.append((rel, st.getLen(), st.getPath().toString()))
     return out
 
 
+def _read_hidden(spark: SparkSession, found: list[tuple[str, int, str]]) -> DataFrame:
+    """(path, length, content) of files that Spark passes over, through copies under names that it reads.
+
+    The file system streams the copies; no content comes to the driver's memory.
+    """
+    kind = "path string, length long, content binary"
+    if not found:
+        return spark.createDataFrame([], kind)
+    scratch, jvm = Scratch(spark, "hidden"), spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    for i, (_, _, whole) in enumerate(found):
+        src, dst = path(whole), path(f"{scratch.path('files')}/{i}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, dst.getFileSystem(conf), dst, False, conf)
+    names = spark.createDataFrame([(str(i), rel) for i, (rel, _, _) in enumerate(found)], "copy string, path string")
+    read = spark.read.format("binaryFile").load(scratch.path("files")).select(F.element_at(F.split("path", "/"), -1).alias("copy"), "length", "content")
+    return read.join(names, "copy").select("path", "length", "content")
+
+
 def read_tree(spark: SparkSession, root: str, *, skip_dirs: list[str] = K.SKIP_DIRS) -> DataFrame:
     """(path, length, content, language) of the text files below root; path is relative.
 
     Dot-directories, skipped directories, what the root's .gitignore names and binary files
     are left out. Spark lists and reads, but it passes over names that start with `_` or `.`;
-    those few files (`__init__.py`, `.gitignore`) are read by the driver through Hadoop.
+    those files (`__init__.py`, `.gitignore`) are copied beside the scratch tables and read there.
     """
     base = root.rstrip("/")
     hidden = _hidden_files(spark, base, skip_dirs)
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     inner = re.escape(base.split("://", 1)[-1])
     f = f.withColumn("path", F.regexp_extract("path", rf"^(?:[\w]+:/*)?.*?{inner.lstrip('/')}/(.*)$", 1))
-    kind = "path string, length long, content binary"
-    f = f.select("path", "length", "content").unionByName(spark.createDataFrame(hidden, kind))
-    rules = [bytes(c).decode("utf-8", "replace") for p, _, c in hidden if p == ".gitignore"]
+    f = f.select("path", "length", "content").unionByName(_read_hidden(spark, hidden))
+    rules = [r["rules"] for r in f.where("path = '.gitignore'").select(F.decode("content", "UTF-8").alias("rules")).collect()]  # one file
     parts = F.split("path", "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     skipped = F.exists(folders, lambda d: d.startswith(".") | d.isin(skip_dirs))
@@ -87,8 +104,8 @@ def read_tree(spark: SparkSession, root: str, *, skip_dirs: list[str] = K.SKIP_D
 
 
 def tree_bytes(spark: SparkSession, root: str, *, skip_dirs: list[str] = K.SKIP_DIRS) -> int:
-    """Bytes below root outside skipped directories; only the few files that Spark passes over are opened."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """Bytes below root outside skipped directories; no file is opened."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     seen = f.where(~F.exists(F.split("path", "/"), lambda d: d.isin(skip_dirs))).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     return seen + sum(n for _, n, _ in _hidden_files(spark, root.rstrip("/"), skip_dirs))
 

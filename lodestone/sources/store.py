@@ -2,11 +2,13 @@
 
 Every change of a project's rows rewrites that project's partition alone. Replacing several
 tables at once goes through a run folder: all are written first, then one small pointer file
-says which run counts, so readers never see half of a run.
+says which run counts. Pointers are numbered and appear by a rename, and the highest counts, so
+readers see a whole run at any time, the old one or the new one.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,25 +78,85 @@ class Store:
     def delete(self, table: str, key: str) -> int:
         """Remove one project's rows; how many they were."""
         n = self.scan(table, key).count()
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/{self._part(table)}={key}")
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self._drop_partition(table, key)
         return n
 
-    def replace(self, tables: dict[str, DataFrame]) -> None:
-        """Overwrite the projects that the new rows name, table by table, leaving all others."""
+    def replace(self, tables: dict[str, DataFrame], projects: list[str]) -> None:
+        """Give these projects (or keys of the table's partitions) the new rows alone, table by table, leaving all others.
+
+        A project without new rows has none afterwards; rows of other projects are not written.
+        """
         for name, df in tables.items():
-            self._write(df, name, "overwrite")
+            part = self._part(name)
+            key = F.col(part or "id")
+            new = df.where(key.isin(projects))
+            if part is None:
+                # Not partitioned: the table is small, a row for each project.
+                self._rewrite(name, self.read(name).where(~F.coalesce(key.isin(projects), F.lit(False))).unionByName(new.select(self.read(name).columns)))
+                continue
+            self._write(new, name, "overwrite")
+            left = {r[0] for r in new.select(part).distinct().collect()}
+            for gone in set(projects) - left:
+                self._drop_partition(name, gone)
+
+    def _rewrite(self, table: str, rows: DataFrame) -> None:
+        """Overwrite a table with rows that are read from it."""
+        aside = f"{self.base}/_aside/{table}-{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        self._write(self.spark.read.schema(rows.schema).parquet(aside), table, "overwrite")
+        self._delete(aside)
+
+    def _hadoop(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        p, fs = self._hadoop(path)
+        fs.delete(p, True)
+
+    def _drop_partition(self, table: str, key: str) -> None:
+        # Spark's own escaping of partition values.
+        name = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(key)
+        self._delete(f"{self.path(table)}/{self._part(table)}={name}")
 
     def replace_run(self, tables: dict[str, DataFrame], run: str) -> None:
         """Write all tables of a run, then point to it."""
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.base}/_runs/{run}/{name}")
-        self.spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").text(f"{self.base}/_current")
+        folder, fs = self._hadoop(f"{self.base}/_pointers")
+        fs.mkdirs(folder)
+        new, _ = self._hadoop(f"{self.base}/_pointers/.{uuid.uuid4().hex}")
+        out = fs.create(new)
+        out.write(bytearray(run.encode()))
+        out.close()
+        # A rename onto a taken number fails, so two writers get two numbers.
+        n = max(self._pointers(), default=0) + 1
+        while not fs.rename(new, self._hadoop(f"{self.base}/_pointers/{n:012d}")[0]):
+            n += 1
+            if n > 10**12:
+                raise OSError(f"{self.base}: no pointer can be written")
+
+    def _pointers(self) -> list[int]:
+        folder, fs = self._hadoop(f"{self.base}/_pointers")
+        if not fs.exists(folder):
+            return []
+        return [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()]
+
+    def current_run(self) -> str:
+        """The run that the highest pointer names."""
+        numbers = self._pointers()
+        if not numbers:
+            raise FileNotFoundError(f"{self.base} has no run")
+        p, fs = self._hadoop(f"{self.base}/_pointers/{max(numbers):012d}")
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def read_run(self, table: str) -> DataFrame:
-        run = self.spark.read.text(f"{self.base}/_current").first()["value"]
-        return self.spark.read.parquet(f"{self.base}/_runs/{run}/{table}")
+        return self.spark.read.parquet(f"{self.base}/_runs/{self.current_run()}/{table}")
 
     def upsert_sections(self, rows: DataFrame) -> None:
         """Sections by (project, name): content, confidence and time are updated, or the row is added."""
@@ -109,9 +171,7 @@ class Store:
         part = self._part(table)
         mine = merged.join(touched.select(part).distinct(), part, "left_semi")
         # What is read is also written: the new partitions are laid down beside the table first.
-        aside = f"{self.base}/_aside/{table}"
-        mine.write.mode("overwrite").parquet(aside)
-        self._write(self.spark.read.parquet(aside), table, "overwrite")
+        self._rewrite(table, mine)
 
 
 def _everything():

@@ -29,7 +29,7 @@ def test_store(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, s.read("code_entities").schema)
     assert s.read("code_entities").count() == 0
     s.append("code_entities", make([_entity(1, "p"), _entity(2, "p"), _entity(1, "q")]))
-    s.replace({"code_entities": make([_entity(9, "p")])})
+    s.replace({"code_entities": make([_entity(9, "p")])}, ["p"])
     assert {(r["project_id"], r["start_line"]) for r in s.read("code_entities").collect()} == {("p", 9), ("q", 1)}
     assert s.scan("code_entities", "q").count() == 1 and s.get("code_entities", id="q1").count() == 1
     assert s.delete("code_entities", "p") == 1 and s.read("code_entities").count() == 1
@@ -38,6 +38,35 @@ def test_store(spark, tmp_path):
         s.get("code_entities", id="q1").collect()
 
 
+def test_store_replaces_whole_projects(spark, tmp_path):
+    """An empty replacement leaves no stale rows; other projects stay, also in the table that is not partitioned."""
+    s = Store(spark, str(tmp_path))
+    make = lambda t, rows: spark.createDataFrame(rows, s.read(t).schema)
+    s.append("code_entities", make("code_entities", [_entity(1, "p/1 %"), _entity(1, "q"), _entity(1, "r")]))
+    s.replace({"code_entities": make("code_entities", [_entity(5, "q"), _entity(6, "r")])}, ["p/1 %", "q"])
+    assert {(r["project_id"], r["start_line"]) for r in s.read("code_entities").collect()} == {("q", 5), ("r", 1)}
+    s.replace({"code_entities": make("code_entities", [])}, ["q"])
+    assert {r["project_id"] for r in s.read("code_entities").collect()} == {"r"}
+    project = lambda i, name: (i, name, "/", "main", "sha", "done", None, None, None)
+    s.replace({"projects": make("projects", [project("a", "one"), project("b", "two")])}, ["a", "b"])
+    s.replace({"projects": make("projects", [project("b", "new")])}, ["b"])
+    assert {(r["id"], r["name"]) for r in s.read("projects").collect()} == {("a", "one"), ("b", "new")}
+    s.replace({"projects": make("projects", [])}, ["a"])
+    assert {r["id"] for r in s.read("projects").collect()} == {"b"}
+
+
+def test_runs_are_whole_at_any_time(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        s.current_run()
+    for i in range(3):
+        s.replace_run({"t": spark.range(i)}, f"r{i}")
+        assert s.current_run() == f"r{i}" and s.read_run("t").count() == i
+    # An older pointer never hides a newer one, nor does a half-written file.
+    (tmp_path / "_pointers" / ".half").write_text("x")
+    assert s.current_run() == "r2" and len(s._pointers()) == 3
+
+
 def test_store_upserts_and_runs(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     sec = lambda i, p, n, c: (i, p, n, c, 0.5, None, None)
