@@ -69,7 +69,9 @@ def merge_small(chunks: DataFrame, *, min_lines: int = K.MIN_CHUNK_LINES) -> Dat
     names = ["file_path", "language", "start_line", "end_line", "chunk_type", "symbol_name", "content"]
     ints = [F.col(c).cast("int").alias(c) if c.endswith("_line") else F.col(c) for c in names]
     c = chunks.select(*ints, "seq").repartition("file_path", "language").sortWithinPartitions("file_path", "language", "seq").select(names)
-    out = "file_path string, language string, ordinal int, start_line int, end_line int, chunk_type string, symbol_name string, content string"
+    kinds = {f.name: f.dataType.simpleString() for f in c.schema}
+    out = ", ".join(f"{n} {kinds.get(n, 'int')}" for n in [*names[:2], "ordinal", *names[2:]])
+    empty = chunks.sparkSession.createDataFrame([], out).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ordinal, head, body = None, 0, [], []  # the open block: its first columns and its contents
@@ -80,7 +82,9 @@ def merge_small(chunks: DataFrame, *, min_lines: int = K.MIN_CHUNK_LINES) -> Dat
             text = None if any(x is None for x in body) else "\n".join(body)
             return {"file_path": key[0], "language": key[1], "ordinal": ordinal, "start_line": start, "end_line": end, "chunk_type": kind, "symbol_name": symbol, "content": text}
 
-        schema = pa.schema([(n, pa.int32() if n.endswith("_line") or n == "ordinal" else pa.string()) for n in (x.split()[0] for x in out.split(", "))])
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(empty)
         for b in batches:
             rows = []
             for path, lang, start, end, kind, symbol, text in zip(*(col.to_pylist() for col in b.columns), strict=True):

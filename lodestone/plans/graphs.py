@@ -113,9 +113,27 @@ def section_keyword_match(spark, sf):
     return retrieve.sections_with(s, ["Licensed", "the ", "über"]).select("doc_id", "section_name", F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (
+  SELECT source, (doc_id % 3)::INTEGER AS part, doc_id AS place, CASE WHEN doc_id % 3 = 2 THEN '### ' || lang ELSE '- ' || doc_id END || chr(10) AS head,
+         CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 400) WHEN 1 THEN '' ELSE text END AS body
+  FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY part, place, head, body) AS i FROM d),
+f AS (
+  SELECT source, 0::BIGINT AS i, 12000::BIGINT AS room, []::INTEGER[] AS closed, -1 AS shown, '' AS text FROM (SELECT DISTINCT source FROM d)
+  UNION ALL
+  SELECT source, i, CASE WHEN shut THEN room WHEN part = 2 THEN room - length(head) - length(cut) - 1 WHEN fits THEN room - length(head || body) ELSE room END,
+         CASE WHEN shut OR (CASE WHEN part = 2 THEN room - length(head) - length(cut) - 1 > 0 ELSE fits END) THEN closed ELSE list_append(closed, part) END,
+         part, text || CASE WHEN shut THEN '' ELSE title || CASE WHEN part = 2 THEN head || cut || chr(10) WHEN fits THEN head || body ELSE '' END END
+  FROM (
+    SELECT f.source, o.i, f.room, f.closed, f.text, o.part, o.head, o.body, list_contains(f.closed, o.part) AS shut, length(o.head || o.body) <= f.room AS fits,
+           CASE WHEN o.part = f.shown THEN '' ELSE ['## Semantic Matches', chr(10) || '## Code Entities', chr(10) || '## Documentation Sections'][o.part + 1] || chr(10) END AS title,
+           CASE WHEN length(o.head || o.body) > f.room THEN substr(o.body, 1, greatest(0, f.room - length(o.head) - 4)) || chr(10) || '...' ELSE o.body END AS cut
+    FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.i = f.i + 1))
+SELECT source, max_by(text, i) AS text FROM f GROUP BY source
+""")
 def context_packing(spark, sf):
-    """Per source a context text of about 12 000 characters (held against a fold in the tests)."""
+    """Per source a context text of about 12 000 characters, packed as a fold."""
     d = table(spark, sf, "documents")
     part = (F.col("doc_id") % 3).cast("int")
     head = F.when(part == 2, F.concat(F.lit("### "), F.col("lang"), F.lit("\n"))).otherwise(F.concat(F.lit("- "), F.col("doc_id").cast("string"), F.lit("\n")))

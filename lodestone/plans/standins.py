@@ -73,7 +73,9 @@ def model(spark: SparkSession, sf: str) -> Model:
     n = table(spark, sf, "nation")
     risks = n.select(brand("n_nationkey").alias("project_id"), F.col("n_nationkey").alias("seq"), F.concat(F.lit("Risk "), F.col("n_name")).alias("title"), F.lit("high").alias("severity"), F.lit("security").alias("risk_type"), F.lit("a.py").alias("file_path"), F.col("n_regionkey").alias("line"), F.lit(0.5).alias("confidence"))
     flows = workflows(e, r).join(e.select(F.col("id").alias("entity_id"), "project_id", "seq"), "entity_id").withColumn("confidence", F.lit(0.6))
-    return Model(e, r, said, rules, risks, flows)
+    # What the six tables name comes from three.
+    projects = table(spark, sf, "part").select(F.col("p_brand").alias("project_id")).unionByName(s.select(brand("s_suppkey").alias("project_id"))).unionByName(n.select(brand("n_nationkey").alias("project_id"))).distinct()
+    return Model(e, r, said, rules, risks, flows, projects)
 
 
 MODEL = f"""{ENTITIES}, {EDGES},
