@@ -149,7 +149,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Own and inherited licence of every document, taken as the file /source/lang/doc_id."""
+    """Own and inherited licence of every document, taken as the file /source/lang/doc_id without the parts that are null."""
     from lodestone.llm.license import scan
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

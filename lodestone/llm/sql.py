@@ -173,44 +173,51 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
 
 
 def _license_sql() -> str:
-    from lodestone.llm.license import TEMPLATES, WIDTHS
+    from lodestone.llm.license import TEMPLATES
 
     term = r"'[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*'"
     rows = ", ".join("({}, '{}', '{}')".format(i, k, t.replace("'", "''")) for i, (k, t) in enumerate(TEMPLATES))
     return f"""
-WITH d AS (SELECT doc_id, '/' || source || '/' || lang || '/' || doc_id AS path, '/' || source || '/' || lang AS folder, text FROM documents),
-tpl AS (SELECT * FROM (VALUES {rows}) v(i, lic, txt)),
-tt AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(regexp_extract_all(lower(txt), {term})) AS term FROM tpl) GROUP BY ALL),
-held AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), {term}))) AS term FROM d),
+WITH d AS (SELECT doc_id, concat_ws('/', '', source, lang, doc_id) AS path, concat_ws('/', '', source, lang) AS folder, text, md5(text) AS doc FROM documents),
+tpl AS (SELECT i, lic, regexp_extract_all(lower(txt), {term}) AS t FROM (VALUES {rows}) v(i, lic, txt)),
+tp AS (SELECT i, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS off, len(t) AS long FROM tpl),
+tt AS (SELECT i, term, count(*) AS tf, min(off) AS off, any_value(long) AS long FROM tp GROUP BY i, term),
+txt AS (SELECT doc, any_value(text) AS text FROM d WHERE text IS NOT NULL GROUP BY doc),
+ln AS (SELECT doc, unnest(l) AS l, generate_subscripts(l, 1) - 1 AS line FROM (SELECT doc, string_split(text, chr(10)) AS l FROM txt)),
+lt AS (SELECT doc, line, regexp_extract_all(lower(l), {term}) AS t FROM ln),
+tk AS (SELECT doc, line, unnest(t) AS term, generate_subscripts(t, 1) AS j FROM lt),
+w AS (SELECT doc, line, term, row_number() OVER (PARTITION BY doc ORDER BY line, j) - 1 AS pos, count(*) OVER (PARTITION BY doc) AS n FROM tk),
+copies AS (SELECT doc, count(*) AS c FROM d WHERE text IS NOT NULL GROUP BY doc),
 n AS (SELECT count(text) AS n FROM d),
-idf AS (
-  SELECT v.term, ln((1 + (SELECT n FROM n)) / (1 + count(h.doc_id))::DOUBLE) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN held h ON h.term = v.term GROUP BY v.term),
-raw AS (SELECT i, term, tf * idf AS x FROM tt JOIN idf USING (term)),
-tw AS (SELECT i, term, x / sqrt(sum(x * x) OVER (PARTITION BY i)) AS w FROM raw),
-marks AS (
-  SELECT list(DISTINCT term) AS m FROM (
-    SELECT term, 1 - coalesce(sum(w * w) OVER (PARTITION BY i ORDER BY w DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM tw)
+df AS (SELECT term, sum(c) AS df FROM (SELECT DISTINCT doc, term FROM w) JOIN copies USING (doc) GROUP BY term),
+idf AS (SELECT v.term, ln((1 + (SELECT n FROM n)) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN df USING (term)),
+raw AS (SELECT i, term, tf, off, long, tf * idf AS x FROM tt JOIN idf USING (term)),
+tw AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY i)) AS w FROM raw),
+sig AS (
+  SELECT * FROM (SELECT *, 1 - coalesce(sum(w * w) OVER (PARTITION BY i ORDER BY w DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM tw)
   WHERE rest >= 0.75 * 0.75 - 1e-9),
-txt AS (SELECT DISTINCT text, string_split(text, chr(10)) AS l FROM d WHERE text IS NOT NULL),
-ln AS (SELECT text, l, len(l) AS k, unnest(range(len(l))) AS no FROM txt),
-beg AS (SELECT text, l, k, no FROM ln, marks WHERE list_has_any(regexp_extract_all(lower(l[no + 1]), {term}), m)),
+anchor AS (SELECT * FROM (SELECT *, min(tf) OVER (PARTITION BY i) AS least FROM sig) WHERE tf = 1 OR least > 1),
+able AS (SELECT doc, i FROM (SELECT DISTINCT doc, term FROM w) JOIN tw USING (term) GROUP BY doc, i HAVING sum(tw.w * tw.w) >= 0.75 * 0.75 - 1e-9),
 span AS (
-  SELECT text, l, no, w FROM (SELECT *, unnest({list(WIDTHS)}) AS w FROM beg) WHERE w = 1 OR no + w <= k
-  UNION SELECT text, l, 0, k FROM beg),
-seg AS (SELECT text, no, w, regexp_extract_all(lower(array_to_string(l[no + 1 : no + w], chr(10))), {term}) AS t FROM span),
-bag AS (SELECT text, no, w, len(t) AS size, term, count(*) AS tf FROM (SELECT text, no, w, t, unnest(t) AS term FROM seg) GROUP BY ALL),
-wt AS (SELECT b.*, tf * coalesce(idf.idf, ln(1 + (SELECT n FROM n)::DOUBLE) + 1) AS x FROM bag b LEFT JOIN idf ON idf.term = b.term),
-nrm AS (SELECT text, no, w, sqrt(sum(x * x)) AS norm FROM wt GROUP BY ALL),
-dot AS (SELECT wt.text, wt.no, wt.w, wt.size, tw.i, sum(wt.x * tw.w) AS dot FROM wt JOIN tw ON tw.term = wt.term GROUP BY ALL),
-found AS (
-  SELECT dot.*, round(dot / norm, 6) AS score FROM dot JOIN nrm ON nrm.text = dot.text AND nrm.no = dot.no AND nrm.w = dot.w
-  WHERE round(dot / norm, 6) >= 0.75),
-top AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, no, w, i) AS r, max(size) OVER (PARTITION BY text) AS most FROM found),
+  SELECT DISTINCT w.doc, a.i, greatest(w.pos - a.off, 0) AS lo, least(w.pos - a.off + a.long, w.n) AS hi
+  FROM w JOIN anchor a USING (term) JOIN able ON able.doc = w.doc AND able.i = a.i),
+bag AS (
+  SELECT s.doc, s.i, s.lo, s.hi, w.term, count(*) AS tf FROM (SELECT *, unnest(range(lo, hi)) AS pos FROM span) s JOIN w ON w.doc = s.doc AND w.pos = s.pos GROUP BY ALL),
+wt AS (
+  SELECT b.doc, b.i, b.lo, b.hi, b.tf * coalesce(idf.idf, ln(1 + (SELECT n FROM n)::DOUBLE) + 1) AS x, coalesce(tw.w, 0) AS v
+  FROM bag b LEFT JOIN idf ON idf.term = b.term LEFT JOIN tw ON tw.i = b.i AND tw.term = b.term),
+found AS (SELECT doc, i, lo, hi, round(sum(x * v) / sqrt(sum(x * x)), 6) AS score FROM wt GROUP BY doc, i, lo, hi HAVING round(sum(x * v) / sqrt(sum(x * x)), 6) >= 0.75),
+best AS (
+  SELECT doc, pos, max(struct_pack(score, long := hi - lo, first := -lo, template := -i)) AS r
+  FROM (SELECT *, unnest(range(lo, hi)) AS pos FROM found) GROUP BY doc, pos),
+wins AS (SELECT doc, r, count(*) AS k FROM best GROUP BY doc, r HAVING 2 * count(*) > r.long),
 own AS (
-  SELECT top.text, tpl.lic, score, no, most / len(regexp_extract_all(lower(top.text), {term}))::DOUBLE AS share FROM top JOIN tpl USING (i) WHERE r = 1),
-f AS (SELECT d.*, own.lic, own.score, own.no, coalesce(own.share >= 0.5, false) AS is_file FROM d LEFT JOIN own ON own.text = d.text),
-h AS (SELECT folder, string_agg(DISTINCT lic, ' AND ' ORDER BY lic) AS lic FROM f WHERE is_file GROUP BY folder),
+  SELECT wins.doc, list(DISTINCT tpl.lic) AS lics, string_agg(DISTINCT tpl.lic, ' AND ' ORDER BY tpl.lic) AS lic, max(r.score) AS score, min(-r.first) AS lo, sum(k) AS k
+  FROM wins JOIN tpl ON tpl.i = -r.template GROUP BY wins.doc),
+f AS (
+  SELECT d.*, own.lic, own.lics, own.score, w.line AS no, coalesce(own.k / w.n::DOUBLE >= 0.5, false) AS is_file
+  FROM d LEFT JOIN own ON own.doc = d.doc LEFT JOIN w ON w.doc = own.doc AND w.pos = own.lo),
+h AS (SELECT folder, string_agg(DISTINCT lic, ' AND ' ORDER BY lic) AS lic FROM (SELECT folder, unnest(lics) AS lic FROM f WHERE is_file) GROUP BY folder),
 near AS (
   SELECT g.folder, arg_max(h.folder, length(h.folder)) AS up, arg_max(h.lic, length(h.folder)) AS lic
   FROM (SELECT DISTINCT folder FROM f) g JOIN h ON starts_with(g.folder || '/', h.folder || '/') GROUP BY g.folder)
