@@ -149,8 +149,8 @@ def drop_recurring_lines(docs: DataFrame, *, text_col: str = "text", min_docs: i
     rows = _may_hold(docs.withColumn("_line_doc", F.unhex(F.md5(text))), gone, "doc")
     hits = rows.where("_line_may").join(gone.select(F.col("doc").alias("_line_doc"), F.col("gone").alias("_line_gone")), "_line_doc", "left")
     rest = rows.where("NOT _line_may").withColumn("_line_gone", F.lit(None).cast("array<int>"))
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_gone")
-    kept = F.transform(numbers, lambda i: F.element_at(lines, i + 1))
+    # Inside a lambda an outer expression is taken anew for each element, so the lines are what it runs over.
+    kept = F.filter(lines, lambda _, i: ~F.array_contains("_line_gone", i))
     short = F.when(F.col("_line_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
     count = F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("_line_count")
     shown = [short.alias(text_col) if c == text_col else named(c) for c in docs.columns]
