@@ -19,7 +19,7 @@ tokens, where many documents must share the very line; there a line needs a lett
 Documents with equal texts count as one document and get the same lines dropped; finding
 copies is another operator's job.
 
-All lines are shuffled as hashes only; texts move for lines in leaves that recur, and once
+Leaves, lines, and tokens at their places are told apart by 64-bit hashes. All lines are shuffled as hashes only; texts move for lines in leaves that recur, and once
 for the documents that lose lines: a bitmap of fixed size tells all but a few others, which stay
 where they are. Leaf tables are broadcast up to BROADCAST_ROWS rows, else joined by a shuffle.
 
@@ -47,6 +47,10 @@ SHORT_DOCS = 100
 BROADCAST_ROWS = 100_000
 LINES_A_FILE = 100_000
 FIELD = "<*>"
+#: A whole token that is a variable field; each token is run through once, however long it is.
+FIELD_TOKEN = r"(?<![^ ])[^ ]*?(?:[0-9@]|://)[^ ]*"
+#: A whole token that has a letter and is no variable field.
+WORD_TOKEN = r"(?<![^ ])(?![^ ]*?(?:[0-9@]|://))[^ ]*?\p{L}[^ ]*"
 WORDS = 1 << 18  # of 64 bits each, in the bitmap of documents that lose lines
 
 
@@ -60,8 +64,7 @@ def spaced(line: Column) -> Column:
 
 def masked(line: Column) -> Column:
     """A spaced line with variable fields as <*>."""
-    fields = F.transform(F.split(line, " "), lambda x: F.when(_field(x), FIELD).otherwise(x))
-    return F.when(_field(line), F.array_join(fields, " ")).otherwise(line)
+    return F.when(_field(line), F.regexp_replace(line, FIELD_TOKEN, FIELD)).otherwise(line)
 
 
 def _field(x: Column) -> Column:
@@ -70,7 +73,7 @@ def _field(x: Column) -> Column:
 
 def generalised(line: Column, n: Column) -> Column:
     """A spaced line of n tokens, masked if it has words enough outside its variable fields."""
-    words = F.size(F.filter(F.split(line, " "), lambda x: x.rlike(r"\p{L}") & ~_field(x)))
+    words = F.regexp_count(line, F.lit(WORD_TOKEN))
     return F.when(_field(line) & (words >= F.greatest(F.lit(DEPTH), F.ceil(n * SIMILAR))), masked(line)).otherwise(line)
 
 
@@ -82,8 +85,9 @@ def enough_docs(n: Column, min_docs: int) -> Column:
 def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     """(doc, no, line, n, leaf) of every line that may recur; doc is the text's MD5, line is spaced."""
     t = docs.where(named(text_col).isNotNull()).select(F.unhex(F.md5(named(text_col))).alias("doc"), F.split(named(text_col), "\n").alias("l"))
-    t = t.select("doc", F.posexplode("l").alias("no", "line")).withColumn("line", spaced(F.col("line")))
-    t = t.withColumn("n", F.size(F.split("line", " "))).where((F.col("n") >= MIN_TOKENS) | F.col("line").rlike(r"\p{L}"))
+    # A split is never empty, so the outer form gives the same rows, without a filter that splits each text again.
+    t = t.select("doc", F.posexplode_outer("l").alias("no", "line")).withColumn("line", spaced(F.col("line")))
+    t = t.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where((F.col("n") >= MIN_TOKENS) | F.col("line").rlike(r"\p{L}"))
     # The path takes the leading tokens alone, so whole lines are masked later, where they matter.
     return t.withColumn("leaf", F.xxhash64("n", masked(F.substring_index("line", " ", DEPTH))))
 
@@ -101,19 +105,22 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, text_col: str, min_doc
     files = 8 + some.count() // LINES_A_FILE
     kinds = some.groupBy("leaf", "own").agg(F.split(F.first("line"), " ").alias("toks"), F.first("n").alias("n"))
     kinds = scratch.keep(kinds, "kinds", files)
-    words = kinds.select("leaf", "own", "n", F.posexplode("toks").alias("at", "tok"))
+    # A token at its place in its leaf is known by one hash; a line has one token at a place, so (count, at) tells them apart.
+    words = kinds.select("leaf", "own", "n", F.posexplode_outer("toks").alias("at", "tok"))
+    words = words.where((F.col("at") >= DEPTH) & (F.col("tok") != FIELD)).select("leaf", "own", "n", "at", F.xxhash64("leaf", "at", "tok").alias("word"))
     # The branch of each distinct line: the rarest of its tokens past the path that enough distinct lines share.
-    often = words.where((F.col("at") >= DEPTH) & (F.col("tok") != FIELD)).groupBy("leaf", "n", "at", "tok").count().where(F.col("count") >= enough)
-    branch = words.join(often.drop("n"), ["leaf", "at", "tok"]).groupBy("leaf", "own").agg(F.min(F.struct("count", "at", "tok")).alias("b"))
-    branch = branch.select("leaf", "own", F.xxhash64("b.at", "b.tok").alias("branch"))
+    often = words.groupBy("word", "n").count().where(F.col("count") >= enough).select("word", "count")
+    branch = words.join(often, "word").groupBy("leaf", "own").agg(F.min(F.struct("count", "at", "word"))["word"].alias("branch"))
     kinds = scratch.keep(kinds.join(branch, ["leaf", "own"], "left"), "branches", files)
-    votes = kinds.where("branch IS NOT NULL").select("leaf", "branch", "n", F.posexplode("toks").alias("at", "tok")).groupBy("leaf", "branch", "n", "at", "tok").count()
-    top = votes.groupBy("leaf", "branch", "n", "at").agg(F.sum("count").alias("all"), F.max(F.struct("count", "tok")).alias("top"))
-    fixed = top.where(F.col("top.count") >= SHARE * F.col("all")).groupBy("leaf", "branch", "n").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.col("top.tok").alias("tok")))).alias("fixed"), F.max("all").alias("kinds")
-    )
+    held = kinds.where("branch IS NOT NULL")
+    # A template is of two lines at least, so a constant token has two: what has one goes before the next shuffle.
+    votes = held.select("leaf", "branch", "n", F.posexplode_outer("toks").alias("at", "tok")).groupBy("leaf", "branch", "n", "at", "tok").count().where("count > 1")
+    top = votes.groupBy("leaf", "branch", "n", "at").agg(F.max(F.struct("count", "tok")).alias("top"))
+    tops = top.groupBy("leaf", "branch", "n").agg(F.array_sort(F.collect_list(F.struct("at", "top.tok", "top.count"))).alias("fixed"))
+    sizes = held.groupBy("leaf", "branch", "n").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    fixed = tops.join(sizes, ["leaf", "branch", "n"]).withColumn("fixed", F.filter("fixed", lambda x: x["count"] >= SHARE * F.col("kinds")))
     alike = F.size(F.filter("fixed", lambda x: x["tok"] != FIELD)) >= F.greatest(F.lit(DEPTH + 1), F.ceil(F.col("n") * SIMILAR))
-    fixed = fixed.where(alike & (F.col("kinds") > 1)).select("leaf", "branch", "fixed")
+    fixed = fixed.where(alike).select("leaf", "branch", "fixed")
     fits = F.forall("fixed", lambda x: F.col("toks")[x["at"]] == x["tok"])
     template = F.when(F.coalesce(fits, F.lit(False)), F.col("branch")).otherwise(F.col("own"))
     templates = kinds.join(fixed, ["leaf", "branch"], "left").select("leaf", "own", "n", template.alias("template"))
