@@ -164,3 +164,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_lic_from").alias("inherited_from"),
         F.col("_lic_licence").alias("licence"),
     )
+
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document, with sizes near equal."""
+    from lodestone.llm.sharding import shard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return shard(docs).select(
+        "doc_id",
+        F.col("_shard_size").alias("size"),
+        F.col("_shard_crc32").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("_shard_id").alias("shard"),
+        F.col("_shard_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
