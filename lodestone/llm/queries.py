@@ -180,3 +180,33 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_shard_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards the benchmark's n-grams, and the quarter that is drawn."""
+    from lodestone.llm.resample import resample
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
+        "doc_id",
+        F.col("_res_n").alias("n_features"),
+        F.col("_res_weight").alias("weight"),
+        F.col("_res_score").alias("score"),
+        F.col("_res_rank").alias("rank"),
+    )
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, with digests of the output and of the text restored from it."""
+    from lodestone.llm.infill import fill_in_middle, restore
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return fill_in_middle(docs).select(
+        "doc_id",
+        F.col("_fim_units").alias("n"),
+        F.col("_fim_form").alias("form"),
+        F.col("_fim_prefix_chars").alias("prefix_chars"),
+        F.col("_fim_middle_chars").alias("middle_chars"),
+        F.sha2(F.col("_fim_output"), 256).alias("output_sha256"),
+        F.sha2(restore(F.col("_fim_output"), F.col("_fim_form")), 256).alias("restored_sha256"),
+    )

@@ -227,3 +227,63 @@ FROM f LEFT JOIN near ON near.folder = f.folder
 
 
 op1_license_scan = _license_sql()
+
+# CRC-32 of every distinct n-gram, a byte at a time by a table of its 256 remainders.
+op12_resample = r"""
+WITH bits AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c
+    FROM range(256) r(i))),
+w AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+g AS (
+  SELECT side, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w),
+e AS (SELECT gram, hex(encode(gram)) AS x FROM (SELECT DISTINCT gram FROM g)),
+c AS (
+  SELECT gram, xor(4294967295, list_reduce(
+           list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT),
+           lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295)) % 10000 AS bucket
+  FROM e, bits),
+f AS (SELECT side, id, bucket FROM g JOIN c USING (gram)),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f GROUP BY bucket),
+a AS (SELECT sum(s)::BIGINT AS big_s, sum(t)::BIGINT AS big_t FROM n),
+q AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (big_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (big_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM n, a),
+p AS (SELECT id, count(*) AS m, sum(gain)::BIGINT AS g FROM f JOIN q USING (bucket) WHERE side = 'd' GROUP BY id),
+h AS (
+  SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(m, 0)::BIGINT AS n_features,
+         coalesce((g - ((g % m) + m) % m) // m, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('7:' || w.id::VARCHAR), 1, 8))::BIGINT AS h
+  FROM w LEFT JOIN p ON p.id = w.id WHERE side = 'd'),
+k AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+         (25 * count(*) OVER (PARTITION BY n_words >= 20)) // 100 AS draw FROM k)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= draw THEN place END AS rank FROM o
+"""
+
+op13_infill = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls,
+         sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
+h AS (
+  SELECT *, len(ls) AS n, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS r FROM d),
+f AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+              WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, array_to_string(ls[1:a], '') AS p, array_to_string(ls[a + 1:b], '') AS m, array_to_string(ls[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
