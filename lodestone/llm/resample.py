@@ -32,8 +32,8 @@ from pyspark.sql.window import Window as W
 from lodestone.llm.text import all_of, ascii_lower, named, without_reserved
 from lodestone.runtime import Scratch
 
-#: A word: a run without ASCII characters other than letters and digits.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: ASCII characters other than letters and digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_ORDER = 2
 BUCKETS = 10_000
 SCALE = 1_000
@@ -43,7 +43,7 @@ PERCENT = 25
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
 
 
 def distinct_texts(text: Column, rows: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def distinct_texts(text: Column, rows: DataFrame) -> DataFrame:
 
 def bucket_counts(texts: DataFrame, max_order: int = MAX_ORDER, buckets: int = BUCKETS) -> DataFrame:
     """texts(_res_key, text, copies) -> _res_key, copies, bucket, n: a text's n-grams by bucket."""
-    table = texts.select("_res_key", "copies", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    # The outer form, as the other makes Spark split each text a second time for a filter; a text without words has no n-gram below.
+    table = texts.select("_res_key", "copies", F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
     along = W.partitionBy("_res_key").orderBy("pos")
     grams = [F.col("word")]
     for k in range(1, max_order):
