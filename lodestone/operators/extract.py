@@ -3,13 +3,14 @@
 chunks(file_path, language, start_line, content, seq). Python is read by its own parser, all
 other languages and SQL by a lexer that knows comments, strings and brackets, so that what is
 written over several lines is seen like what stands on one. Declarations are those of the top
-level; a class names the functions inside it. A chunk that cannot be parsed gives no rows and
-stops nothing.
+level; a class names the functions inside it. What cannot be parsed costs the top-level statement
+it stands in; the rest of the chunk gives its rows.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -74,8 +75,49 @@ def _signature(node: ast.AST, source: str) -> str | None:
     return head[:end] + back
 
 
+#: A line that begins a statement of the top level, and one that only goes on with or decorates what follows.
+_TOP_LINE = re.compile(r"[^\s#)\]}]")
+_NO_START = re.compile(r"(?:else|elif|except|finally)\b")
+#: Parts of a source that does not parse are tried with so many of the following ones.
+_PARTS = 4
+
+
+def _python_tree(source: str) -> ast.Module:
+    """The syntax tree; where the source does not parse, of those top-level statements that do.
+
+    An error costs the statement it stands in. Lines keep their numbers.
+    """
+    try:
+        return ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        pass
+    lines = source.split("\n")
+    starts, decorated = [], False
+    for i, line in enumerate(lines):
+        if _TOP_LINE.match(line) and not _NO_START.match(line):
+            if not decorated:
+                starts.append(i)
+            decorated = line.startswith("@")
+        elif line.strip() and not line[0].isspace():
+            decorated = False
+    ends = [*starts[1:], len(lines)]
+    body, at = [], 0
+    while at < len(starts):
+        for more in range(at, min(at + _PARTS, len(starts))):
+            try:
+                part = ast.parse("\n".join(lines[starts[at] : ends[more]]))
+            except (SyntaxError, ValueError, RecursionError):
+                continue
+            ast.increment_lineno(part, starts[at])
+            body += part.body
+            at = more
+            break
+        at += 1
+    return ast.Module(body, [])
+
+
 def _python_declarations(source: str) -> list[ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef]:
-    return [n for n in ast.parse(source).body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+    return [n for n in _python_tree(source).body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
 
 
 def _entities(c: dict) -> list[tuple]:
@@ -104,7 +146,7 @@ def _calls(c: dict) -> list[tuple]:
     path, lang, base = c["file_path"], c["language"], c["start_line"]
     out = []
     if lang == "python":
-        for n in ast.walk(ast.parse(c["content"])):
+        for n in ast.walk(_python_tree(c["content"])):
             if isinstance(n, ast.Call):
                 f = n.func
                 if isinstance(f, ast.Attribute):
@@ -115,6 +157,8 @@ def _calls(c: dict) -> list[tuple]:
                         out.append((n.lineno, n.col_offset, text, None, "direct"))
         return [(path, base + line - 1, name, got, kind) for line, _, name, got, kind in sorted(out, key=lambda x: x[:2])]
     toks = [t for t in lexer.tokens(c["content"], lang) if t.kind != "comment"]
+    ends, _ = lexer.brackets(toks)
+    heads = _heads(toks, lang, ends)
     for i, t in enumerate(toks[:-1]):
         before = toks[i - 1].text if i else ""
         called = toks[i + 1].text == "(" or (lang == "rust" and toks[i + 1].text == "!" and i + 2 < len(toks) and toks[i + 2].text in "([{")
@@ -123,7 +167,7 @@ def _calls(c: dict) -> list[tuple]:
         k = i
         while k >= 2 and toks[k - 1].text in {".", "->", "::"} and toks[k - 2].kind == "name":
             k -= 2
-        if _declares(toks, i, k, lang):
+        if i in heads or _declares(toks, i, k, lang, ends):
             continue
         receiver = c["content"][toks[k].at : toks[i - 1].at] if k < i else None
         made = k > 0 and toks[k - 1].text == "new"
@@ -131,16 +175,33 @@ def _calls(c: dict) -> list[tuple]:
     return out
 
 
-def _declares(toks: list[Token], i: int, k: int, lang: str) -> bool:
+def _heads(toks: list[Token], lang: str, ends: dict[int, int]) -> set[int]:
+    """Places of names before brackets that call nothing: Go's methods, Rust's visibility and attributes."""
+    out: set[int] = set()
+    for i, t in enumerate(toks[:-1]):
+        after = toks[i + 1].text
+        if lang == "go" and t.text == "func" and after == "(":
+            out.add(ends.get(i + 1, i) + 1)
+        elif lang == "go" and t.text == "interface" and after == "{":
+            out.update(range(i + 2, ends.get(i + 1, i)))
+        elif lang == "rust" and t.text == "pub":
+            out.add(i)
+        elif lang == "rust" and after == "[" and (t.text == "#" or (t.text == "!" and i and toks[i - 1].text == "#")):
+            out.update(range(i + 2, ends.get(i + 1, i)))
+    return out
+
+
+def _declares(toks: list[Token], i: int, k: int, lang: str, ends: dict[int, int]) -> bool:
     """True where name(...) is the head of a function with a body, not a call."""
-    if i != k or i == 0:
+    qualified = lang == "cpp" and k < i and toks[i - 1].text == "::"  # a member's body outside its class
+    if (i != k and not qualified) or k == 0:
         return False
-    end = lexer.closing(toks, i + 1)
+    end = ends.get(i + 1, len(toks) - 1)
     after = toks[end + 1].text if end + 1 < len(toks) else ""
-    before = toks[i - 1]
+    before = toks[k - 1]
     if lang in ("c", "cpp", "java"):
         typed = (before.kind == "name" and before.text not in {"return", "new", "else", "throw"}) or before.text in {">", "&", "]"}
-        return typed and after in {"{", "throws", "const", ";"}
+        return typed and after in ({"{", "const"} if qualified else {"{", "throws", "const", ";"})
     return before.text in {"{", "}", ";", "async", "static", "get", "set", "public", "private", "protected"} and after in {"{", ":"}
 
 
@@ -251,7 +312,7 @@ def _mapped_field(node: ast.stmt) -> tuple[str, ast.Call] | None:
 
 def _orm(c: dict) -> list[tuple]:
     out = []
-    for n in ast.parse(c["content"]).body:
+    for n in _python_tree(c["content"]).body:
         if not isinstance(n, ast.ClassDef) or not any(w in ast.unparse(b) for b in [*n.bases, *(k.value for k in n.keywords)] for w in K.ORM_BASES):
             continue
         fields = [f for f in map(_mapped_field, n.body) if f]
@@ -277,7 +338,7 @@ def orm_models(chunks: DataFrame) -> DataFrame:
 def _python_imports(text: str) -> list[tuple]:
     """(target, kind, symbols) in the order of their lines, wherever they stand."""
     out = []
-    for n in ast.walk(ast.parse(text)):
+    for n in ast.walk(_python_tree(text)):
         if isinstance(n, ast.Import):
             out += [(n.lineno, i, a.name, "module", []) for i, a in enumerate(n.names)]
         elif isinstance(n, ast.ImportFrom):
@@ -351,7 +412,7 @@ def imports(chunks: DataFrame) -> DataFrame:
 def _python_routes(text: str) -> list[tuple]:
     """(line, methods, path, handler) of decorators that name a verb or a route."""
     out = []
-    for n in ast.walk(ast.parse(text)):
+    for n in ast.walk(_python_tree(text)):
         for d in getattr(n, "decorator_list", []):
             f = d.func if isinstance(d, ast.Call) else None
             if not isinstance(f, ast.Attribute) or not isinstance(f.value, ast.Name) or not d.args or not isinstance(d.args[0], ast.Constant) or not isinstance(d.args[0].value, str):

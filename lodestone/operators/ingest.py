@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from lodestone.functions import fixed as K
 from lodestone.functions.text import chunk_hash, estimate_tokens, file_extension, language_of, line_count
+from lodestone.operators.segments import segment
 
 
 def language_stats(files: DataFrame) -> DataFrame:
@@ -108,29 +109,11 @@ def merge_small(chunks: DataFrame, *, min_lines: int = K.MIN_CHUNK_LINES) -> Dat
 def token_batches(rows: DataFrame, *, group: str, seq: str, text: str, most: int = K.MAX_BATCH_TOKENS) -> DataFrame:
     """rows with batch: a new one starts where the running token sum of a non-empty batch would pass most.
 
-    The sum starts anew with each batch, so a group is a fold in its order. Only keys and sizes
-    are shuffled; a group's rows pass one by one through a sorted partition, and the open
-    batch's sum is all that is held.
+    The sum starts anew with each batch, as in a fold over a group's order; segments.segment deals a
+    group over many tasks. Only keys and sizes are shuffled.
     """
-    c = rows.select(F.col(group).alias("g"), F.col(seq).alias("k"), estimate_tokens(F.col(text)).cast("long").alias("t"))
-    c = c.repartition("g").sortWithinPartitions("g", "k", "t")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, total, batch = (), 0, 0, 0
-        for b in batches:
-            out = []
-            for g, t in zip(b["g"].to_pylist(), b["t"].to_pylist(), strict=True):
-                t = t or 0
-                if key != (g,):
-                    key, held, total, batch = (g,), 0, 0, 0
-                if held and total + t > most:
-                    held, total, batch = 0, 0, batch + 1
-                held, total = held + 1, total + t
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "batch"])
-
-    return c.mapInArrow(run, f"{kinds}, batch int").select(F.col("g").alias(group), F.col("k").alias(seq), F.col("t").alias("tokens"), "batch")
+    c = rows.select(group, seq, estimate_tokens(F.col(text)).cast("long").alias("tokens"))
+    return segment(c, group=group, order=[seq, "tokens"], size="tokens", limit=most).withColumnRenamed("segment", "batch")
 
 
 def with_chunk_hash(chunks: DataFrame) -> DataFrame:

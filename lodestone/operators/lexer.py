@@ -1,7 +1,11 @@
 """A lexer for languages with braces and for SQL, and what can be read from its tokens.
 
 It knows comments, strings, names and brackets, which is enough to tell where a top-level
-statement begins and ends and what it declares, over as many lines as it takes.
+statement begins and ends and what it declares, over as many lines as it takes. In scripts the
+token before tells a regular expression from a division, and the holes of templates are read as
+code. Brackets that do not match cost one declaration: a closing bracket ends what was left open
+inside it, and where a source ends inside a bracket, the next statement that begins at a line's
+start is taken for one of the top level. Every step is linear in the source.
 """
 
 from __future__ import annotations
@@ -24,21 +28,28 @@ def _rules(comment: str, string: str) -> re.Pattern:
     return re.compile(f"(?P<comment>{comment})|(?P<string>{string})|(?P<name>{_NAME})|(?P<number>{_NUMBER})|(?P<op>{_OP})", re.S)
 
 
-_SCRIPT = _rules(_SLASH_COMMENT, rf"{_DOUBLE}|{_TEXT}|`(?:\\.|[^`\\])*`")
-_COMPILED = _rules(_SLASH_COMMENT, rf"{_DOUBLE}|{_CHAR}")
+_SCRIPT = _rules(_SLASH_COMMENT, rf"{_DOUBLE}|{_TEXT}")
 RULES = {
     "javascript": _SCRIPT,
     "typescript": _SCRIPT,
-    "java": _COMPILED,
-    "c": _COMPILED,
-    "cpp": _COMPILED,
-    "rust": _COMPILED,
+    "java": _rules(_SLASH_COMMENT, rf'"""(?:\\.|[^\\])*?"""|{_DOUBLE}|{_CHAR}'),
+    "c": _rules(_SLASH_COMMENT, rf"{_DOUBLE}|{_CHAR}"),
+    "cpp": _rules(_SLASH_COMMENT, rf'R"(?P<mark>[^\s()\\]{{0,16}})\(.*?\)(?P=mark)"|{_DOUBLE}|{_CHAR}'),
+    "rust": _rules(_SLASH_COMMENT, rf'b?r(?P<mark>#*)".*?"(?P=mark)|{_DOUBLE}|{_CHAR}'),
     "go": _rules(_SLASH_COMMENT, rf"{_DOUBLE}|{_RAW}|{_CHAR}"),
     "sql": _rules(r"--[^\n]*|/\*.*?(?:\*/|\Z)", r"'(?:''|[^'])*'|\"[^\"]*\"|`[^`]*`"),
 }
+#: What may stand for a regular expression, of bounded length, and the text of a template up to its end or its next hole.
+_REGEX = re.compile(r"/(?![*/>])(?:\\.|\[(?:\\.|[^\]\\\n]){0,300}\]|[^/\\\[\n]){1,2000}/\w*")
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(?:`|\$\{)", re.S)
+#: Markup inside scripts: text up to the next tag or hole, a closing tag, the start of a tag.
+_MARKUP, _CLOSING, _TAG = re.compile(r"[^<{]+"), re.compile(r"</([\w.:-]*)\s*>"), re.compile(r"<([\w.:-]*)")
+#: Words after which an expression begins, and those whose brackets are no part of one.
+_BEFORE_EXPRESSION = set("return typeof case in of delete void throw new else do instanceof yield await".split())
+_HEADS = {"if", "while", "for", "with"}
 
 
-@dataclass(slots=True, frozen=True)
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
@@ -60,20 +71,120 @@ class Token:
         return self.text[1:-1]
 
 
+class _Script:
+    """What is open in a script: templates' holes, braces, tags and the text between tags."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.closed = set(_CLOSING.findall(source))
+        self.open: list[str] = []
+        self.heads: list[bool] = []  # of each open parenthesis, whether if, while, for or with stands before it
+        self.after_head = False
+
+    def text(self, at: int) -> tuple[str, int] | None:
+        """(kind, end) of what stands between two tags."""
+        if not self.open or self.open[-1] != "text":
+            return None
+        if m := _MARKUP.match(self.source, at):
+            return "string", m.end()
+        if m := _CLOSING.match(self.source, at):
+            self.open.pop()
+            return "string", m.end()
+        return None
+
+    def sign(self, sign: str, at: int, end: int, before: Token | None) -> tuple[str, int]:
+        """(kind, end) of the token that begins with this sign."""
+        top, expects = self.open[-1] if self.open else "", _expects(before, self.after_head)
+        self.after_head = sign == ")" and bool(self.heads) and self.heads.pop()
+        if sign == "(":
+            self.heads.append(before is not None and before.text in _HEADS)
+        elif sign == "/" and expects and (m := _REGEX.match(self.source, at)):
+            return "regex", m.end()
+        elif (sign == "`" or (sign == "}" and top == "`")) and (m := _TEMPLATE.match(self.source, at + 1)):
+            if sign == "}":
+                self.open.pop()
+            if m.group().endswith("${"):
+                self.open.append("`")
+            return "string", m.end()
+        elif sign == "{":
+            self.open.append("{")
+        elif sign == "}" and top == "{":
+            self.open.pop()
+        elif sign == "<" and (top == "text" or (expects and _TAG.match(self.source, at)[1] in self.closed)):
+            self.open.append("tag")
+        elif sign == ">" and top == "tag":
+            self.open[-1] = "text"
+            if before is not None and before.text == "/":
+                self.open.pop()
+        return "op", end
+
+
 def tokens(source: str, language: str) -> list[Token]:
-    out, line, seen = [], 0, 0
-    fresh = True
-    for m in RULES[language].finditer(source):
-        feeds = source.count("\n", seen, m.start())
-        fresh = fresh or feeds > 0
+    out: list[Token] = []
+    rules, script = RULES[language], _Script(source) if language in ("javascript", "typescript") else None
+    line, seen, at = 0, 0, 0
+    before: Token | None = None  # the last one that is no comment
+    while at < len(source):
+        if script and (run := script.text(at)):
+            kind, start, end = run[0], at, run[1]
+        elif m := rules.search(source, at):
+            kind, start, end = m.lastgroup, m.start(), m.end()
+            if script and kind == "op":
+                kind, end = script.sign(source[start], start, end, before)
+            elif script and kind != "comment":
+                script.after_head = False
+        else:
+            break
+        feeds = source.count("\n", seen, start)
         line += feeds
-        out.append(Token(m.lastgroup, m.group(), m.start(), line, fresh))
-        line += m.group().count("\n")
-        seen, fresh = m.end(), False
+        now = Token(kind, source[start:end], start, line, feeds > 0 or not out)
+        line += now.text.count("\n")
+        seen = at = end
+        out.append(now)
+        if kind != "comment":
+            before = now
     return out
 
 
-OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
+def _expects(before: Token | None, after_head: bool) -> bool:
+    """True where an expression may begin, so that a slash divides nothing."""
+    if before is None or after_head:
+        return True
+    if before.kind == "name":
+        return before.text in _BEFORE_EXPRESSION
+    return before.kind == "op" and before.text not in {")", "]", "<"}
+
+
+OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
+
+
+def brackets(toks: list[Token]) -> tuple[dict[int, int], bool]:
+    """The place where each opening bracket closes, and whether all of them match.
+
+    A closing bracket ends those that were left open inside it; one that closes nothing is passed
+    over; what is never closed reaches to the last token.
+    """
+    ends, stack, held, good = {}, [], dict.fromkeys(OPEN, 0), True
+    for i, t in enumerate(toks):
+        if t.kind != "op":
+            continue
+        if t.text in OPEN:
+            stack.append(i)
+            held[t.text] += 1
+        elif t.text in CLOSE:
+            if not held[CLOSE[t.text]]:
+                good = False
+                continue
+            while True:
+                j = stack.pop()
+                held[toks[j].text] -= 1
+                ends[j] = i
+                if OPEN[toks[j].text] == t.text:
+                    break
+                good = False
+    for j in stack:
+        ends[j] = len(toks) - 1
+    return ends, good and not stack
 
 
 def closing(toks: list[Token], at: int) -> int:
@@ -149,12 +260,15 @@ class Statement:
 
 def statements(source: str, language: str) -> list[Statement]:
     """The top-level statements of a source."""
+    toks = tokens(source, language)
+    code = [t for t in toks if t.kind != "comment"]
+    ends, good = brackets(code)
     out: list[Statement] = []
     now: list[Token] = []
     comment: Token | None = None
-    depth = 0
-    toks = tokens(source, language)
+    until = -1  # the place in code up to which a bracket of the top level reaches
     hashed = -1  # a line that the preprocessor reads
+    at = -1
 
     def done() -> None:
         nonlocal now, comment
@@ -162,38 +276,50 @@ def statements(source: str, language: str) -> list[Statement]:
             out.append(Statement(now, comment))
         now, comment = [], None
 
-    for i, t in enumerate(toks):
+    for t in toks:
         if t.kind == "comment":
-            if depth == 0 and not now:
+            if at >= until and not now:
                 comment = t
             continue
-        if language in ("c", "cpp") and depth == 0 and t.first and t.text == "#":
+        at += 1
+        after = code[at + 1].text if at + 1 < len(code) else ""
+        if language in ("c", "cpp") and at > until and t.first and t.text == "#":
             done()
             hashed = t.line
         if t.line == hashed:
             now.append(t)
+            if t.text == "\\":
+                hashed = t.line + 1
             continue
-        if hashed >= 0 and now and now[0].line == hashed:
+        if hashed >= 0:
+            done()
+            hashed = -1
+        if at <= until and not good and _recovers(t, after, source, language):
+            until = at - 1
             done()
-        hashed = -1
         begins = t.first and t.text in STARTS[language] and now and now[-1].text not in MODIFIERS and now[-1].text not in {"=", ",", "."}
-        if depth == 0 and begins and not _only_annotations(now, language):
+        if at > until and begins and not _only_annotations(now, language):
             done()
         now.append(t)
-        if t.kind == "op":
-            if t.text in OPEN:
-                depth += 1
-            elif t.text in CLOSE:
-                depth = max(0, depth - 1)
-            after = next((x.text for x in toks[i + 1 :] if x.kind != "comment"), "")
-            if depth == 0 and (t.text == ";" or (t.text == "}" and after not in _GOES_ON)):
-                done()
+        if at > until and at in ends:
+            until = ends[at]
+        if t.kind == "op" and at >= until and (t.text == ";" or (t.text == "}" and after not in _GOES_ON)):
+            done()
     done()
     return out
 
 
+def _recovers(t: Token, after: str, source: str, language: str) -> bool:
+    """True for what begins a statement at a line's start, where brackets do not match."""
+    if not t.first or (t.at and source[t.at - 1] != "\n"):
+        return False
+    return t.text in STARTS[language] or (language in ("c", "cpp") and t.kind == "name" and after != ":")
+
+
 def _only_annotations(toks: list[Token], language: str) -> bool:
-    """True for @Name(...) and #[...] that stand before a declaration."""
+    """True for @Name(...), #[...] and template<...> that stand before a declaration."""
+    if toks[0].text == "template" and toks[-1].text == ">":
+        return True
     return toks[0].text in {"@", "#"} and not any(t.text in DECLARES[language] for t in toks)
 
 
@@ -239,7 +365,10 @@ def declaration(s: Statement, source: str, language: str) -> Declaration | None:
     line = s.outline()
     words = DECLARES[language]
     at = None
+    head = _template_end(line)
     for k, (t, _) in enumerate(line):
+        if k < head:
+            continue
         if t.kind == "name" and t.text in words:
             at = k
             break
@@ -273,6 +402,16 @@ def declaration(s: Statement, source: str, language: str) -> Declaration | None:
     return None
 
 
+def _template_end(line: list[tuple[Token, int]]) -> int:
+    """The place after template<...>, which may name types as a declaration does."""
+    depth = 0
+    for k, (t, _) in enumerate(line):
+        depth += (t.text == "<") - (t.text == ">")
+        if line[0][0].text != "template" or (k and depth <= 0):
+            return k + 1 if k else 0
+    return 0
+
+
 def _inside(s: Statement, body: tuple[Token, int]) -> list[Token]:
     return s.toks[body[1] + 1 : closing(s.toks, body[1])]
 

@@ -1,7 +1,7 @@
 """Source files for the extraction queries: a small tree in eight languages, and files made from the part table.
 
 A generated file is a template in which %K stands for K and a part's key and %S for S and its size, so what is to be
-found in it follows from the table without parsing: a part has the template of its key modulo 4.
+found in it follows from the table without parsing: a part has the template of its key modulo 8.
 """
 
 TEMPLATES = [
@@ -39,7 +39,7 @@ export async function f%K(
   x: number,
   y = "}"
 ) {
-  return g%S(x) + `${y}`; // not h%K(x)
+  return g%S(x) / 2 + `{ ${y.replace(/["'}]/g, `}${x}`)}`; // not h%K(x)
 }
 export default class C%K extends D {
   run(a) { return new E%K(a); }
@@ -75,6 +75,84 @@ public final class C%K
   }
 }
 enum L%K { A, B }
+""",
+    ),
+    (
+        "gen/%K.go",
+        """package p%S
+import (
+	h "net/%K"
+	_ "os"
+)
+var re = `{"'` + "}"
+// Doc.
+func (s *Srv%S) Run%K(
+	a int,
+) error {
+	return g%S(a, '{')
+}
+type T%K struct {
+	x int
+}
+type I%K interface {
+	F()
+}
+""",
+    ),
+    (
+        "gen/%K.rs",
+        """use std::{
+    io,
+    m%S,
+};
+pub use crate::k%K::*;
+#[derive(Debug)]
+pub struct P%K<'a> {
+    x: &'a str,
+}
+impl<'a> Draw for P%K<'a> {
+    fn draw%K(&self) -> u8 {
+        g%S(r#"} " {"#, '}')
+    }
+}
+pub(crate) async fn go%K<T>(x: T) -> T {
+    x.h%K()
+}
+""",
+    ),
+    (
+        "gen/%K.c",
+        """#include <a%S.h>
+#include "k%K.h"
+#define OPEN \\
+  {
+static int
+add%K(int a,
+      int b)
+{
+  return g%S(a, '}') / b; /* } */
+}
+struct s%K {
+  int x;
+};
+int proto%K(int);
+""",
+    ),
+    (
+        "gen/%K.cpp",
+        """#include <vector>
+#include "k%K.hpp"
+namespace n%K {
+void f%K() { g%S(R"x(} ")x"); }
+}
+template <typename T>
+class C%K : public B%S {
+ public:
+  int get%K() const { return h%K(1); }
+};
+int C%K::put%K(int a) {
+  return a;
+}
 """,
     ),
 ]

@@ -34,7 +34,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: In the generated files K and S are followed by a part's key and size.
-GEN = "WITH p AS (SELECT p_partkey % 4 AS m, 'K' || p_partkey AS k, 'S' || p_size AS s FROM part) "
+GEN = "WITH p AS (SELECT p_partkey % 8 AS m, 'K' || p_partkey AS k, 'S' || p_size AS s FROM part) "
 
 
 @query(GEN + """
@@ -55,6 +55,17 @@ UNION ALL SELECT 'f' || k, 'function', 'gen/' || k || '.ts', 6, 11, 'typescript'
 UNION ALL SELECT 'C' || k, 'class', 'gen/' || k || '.ts', 12, 15, 'typescript', NULL, NULL, 'run,stop' FROM p WHERE m = 1
 UNION ALL SELECT 'C' || k, 'class', 'gen/' || k || '.java', 6, 12, 'java', NULL, 'Part ' || k || '.', 'run' FROM p WHERE m = 3
 UNION ALL SELECT 'L' || k, 'class', 'gen/' || k || '.java', 13, 13, 'java', NULL, NULL, '' FROM p WHERE m = 3
+UNION ALL SELECT 'Run' || k, 'function', 'gen/' || k || '.go', 8, 12, 'go', 'Run' || k || '(' || chr(10) || chr(9) || 'a int,' || chr(10) || ')', NULL, '' FROM p WHERE m = 4
+UNION ALL SELECT 'T' || k, 'class', 'gen/' || k || '.go', 13, 15, 'go', NULL, NULL, '' FROM p WHERE m = 4
+UNION ALL SELECT 'I' || k, 'interface', 'gen/' || k || '.go', 16, 18, 'go', NULL, NULL, '' FROM p WHERE m = 4
+UNION ALL SELECT 'P' || k, 'class', 'gen/' || k || '.rs', 6, 9, 'rust', NULL, NULL, '' FROM p WHERE m = 5
+UNION ALL SELECT 'P' || k, 'class', 'gen/' || k || '.rs', 10, 14, 'rust', NULL, NULL, 'draw' || k FROM p WHERE m = 5
+UNION ALL SELECT 'go' || k, 'function', 'gen/' || k || '.rs', 15, 17, 'rust', 'go' || k || '(x: T)', NULL, '' FROM p WHERE m = 5
+UNION ALL SELECT 'add' || k, 'function', 'gen/' || k || '.c', 5, 10, 'c', 'add' || k || '(int a,' || chr(10) || '      int b)', NULL, '' FROM p WHERE m = 6
+UNION ALL SELECT 's' || k, 'class', 'gen/' || k || '.c', 11, 13, 'c', NULL, NULL, '' FROM p WHERE m = 6
+UNION ALL SELECT 'n' || k, 'class', 'gen/' || k || '.cpp', 3, 5, 'cpp', NULL, NULL, 'f' || k FROM p WHERE m = 7
+UNION ALL SELECT 'C' || k, 'class', 'gen/' || k || '.cpp', 6, 10, 'cpp', NULL, NULL, 'get' || k FROM p WHERE m = 7
+UNION ALL SELECT 'put' || k, 'function', 'gen/' || k || '.cpp', 11, 13, 'cpp', 'put' || k || '(int a)', NULL, '' FROM p WHERE m = 7
 """)
 def extract_entities(spark, sf):
     """Top-level declarations over any number of lines; a file that does not parse gives none."""
@@ -71,9 +82,15 @@ SELECT * FROM (VALUES
 ) v(caller_file, caller_line, callee, receiver, call_type, confidence)
 UNION ALL SELECT 'gen/' || k || '.py', l, c, r, 'direct', 'low' FROM p, (VALUES (7, 'get', 'app'), (11, 'g', NULL), (12, 'h', 'obj'), (15, 'Column', NULL), (16, 'Column', NULL), (17, 'String', NULL)) v(l, c0, r),
   LATERAL (SELECT c0 || CASE c0 WHEN 'g' THEN s WHEN 'h' THEN k ELSE '' END AS c) WHERE m = 0
-UNION ALL SELECT 'gen/' || k || '.ts', l, c, r, t, 'low' FROM p, (VALUES (10, 'g', NULL, 'direct'), (13, 'E', NULL, 'constructor'), (16, 'post', 'router', 'direct')) v(l, c0, r, t),
+UNION ALL SELECT 'gen/' || k || '.ts', l, c, r, t, 'low' FROM p, (VALUES (10, 'g', NULL, 'direct'), (10, 'replace', 'y', 'direct'), (13, 'E', NULL, 'constructor'), (16, 'post', 'router', 'direct')) v(l, c0, r, t),
   LATERAL (SELECT c0 || CASE c0 WHEN 'g' THEN s WHEN 'E' THEN k ELSE '' END AS c) WHERE m = 1
 UNION ALL SELECT 'gen/' || k || '.java', 10, 'help' || s, NULL, 'direct', 'low' FROM p WHERE m = 3
+UNION ALL SELECT 'gen/' || k || '.go', 11, 'g' || s, NULL, 'direct', 'low' FROM p WHERE m = 4
+UNION ALL SELECT 'gen/' || k || '.rs', 12, 'g' || s, NULL, 'direct', 'low' FROM p WHERE m = 5
+UNION ALL SELECT 'gen/' || k || '.rs', 16, 'h' || k, 'x', 'direct', 'low' FROM p WHERE m = 5
+UNION ALL SELECT 'gen/' || k || '.c', 9, 'g' || s, NULL, 'direct', 'low' FROM p WHERE m = 6
+UNION ALL SELECT 'gen/' || k || '.cpp', 4, 'g' || s, NULL, 'direct', 'low' FROM p WHERE m = 7
+UNION ALL SELECT 'gen/' || k || '.cpp', 9, 'h' || k, NULL, 'direct', 'low' FROM p WHERE m = 7
 """)
 def extract_calls(spark, sf):
     """Call sites with receiver, and whether the callee is known."""
@@ -93,6 +110,14 @@ UNION ALL SELECT 'gen/' || k || '.py', 'os' || k || '.path', 'module', '' FROM p
 UNION ALL SELECT 'gen/' || k || '.ts', './mod' || s, 'symbol', 'a' || k || ',b' || k FROM p WHERE m = 1
 UNION ALL SELECT 'gen/' || k || '.java', 'java.util.Lib' || s, 'symbol', '' FROM p WHERE m = 3
 UNION ALL SELECT 'gen/' || k || '.java', 'org.junit.T' || k, 'wildcard', '' FROM p WHERE m = 3
+UNION ALL SELECT 'gen/' || k || '.go', 'net/' || k, 'module', '' FROM p WHERE m = 4
+UNION ALL SELECT 'gen/' || k || '.go', 'os', 'module', '' FROM p WHERE m = 4
+UNION ALL SELECT 'gen/' || k || '.rs', 'std::', 'module', '' FROM p WHERE m = 5
+UNION ALL SELECT 'gen/' || k || '.rs', 'crate::k' || k || '::', 'module', '' FROM p WHERE m = 5
+UNION ALL SELECT 'gen/' || k || '.c', 'a' || s || '.h', 'module', '' FROM p WHERE m = 6
+UNION ALL SELECT 'gen/' || k || '.c', 'k' || k || '.h', 'module', '' FROM p WHERE m = 6
+UNION ALL SELECT 'gen/' || k || '.cpp', 'vector', 'module', '' FROM p WHERE m = 7
+UNION ALL SELECT 'gen/' || k || '.cpp', 'k' || k || '.hpp', 'module', '' FROM p WHERE m = 7
 """)
 def extract_imports(spark, sf):
     """Imports of each language, over any number of lines."""
@@ -148,15 +173,22 @@ UNION ALL SELECT 'gen/' || k || '.py', t, a, b, CASE t WHEN 'function' THEN 'f'
 UNION ALL SELECT 'gen/' || k || '.ts', t, a, b, CASE t WHEN 'function' THEN 'f' || k WHEN 'class' THEN 'C' || k END FROM p, (VALUES ('block', 1, 5), ('function', 6, 10), ('function', 11, 11), ('class', 12, 15)) v(t, a, b) WHERE m = 1
 UNION ALL SELECT 'gen/' || k || '.sql', 'block', 1, 9, NULL FROM p WHERE m = 2
 UNION ALL SELECT 'gen/' || k || '.java', t, a, b, CASE WHEN t = 'block' THEN NULL WHEN a < 13 THEN 'C' || k ELSE 'L' || k END FROM p, (VALUES ('block', 1, 5), ('class', 6, 10), ('class', 11, 12), ('class', 13, 13)) v(t, a, b) WHERE m = 3
+UNION ALL SELECT 'gen/' || k || '.go', t, a, b, n || k FROM p, (VALUES ('block', 1, 7, NULL), ('function', 8, 12, 'Run'), ('class', 13, 15, 'T'), ('interface', 16, 18, 'I')) v(t, a, b, n) WHERE m = 4
+UNION ALL SELECT 'gen/' || k || '.rs', t, a, b, n || k FROM p, (VALUES ('block', 1, 5, NULL), ('class', 6, 9, 'P'), ('class', 10, 14, 'P'), ('function', 15, 17, 'go')) v(t, a, b, n) WHERE m = 5
+UNION ALL SELECT 'gen/' || k || '.c', t, a, b, n || k FROM p, (VALUES ('block', 1, 4, NULL), ('function', 5, 9, 'add'), ('function', 10, 10, 'add'), ('class', 11, 13, 's')) v(t, a, b, n) WHERE m = 6
+UNION ALL SELECT 'gen/' || k || '.cpp', t, a, b, n || k FROM p, (VALUES ('block', 1, 2, NULL), ('class', 3, 5, 'n'), ('class', 6, 10, 'C'), ('function', 11, 13, 'put')) v(t, a, b, n) WHERE m = 7
 """)
 def declaration_chunks(spark, sf):
     """Chunks by declaration, those over five lines cut."""
     return extract.declaration_chunks(files(spark, sf), frame=5).select("file_path", "chunk_type", "start_line", "end_line", "symbol_name")
 
 
-@query("""
-SELECT * FROM (VALUES ('python', 4, 47), ('sql', 1, 13), ('javascript', 1, 8), ('typescript', 1, 6), ('java', 1, 6), ('go', 1, 10), ('rust', 1, 8), ('c', 1, 5)) v(language, file_count, line_count)
+@query(GEN + """
+SELECT language, sum(file_count)::BIGINT AS file_count, sum(line_count)::BIGINT AS line_count FROM (
+ SELECT * FROM (VALUES ('python', 4, 47), ('sql', 1, 13), ('javascript', 1, 8), ('typescript', 1, 6), ('java', 1, 6), ('go', 1, 10), ('rust', 1, 8), ('c', 1, 5)) v(language, file_count, line_count)
+ UNION ALL SELECT language, count(*), sum(lines) FROM p JOIN (VALUES (0, 'python', 19), (1, 'typescript', 16), (2, 'sql', 9), (3, 'java', 13), (4, 'go', 18), (5, 'rust', 17), (6, 'c', 14), (7, 'cpp', 13)) t(m, language, lines) USING (m) GROUP BY language
+) GROUP BY language
 """)
 def tree_languages(spark, sf):
     """Languages of a source tree."""
-    return ingest.language_stats(files(spark)).select("language", "file_count", "line_count")
+    return ingest.language_stats(files(spark, sf)).select("language", "file_count", "line_count")

@@ -1,5 +1,7 @@
 """Extraction over several lines, in every language, and of hostile sources."""
 
+import time
+
 import pytest
 
 from lodestone.operators import extract as X
@@ -74,3 +76,59 @@ def test_hostile_sources_end(language):
             X._tables(c)
         else:
             X._entities(c), X._imports(c), X._calls(c)
+
+
+SCRIPT = """const q = s.replace(/["'{}]/g, '').split(/\\//);
+function before(a) { return a / 2 / b; }
+if (x) /ab{/.test(y);
+const t = `a ${ f({a: `n ${g(1)} {`}) } }`;
+export function after(x) { return h(x) }
+class K { m() { return /}/.exec(z()) } }
+const v = (<div className="x">it's {w(a)} <b>don't</b> <br/> won't</div>);
+function last() {}
+"""
+
+
+def test_regular_expressions_templates_and_markup():
+    got = X._entities(_c("typescript", SCRIPT))
+    assert [(r[0], r[3], r[4], r[9]) for r in got] == [("before", 2, 2, []), ("after", 5, 5, []), ("K", 6, 6, ["m"]), ("last", 8, 8, [])]
+    assert [r[2] for r in X._calls(_c("javascript", SCRIPT))] == ["replace", "split", "test", "f", "g", "h", "exec", "z", "w"]
+
+
+RECOVERED = [
+    ("javascript", "function a() {\n  if (x) {\n}\nfunction b() { c() }\nclass D { e() {} }\n", ["a", "b", "D"]),
+    ("javascript", "function a() { f(x, { y } }\nfunction b() {}\n", ["a", "b"]),
+    ("c", "#if A\nint f(int a) {\n#else\nint f(long a) {\n#endif\n  return g(a);\n}\nint h(void) { return 1; }\nstruct s { int x; };\n", ["f", "f", "h", "s"]),
+    ("rust", "fn a() { let x = r#\"q \" } \"#; b() }\nfn c() {\nfn d() {}\n", ["a", "c", "d"]),
+    ("go", "func A() {\n\tif x {\n}\nfunc B() {}\n", ["A", "B"]),
+    ("java", "class A {\n  void m() {\n}\nclass B { String s = \"\"\"\n a } \" b\"\"\"; }\n", ["A", "B"]),
+    ("cpp", "void a() {\nauto s = R\"x(} \")\" { )x\";\n}\ntemplate <class T> struct S { };\n", ["a", "S"]),
+    ("python", "import os\ndef broken(:\n    pass\n@d\ndef ok(x):\n    '''a\nb'''\n    return f(x)\nclass A:\n  def m(self): pass\nx = (\n", ["ok", "A"]),
+]
+
+
+@pytest.mark.parametrize(("language", "text", "names"), RECOVERED)
+def test_an_error_costs_one_declaration(language, text, names):
+    assert [r[0] for r in X._entities(_c(language, text))] == names
+
+
+def test_python_that_does_not_parse_keeps_its_lines():
+    text = RECOVERED[-1][1]
+    assert [(r[3], r[4], r[6]) for r in X._entities(_c("python", text))] == [(5, 8, "ok(x)"), (9, 10, None)]
+    assert X._imports(_c("python", text)) == [("f", "os", "module", [])] and [r[1] for r in X._calls(_c("python", text))] == [8]
+
+
+def test_time_grows_with_the_source():
+    """A bundled file of 1 MB takes seconds, on one line or many, and so does one long run of any bracket."""
+    unit = "!function(e,t){var n=/['\"]{/g;function r%d(a){return a/2+i(a,[1,{b:2}])}e.x=r%d(`q${t}`)}(a,b);\n"
+    many = "".join(unit % (i, i) for i in range(10_000))
+    for text in (many, "(function(){" + many.replace("\n", "") + "})();"):
+        began = time.process_time()
+        assert len(X._calls(_c("javascript", text))) == 20_000
+        X._entities(_c("javascript", text))
+        assert time.process_time() - began < 30
+    for text in ("`" * 20_000, "${" * 20_000, "(" * 20_000, "/[" * 20_000, "/a" * 20_000, "<a>" * 20_000, "{" * 20_000 + "}" * 10_000):
+        began = time.process_time()
+        for language in ("javascript", "rust"):
+            X._entities(_c(language, text)), X._calls(_c(language, text))
+        assert time.process_time() - began < 30
