@@ -54,16 +54,16 @@ def distinct_texts(text: Column, rows: DataFrame) -> DataFrame:
 
 def bucket_counts(texts: DataFrame, max_order: int = MAX_ORDER, buckets: int = BUCKETS) -> DataFrame:
     """texts(_res_key, text, copies) -> _res_key, copies, bucket, n: a text's n-grams by bucket."""
-    # The outer form, as the other makes Spark split each text a second time for a filter; a text without words has no n-gram below.
+    # The outer forms, as for the others Spark makes each array a second time, for a filter.
     table = texts.select("_res_key", "copies", F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
     along = W.partitionBy("_res_key").orderBy("pos")
     grams = [F.col("word")]
     for k in range(1, max_order):
         # Null past the text's end, and so is every longer n-gram from there on.
         grams.append(F.concat(grams[-1], F.lit(" "), F.lead("word", k).over(along)))
-    places = F.array_compact(F.array(*[F.pmod(F.crc32(g), F.lit(buckets)).cast("int") for g in grams]))
-    table = table.select("_res_key", "copies", places.alias("places"))
-    return table.select("_res_key", "copies", F.explode("places").alias("bucket")).groupBy("_res_key", "copies", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    places = F.array(*[F.pmod(F.crc32(g), F.lit(buckets)).cast("int") for g in grams])
+    found = table.select("_res_key", "copies", F.explode_outer(places).alias("bucket")).where("bucket IS NOT NULL")
+    return found.groupBy("_res_key", "copies", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS, scale: int = SCALE) -> DataFrame:
