@@ -62,7 +62,8 @@ def bucket_counts(texts: DataFrame, max_order: int = MAX_ORDER, buckets: int = B
         # Null past the text's end, and so is every longer n-gram from there on.
         grams.append(F.concat(grams[-1], F.lit(" "), F.lead("word", k).over(along)))
     places = F.array(*[F.pmod(F.crc32(g), F.lit(buckets)).cast("int") for g in grams])
-    found = table.select("_res_key", "copies", F.explode_outer(places).alias("bucket")).where("bucket IS NOT NULL")
+    table = table.select("_res_key", "copies", places.alias("places"))
+    found = table.select("_res_key", "copies", F.explode_outer("places").alias("bucket")).where("bucket IS NOT NULL")
     return found.groupBy("_res_key", "copies", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
