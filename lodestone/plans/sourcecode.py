@@ -186,7 +186,7 @@ def declaration_chunks(spark, sf):
 @query(GEN + """
 SELECT language, sum(file_count)::BIGINT AS file_count, sum(line_count)::BIGINT AS line_count FROM (
  SELECT * FROM (VALUES ('python', 4, 47), ('sql', 1, 13), ('javascript', 1, 8), ('typescript', 1, 6), ('java', 1, 6), ('go', 1, 10), ('rust', 1, 8), ('c', 1, 5)) v(language, file_count, line_count)
- UNION ALL SELECT language, count(*), sum(lines) FROM p JOIN (VALUES (0, 'python', 19), (1, 'typescript', 16), (2, 'sql', 9), (3, 'java', 13), (4, 'go', 18), (5, 'rust', 17), (6, 'c', 14), (7, 'cpp', 13)) t(m, language, lines) USING (m) GROUP BY language
+ UNION ALL SELECT language, count(*), sum(lines) FROM p JOIN (VALUES (0, 'python', 19), (1, 'typescript', 16), (2, 'sql', 8), (3, 'java', 13), (4, 'go', 18), (5, 'rust', 17), (6, 'c', 14), (7, 'cpp', 13)) t(m, language, lines) USING (m) GROUP BY language
 ) GROUP BY language
 """)
 def tree_languages(spark, sf):
