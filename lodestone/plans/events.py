@@ -55,6 +55,35 @@ def replay_last_n(spark, sf):
     return ev.replay(e, ["user_id"], 20)
 
 
+@query("""
+WITH e AS (
+  SELECT user_id, event_id, event_type, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM events),
+j AS (SELECT user_id, part, event_id AS subscriber FROM e WHERE event_type = 'signup'),
+p AS (SELECT user_id, part, event_id, event_type FROM e WHERE event_type NOT IN ('signup', 'error')),
+o AS (SELECT user_id, part, min(event_id) AS opened FROM p GROUP BY user_id, part),
+d AS (
+  SELECT j.*, p.event_id, p.event_type, row_number() OVER (PARTITION BY subscriber, p.event_id < subscriber ORDER BY p.event_id DESC) AS r
+  FROM j JOIN o USING (user_id, part) JOIN p USING (user_id, part) WHERE opened < subscriber)
+SELECT user_id AS channel, subscriber::VARCHAR AS subscriber, event_id AS "offset", event_type AS event FROM d WHERE event_id > subscriber OR r <= 3
+UNION ALL SELECT user_id, subscriber::VARCHAR, subscriber, NULL FROM j LEFT JOIN o USING (user_id, part) WHERE opened IS NULL OR opened > subscriber
+UNION ALL SELECT user_id, subscriber::VARCHAR, e.event_id, NULL FROM j JOIN o USING (user_id, part) JOIN e USING (user_id, part) WHERE opened < subscriber AND event_type = 'error'
+""")
+def channel_deliveries_stream(spark, sf):
+    """ST1, ST2, ST3: what late subscribers of a channel get: its newest events (here three), what follows, and its end."""
+    from lodestone.runtime import settings
+    from lodestone.streaming import channels
+
+    scratch = Scratch(spark, "channels")
+    path = f"{sf}/events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    kind = F.when(F.col("event_type") == "signup", channels.JOIN).otherwise(F.col("event_type"))
+    e = e.select(F.col("user_id").alias("channel"), F.col("event_id").alias("offset"), kind.alias("event"), F.col("event_id").cast("string").alias("data"))
+    out = channels.deliveries(e, most=3, terminal="error")
+    with settings(spark, channels.STATE_STORE):
+        out.writeStream.format("parquet").option("path", scratch.path("out")).option("checkpointLocation", scratch.path("ck")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(scratch.path("out")).drop("data")
+
+
 @query("""
 SELECT user_id::VARCHAR AS trace_id, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS input_tokens, 0::BIGINT AS output_tokens, round(sum(value), 6) AS cost, count(*) AS calls
 FROM events WHERE event_type = 'click' GROUP BY user_id

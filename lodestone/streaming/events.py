@@ -62,21 +62,3 @@ def fan_out(stream: DataFrame, sinks: dict, checkpoint: str):
 
     q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     return q, failures
-
-
-def replay_stream(events: DataFrame, keys: list[str], path: str, checkpoint: str, most: int):
-    """Keep the newest events of each channel in a table at path, rewritten per batch under a number.
-
-    A late joiner reads the newest number and then follows the stream.
-    """
-    from lodestone.operators.events import replay
-
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = [p for p in (number - 1,) if p >= 0]
-        now = batch
-        for p in old:
-            now = spark.read.parquet(f"{path}/batch={p}").select(batch.columns).unionByName(batch)
-        replay(now, keys, most).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from lodestone.runtime import settings
+from lodestone.streaming import channels
 from lodestone.streaming import events as S
 
 
@@ -23,13 +25,34 @@ def test_fan_out_isolates_failures(spark, tmp_path):
     assert seen == [2] and [f[0] for f in failures] == ["bad"]
 
 
-def test_replay_keeps_newest_across_batches(spark, tmp_path):
-    kind = "channel string, offset long"
-    path, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in ([("p", 1), ("p", 2), ("q", 1)], [("p", 3), ("p", 4), ("p", 5)]):
-        _write(spark, path, part, kind)
-        S.replay_stream(S.read_events(spark, path, kind), ["channel"], out, str(tmp_path / "ck"), 3).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(f"{out}/batch=1").collect()} == {("p", 3), ("p", 4), ("p", 5), ("q", 1)}
+EVENT = "channel string, offset long, event string, data string"
+
+
+def _channels(spark, base, rows, **options):
+    """Publish rows and return all deliveries so far."""
+    _write(spark, f"{base}/in", rows, EVENT)
+    out = channels.deliveries(S.read_events(spark, f"{base}/in", EVENT), **options)
+    with settings(spark, channels.STATE_STORE):
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
+    return {(r["channel"], r["subscriber"], r["offset"], r["event"]) for r in spark.read.schema(out.schema).parquet(f"{base}/out").collect()}
+
+
+def test_late_subscribers_across_restarts(spark, tmp_path):
+    base = str(tmp_path)
+    first = [("p", i, "e", "x") for i in range(6)] + [("p", 9, "join", "late"), ("q", 1, "join", "early"), ("q", 2, "e", None), (None, 1, "e", "n")]
+    got = _channels(spark, base, first, most=3)
+    assert got == {("p", "late", 3, "e"), ("p", "late", 4, "e"), ("p", "late", 5, "e"), ("q", "early", 1, None)}
+    assert {(r["channel"], r["offset"]) for r in channels.replay_buffer(spark, f"{base}/ck").collect()} == {("p", 3), ("p", 4), ("p", 5), ("q", 2), (None, 1)}
+    # The query starts again: its state is the checkpoint's.
+    new = _channels(spark, base, [("p", 11, "join", "later"), ("p", 10, "e", "x"), ("p", 12, "complete", None), ("p", 13, "join", "last"), ("q", 3, "e", None)], most=3) - got
+    assert new == {("p", "late", 10, "e"), ("p", "later", 4, "e"), ("p", "later", 5, "e"), ("p", "later", 10, "e"), ("p", "late", 12, None), ("p", "later", 12, None), ("p", "last", 13, None)}
+    assert {(r["channel"], r["offset"]) for r in channels.replay_buffer(spark, f"{base}/ck").collect()} == {("q", 2), ("q", 3), (None, 1)}
+
+
+def test_channels_that_must_be_opened(spark, tmp_path):
+    rows = [("p", 1, "e", "lost"), ("p", 2, "open", None), ("p", 3, "e", "a"), ("p", 4, "join", "s"), ("p", 5, "open", None), ("p", 6, "e", "b"), ("p", 7, "join", "t"), ("p", 8, "complete", None), ("p", 9, "e", "lost")]
+    assert _channels(spark, str(tmp_path), rows, most=5, opening="open") == {("p", "s", 3, "e"), ("p", "t", 6, "e"), ("p", "t", 8, None)}
+    assert channels.replay_buffer(spark, f"{tmp_path}/ck").count() == 0
 
 
 def test_sessions_and_late_events(spark, tmp_path):
