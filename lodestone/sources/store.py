@@ -1,9 +1,10 @@
-"""Tables kept as Parquet, partitioned by project, with explicit schemas.
+"""Tables kept as Parquet by project, with explicit schemas.
 
-Every change of a project's rows rewrites that project's partition alone. Replacing several
-tables at once goes through a run folder: all are written first, then one small pointer file
-says which run counts. Pointers are numbered and appear by a rename, and the highest counts, so
-readers see a whole run at any time, the old one or the new one.
+Every change goes through lodestone.sources.commits: a change of a project's rows writes that
+project's rows alone, readers see one snapshot, and of writers at the same time none is lost.
+Replacing several tables at once goes through a run folder: all are written first, then one small
+pointer file says which run counts. Pointers are numbered and appear by a rename, and the highest
+counts, so readers see a whole run at any time, the old one or the new one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed as K
-from lodestone.runtime import settings
+from lodestone.sources.commits import Commits, claim, hadoop
 
 SCHEMAS = {
     "projects": "id string, name string, local_path string, branch string, commit_sha string, status string, languages string, created_at timestamp, updated_at timestamp",
@@ -27,7 +28,7 @@ SCHEMAS = {
     "analysis_checkpoints": "id string, project_id string, commit_sha string, chunk_hash string, file_path string, result_json string, created_at timestamp",
     "embeddings": "project_id string, vector array<float>, file_path string, language string, start_line int, end_line int, symbol_name string, content string",
 }
-PART = {"projects": None, "messages": "conversation_id"}
+PART = {"projects": "id", "messages": "conversation_id"}
 
 
 @dataclass
@@ -38,33 +39,23 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.base}/{table}"
 
-    def _part(self, table: str) -> str | None:
+    def _part(self, table: str) -> str:
         return PART.get(table, "project_id")
 
+    def commits(self, table: str) -> Commits:
+        return Commits(self.spark, self.path(table), SCHEMAS[table], self._part(table))
+
     def read(self, table: str) -> DataFrame:
-        """The table, empty if nothing was ever written."""
-        schema = SCHEMAS[table]
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], schema)
-        names = self.spark.createDataFrame([], schema).columns
-        return self.spark.read.schema(schema).parquet(self.path(table)).select(names)
-
-    def _write(self, df: DataFrame, table: str, mode: str) -> None:
-        names = self.spark.createDataFrame([], SCHEMAS[table]).columns
-        part = self._part(table)
-        w = df.select(names).write.mode(mode)
-        with settings(self.spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
-            (w.partitionBy(part) if part else w).parquet(self.path(table))
+        """The newest snapshot of the table, empty if nothing was ever written."""
+        return self.commits(table).read()
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self._write(rows, table, "append")
+        self.commits(table).append(rows)
 
     def scan(self, table: str, key: str | None = None) -> DataFrame:
         """Rows of one project (or conversation); the filter prunes partitions."""
-        part, t = self._part(table), self.read(table)
-        return t if key is None or part is None else t.where(F.col(part) == key)
+        t = self.read(table)
+        return t if key is None else t.where(F.col(self._part(table)) == key)
 
     def get(self, table: str, **key) -> DataFrame:
         """The row with this key; more than one raises when it is read."""
@@ -77,68 +68,49 @@ class Store:
 
     def delete(self, table: str, key: str) -> int:
         """Remove one project's rows; how many they were."""
-        n = self.scan(table, key).count()
-        self._drop_partition(table, key)
-        return n
+        found = []
+
+        def gone(now: DataFrame) -> DataFrame:
+            found.append(now.count())
+            return now.limit(0)
+
+        self.commits(table).change([key], gone)
+        return found[-1]
 
     def replace(self, tables: dict[str, DataFrame], projects: list[str]) -> None:
-        """Give these projects (or keys of the table's partitions) the new rows alone, table by table, leaving all others.
+        """Give these projects (or keys of the table) the new rows alone, table by table, leaving all others.
 
         A project without new rows has none afterwards; rows of other projects are not written.
         """
         for name, df in tables.items():
-            part = self._part(name)
-            key = F.col(part or "id")
-            new = df.where(key.isin(projects))
-            if part is None:
-                # Not partitioned: the table is small, a row for each project.
-                self._rewrite(name, self.read(name).where(~F.coalesce(key.isin(projects), F.lit(False))).unionByName(new.select(self.read(name).columns)))
-                continue
-            self._write(new, name, "overwrite")
-            left = {r[0] for r in new.select(part).distinct().collect()}
-            for gone in set(projects) - left:
-                self._drop_partition(name, gone)
-
-    def _rewrite(self, table: str, rows: DataFrame) -> None:
-        """Overwrite a table with rows that are read from it."""
-        aside = f"{self.base}/_aside/{table}-{uuid.uuid4().hex}"
-        rows.write.parquet(aside)
-        self._write(self.spark.read.schema(rows.schema).parquet(aside), table, "overwrite")
-        self._delete(aside)
-
-    def _hadoop(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _delete(self, path: str) -> None:
-        p, fs = self._hadoop(path)
-        fs.delete(p, True)
-
-    def _drop_partition(self, table: str, key: str) -> None:
-        # Spark's own escaping of partition values.
-        name = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(key)
-        self._delete(f"{self.path(table)}/{self._part(table)}={name}")
+            self.commits(name).change(projects, lambda now, df=df, key=self._part(name): df.where(F.col(key).isin(projects)))
+
+    def set_status(self, project: str, status: str, expected: list[str] | None = None) -> bool:
+        """Compare and set: the project's new status if the present one is expected; whether it was set."""
+
+        def put(now: DataFrame) -> DataFrame | None:
+            found = now if expected is None else now.where(F.col("status").isin(expected))
+            return now.withColumns({"status": F.lit(status), "updated_at": F.current_timestamp()}) if found.limit(1).count() else None
+
+        return self.commits("projects").change([project], put) is not None
 
     def replace_run(self, tables: dict[str, DataFrame], run: str) -> None:
         """Write all tables of a run, then point to it."""
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.base}/_runs/{run}/{name}")
-        folder, fs = self._hadoop(f"{self.base}/_pointers")
+        folder, fs = hadoop(self.spark, f"{self.base}/_pointers")
         fs.mkdirs(folder)
-        new, _ = self._hadoop(f"{self.base}/_pointers/.{uuid.uuid4().hex}")
-        out = fs.create(new)
+        new = f"{self.base}/_pointers/.{uuid.uuid4().hex}"
+        out = fs.create(hadoop(self.spark, new)[0])
         out.write(bytearray(run.encode()))
         out.close()
-        # A rename onto a taken number fails, so two writers get two numbers.
+        # A taken number is not claimed, so two writers get two numbers.
         n = max(self._pointers(), default=0) + 1
-        while not fs.rename(new, self._hadoop(f"{self.base}/_pointers/{n:012d}")[0]):
+        while not claim(self.spark, new, f"{self.base}/_pointers/{n:012d}"):
             n += 1
-            if n > 10**12:
-                raise OSError(f"{self.base}: no pointer can be written")
 
     def _pointers(self) -> list[int]:
-        folder, fs = self._hadoop(f"{self.base}/_pointers")
+        folder, fs = hadoop(self.spark, f"{self.base}/_pointers")
         if not fs.exists(folder):
             return []
         return [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()]
@@ -148,7 +120,7 @@ class Store:
         numbers = self._pointers()
         if not numbers:
             raise FileNotFoundError(f"{self.base} has no run")
-        p, fs = self._hadoop(f"{self.base}/_pointers/{max(numbers):012d}")
+        p, fs = hadoop(self.spark, f"{self.base}/_pointers/{max(numbers):012d}")
         stream = fs.open(p)
         try:
             return bytes(stream.readAllBytes()).decode()
@@ -161,17 +133,11 @@ class Store:
     def upsert_sections(self, rows: DataFrame) -> None:
         """Sections by (project, name): content, confidence and time are updated, or the row is added."""
         on = ["project_id", "section_name"]
-        self._merge("documents", merge_sections(self.read("documents"), rows, on), rows)
+        self.commits("documents").change(rows.select("project_id"), lambda now: merge_sections(now, rows, on))
 
     def merge_checkpoints(self, rows: DataFrame) -> None:
         """Checkpoints by (project, chunk hash): the first one stays."""
-        self._merge("analysis_checkpoints", merge_checkpoints(self.read("analysis_checkpoints"), rows), rows)
-
-    def _merge(self, table: str, merged: DataFrame, touched: DataFrame) -> None:
-        part = self._part(table)
-        mine = merged.join(touched.select(part).distinct(), part, "left_semi")
-        # What is read is also written: the new partitions are laid down beside the table first.
-        self._rewrite(table, mine)
+        self.commits("analysis_checkpoints").change(rows.select("project_id"), lambda now: merge_checkpoints(now, rows))
 
 
 def _everything():
