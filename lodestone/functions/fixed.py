@@ -81,6 +81,7 @@ CHUNK_TOKENS, MIN_CHUNK_LINES, OVERLAP_LINES = 6000, 10, 50
 CONTEXT_CHARS, SNIPPET_CHARS, RRF_K, MAX_DISTANCE, TOP_K = 12_000, 400, 60, 1.5, 10
 LOW_CONFIDENCE, FLOOR, CEILING = 0.60, 0.10, 0.95
 REPLAY, STUCK_SECONDS = 500, 900
+SECTION_CONCURRENCY = 5
 DIAGRAM_EDGES, DIAGRAM_ENTITIES, DIAGRAM_CALLS, STORY_CALLS, PERSONA_NAMES = 50, 20, 30, 15, 10
 CONTEXT_CAPS = {"entities": 30, "rules": 20, "risks": 10, "purposes": 15, "relationships": 20, "workflows": 5, "samples": 5}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import events, exports, graphs, reports, serving, sourcecode, texts  # noqa: F401
+from lodestone.plans import analysis, events, exports, graphs, reports, serving, sourcecode, texts  # noqa: F401
 from lodestone.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
