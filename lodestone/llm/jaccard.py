@@ -14,7 +14,9 @@ counted common ones, which no prefix reaches. Sets with too few rare counted tok
 prefix, mostly near copies, need the order of uncounted tokens: it goes by their frequency among
 those sets, which are read once more for it. That is a fixed order of all tokens, so no pair is
 missed. Sets of at most SMALL tokens are ordered by the frequencies of all their tokens. A
-pair within the threshold always meets in one of the two orders, which overlap in size.
+pair within the threshold always meets in one of the two orders, which overlap in size. Below
+FULL_BELOW percent, where a prefix may outgrow what is rare or uncounted, all sets are ordered
+like small ones.
 
 A token that very many documents share never emits all their pairs. First each token's
 documents are paired with one hub, the one with the fewest rare tokens (the likely original
@@ -56,6 +58,8 @@ SHINGLE = 3
 PERCENT = 90
 REGION = 1.75
 SMALL = 128
+#: Below this many percent prefixes take so much of a set that all sets are ordered by the frequencies of all their tokens.
+FULL_BELOW = 70
 COMMON = 8
 SETS_A_FILE = 40_000
 HELD = 512  # longer prefixes may make a pair at several tokens; it is still verified once
@@ -184,6 +188,8 @@ def shown_tokens(s: np.ndarray, percent: int) -> tuple[np.ndarray | None, np.nda
     None where the set is not part of the order. Tokens of the two orders are hashed apart.
     """
     n = len(s)
+    if percent < FULL_BELOW:
+        return (np.sort(_mix(s ^ _U(BASE))) if n else None), None
     small = np.sort(_mix(s ^ _U(BASE))) if n and n * percent <= SMALL * 100 + percent else None
     return small, s[: int(np.searchsorted(s, region_limit(percent)))] if n >= SMALL else None
 
@@ -398,6 +404,8 @@ def jaccard_components(
     _jac_comp names the component by its sets and not by ids, which may be null or repeated; it
     is null for an empty set.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must lie between 1 and 100")
     docs = without_reserved(docs, "_jac")
     with settings(docs.sparkSession, BATCHES):
         rows, ids = _components(docs, id_col, text_col, n_words, percent)

@@ -200,40 +200,46 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
-def limit_curve(own: list[tuple[int, float]], other: list[tuple[int, float]]) -> np.ndarray:
-    """A language's limit for each length, from (bucket, cosine) of its own texts and of other languages' texts."""
-    got = np.full(BUCKETS, np.nan)
-    for b in range(BUCKETS):
-        mine = np.sort([c for k, c in own if k == b])
-        if len(mine):
-            low = mine[int(QUANTILE * len(mine))]
-            theirs = [c for k, c in other if k == b]
-            end = np.quantile(theirs, 1 - QUANTILE) if theirs else 0.0
-            got[b] = min(FAR * low, max(NEAR * low, end))
-    known = np.flatnonzero(~np.isnan(got))
-    if not len(known):
+def limit_at(own: np.ndarray, other: np.ndarray) -> float:
+    """A language's limit at one length, from cosines of its own texts and of other languages' texts."""
+    low = np.sort(own)[int(QUANTILE * len(own))]
+    end = np.quantile(other, 1 - QUANTILE) if len(other) else 0.0
+    return float(min(FAR * low, max(NEAR * low, end)))
+
+
+def limit_curve(limits: dict[int, float]) -> np.ndarray:
+    """A language's limit for each length, from those of the lengths seen."""
+    if not limits:
         return np.zeros(BUCKETS)
+    known = sorted(limits)
     # Shorter texts than any seen have no limit; longer ones that of the longest.
-    return np.interp(np.arange(BUCKETS), known, got[known], left=0.0)
+    return np.interp(np.arange(BUCKETS), known, [limits[k] for k in known], left=0.0)
+
 
+def sample(rows: DataFrame, train_rows: int, scratch: Scratch) -> DataFrame:
+    """rows(lang, text): of each language the train_rows distinct texts with the smallest hashes, or all if they are fewer.
 
-def sample(rows: DataFrame, per_lang: dict[str, int], train_rows: int) -> DataFrame:
-    """rows(lang, text): of each language at most train_rows distinct texts, those with the smallest hashes."""
-    share = F.lit(0.0)
-    for lang, n in per_lang.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * train_rows / n)).otherwise(share)
+    Hashes are counted by ranges, once a text however often it repeats; only the ranges that hold the
+    smallest ones are ordered.
+    """
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    drawn = hashed.where((F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30)) < share)
-    order = W.partitionBy("lang").orderBy(F.xxhash64("h"), "h")
-    first = drawn.select("lang", "h").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= train_rows)
+    distinct = scratch.keep(hashed.select("lang", "h").distinct().withColumn("at", F.xxhash64("h")), "hashes")
+    distinct = distinct.withColumn("range", F.shiftright("at", 48))
+    # At most 65,536 ranges a language.
+    sofar = F.sum("n").over(W.partitionBy("lang").orderBy("range"))
+    ranges = distinct.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("sofar", sofar)
+    cut = ranges.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("sofar") >= train_rows, F.col("range"))), F.max("range")).alias("cut"))
+    near = distinct.join(F.broadcast(cut), "lang").where(F.col("range") <= F.col("cut"))
+    order = W.partitionBy("lang").orderBy("at", "h")
+    first = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= train_rows).select("lang", "h")
     # languages x train_rows hashes; a text's copies meet in a partial aggregate.
-    return drawn.join(F.broadcast(first.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return hashed.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
 def train(
     labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, clusters: int = CLUSTERS
 ) -> Model:
-    """A model from labelled texts; what comes to the driver is bounded by languages x clusters x DIM and by the sample's pieces."""
+    """A model from labelled texts; what comes to the driver is bounded by languages x clusters x DIM."""
     spark = labelled.sparkSession
     ship_package(spark)
     rows = labelled.where(named(lang_col).isNotNull() & named(text_col).isNotNull()).select(
@@ -263,28 +269,34 @@ def train(
         return pa.table({"lang": [t["lang"][0].as_py()] * len(got), "c": [c.astype(np.float32).tobytes() for c, _ in got], "m": [m for _, m in got]})
 
     scratch = Scratch(spark, "language")
-    some = scratch.keep(sample(rows, per_lang, train_rows).select("lang", "text"), "sample")
+    some = scratch.keep(sample(rows, train_rows, scratch).select("lang", "text"), "sample")
     found = some.mapInArrow(vectorise, "lang string, v binary").groupBy("lang").applyInArrow(cluster, "lang string, c binary, m long").collect()
     centroids = [(r["lang"], np.frombuffer(r["c"], np.float32), r["m"]) for r in found]
     model = Model(idf, centroids)
     names = sorted(set(model.names))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each piece its language, length and best cosine with each language's centroids."""
+        """Of each piece and language the piece's length, its best cosine with that language, whether it is its own."""
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
                 n = counts([p for p in pieces_of(text) if any(map(str.isalpha, p))])
                 if len(n):
-                    s = model.cosines(n)
-                    best = np.array([s[:, [i for i, x in enumerate(model.names) if x == k]].max(axis=1) for k in names]).T
-                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(n), "size": bucket(n), "cos": [x.tolist() for x in best.astype(np.float64)]})
-
-    seen = some.mapInArrow(near, "lang string, size long, cos array<double>").collect()
-    scratch.drop("sample")
-    limits = {
-        k: limit_curve([(r["size"], r["cos"][i]) for r in seen if r["lang"] == k], [(r["size"], r["cos"][i]) for r in seen if r["lang"] != k])
-        for i, k in enumerate(names)
-    }
+                    s, size = model.cosines(n), bucket(n)
+                    for k in names:
+                        best = s[:, [i for i, x in enumerate(model.names) if x == k]].max(axis=1).astype(np.float64)
+                        yield pa.RecordBatch.from_pydict({"lang": [k] * len(n), "size": pa.array(size, pa.int64()), "cos": best, "own": [lang == k] * len(n)})
+
+    def learn(t: pa.Table) -> pa.Table:
+        own, cos = t["own"].to_numpy(zero_copy_only=False), t["cos"].to_numpy()
+        some_own = own.any()
+        limits = [limit_at(cos[own], cos[~own])] if some_own else []
+        return pa.table({"lang": t["lang"][: len(limits)], "size": t["size"][: len(limits)], "least": pa.array(limits, pa.float64())})
+
+    # A group holds pieces of the sample alone; to the driver come at most BUCKETS limits a language.
+    seen = some.mapInArrow(near, "lang string, size long, cos double, own boolean")
+    learnt = seen.groupBy("lang", "size").applyInArrow(learn, "lang string, size long, least double").collect()
+    scratch.drop("sample", "hashes")
+    limits = {k: limit_curve({r["size"]: r["least"] for r in learnt if r["lang"] == k}) for k in names}
     return Model(idf, centroids, limits)
 
 

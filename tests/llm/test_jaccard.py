@@ -56,7 +56,7 @@ def _rows(seed, n=3):
     return rows + [(100_001, None), (100_002, ""), (100_003, " \n"), (100_004, "one"), (100_005, "One"), (100_006, "one two"), (None, "one"), (None, "lone words here too"), (100_004, "one")]
 
 
-@pytest.mark.parametrize(("seed", "n", "percent"), [(1, 3, 90), (2, 3, 80), (3, 5, 80)])
+@pytest.mark.parametrize(("seed", "n", "percent"), [(1, 3, 90), (2, 3, 80), (3, 5, 80), (4, 3, 30), (8, 3, 95)])
 def test_as_brute_force(spark, seed, n, percent):
     rows = _rows(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("dig", F.lit(b"x")).withColumn("a.b", F.lit(2)).repartition(3)
@@ -72,6 +72,25 @@ def test_real_documents(spark):
     assert got == _brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("percent", [40, 60])
+def test_sets_of_common_tokens_only(spark, percent):
+    """Large sets all of whose tokens many documents share still meet at low thresholds."""
+    g = random.Random(percent)
+    common = [f"c{i}" for i in range(260)]
+    rows = []
+    for i in range(24):
+        keep = [w for w in common if g.random() < 0.85] if i % 2 else common[: 130 + i]
+        rows.append((i, " ".join(keep + [f"own{i}_{k}" for k in range(10)])))
+    out = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n_words=1, percent=percent)
+    assert sorted((str(r["doc_id"]), r["_jac_n"], str(r["_jac_component"])) for r in out.collect()) == _brute(rows, 1, percent)
+
+
+def test_thresholds_that_make_no_sense(spark):
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            J.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), percent=percent)
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

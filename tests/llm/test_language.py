@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import language as L
+from lodestone.runtime import Scratch
 
 
 def test_counts_do_not_depend_on_steps(monkeypatch):
@@ -116,9 +117,20 @@ def test_short_clean_texts_stay(real):
 def test_sample_is_of_distinct_texts_and_bounded(spark):
     rows = [("en", "the same common text")] * 500 + [("en", f"text number {i}") for i in range(400)] + [("de", "ein text")] * 3
     df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
-    got = L.sample(df, {"en": 900, "de": 3}, 100).collect()
+    got = L.sample(df, 100, Scratch(spark, "s")).collect()
     en = [r["text"] for r in got if r["lang"] == "en"]
-    assert len(en) == len(set(en)) <= 100 and len(en) > 40 and sum(r["lang"] == "de" for r in got) == 1
+    assert len(en) == len(set(en)) == 100 and sum(r["lang"] == "de" for r in got) == 1
+
+
+def test_sample_of_a_table_full_of_copies(spark):
+    """However often texts repeat, so many distinct ones are drawn, those with the smallest hashes."""
+    one = spark.range(2_000).select(F.lit("en").alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    many = one.crossJoin(spark.range(50).select(F.col("id").alias("copy"))).drop("copy").repartition(4)
+    drawn = lambda df, n: {r["text"] for r in L.sample(df, n, Scratch(spark, "s")).collect()}
+    got = drawn(many, 1_000)
+    by_hash = one.orderBy(F.xxhash64(F.xxhash64("text"))).limit(1_000)
+    assert got == drawn(one, 1_000) == {r["text"] for r in by_hash.collect()}
+    assert len(drawn(many, 5_000)) == 2_000
 
 
 def test_edge_rows(spark):
