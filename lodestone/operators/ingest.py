@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -60,28 +60,48 @@ def split_frames(chunks: DataFrame, *, frame: int, key: list[str]) -> DataFrame:
     )
 
 
+PARTS = "array<struct<at: int, start_line: int, end_line: int>>"
+
+
+def file_lines(parts: Column, first: Column, last: Column) -> Column:
+    """The runs of a file's lines, array<struct<start_line, end_line>>, that lines first to last of a merged chunk's content are.
+
+    A citation over a merged chunk may stand for several runs. What is past a part's end is that end.
+    """
+    ends = F.concat(F.slice(F.transform(parts, lambda p: p["at"]), F.lit(2), F.size(parts)), F.array(F.lit(2**31 - 1)))
+    spans = F.zip_with(parts, ends, lambda p, e: F.struct(p["at"].alias("at"), p["start_line"].alias("a"), p["end_line"].alias("b"), (e - 1).alias("to")))
+    held = F.filter(spans, lambda p: (p["at"] <= last) & (p["to"] >= first))
+    line = lambda p, k: F.greatest(p["a"], F.least(p["b"], p["a"] + k - p["at"]))
+    return F.transform(held, lambda p: F.struct(line(p, F.greatest(first, p["at"])).alias("start_line"), line(p, F.least(last, p["to"])).alias("end_line")))
+
+
 def merge_small(chunks: DataFrame, *, min_lines: int = K.MIN_CHUNK_LINES) -> DataFrame:
     """Left fold of a file's chunks: two neighbours that are both short become one block.
 
     chunks(file_path, language, seq, start_line, end_line, chunk_type, symbol_name, content).
     A file's chunks lie side by side in one sorted partition and pass one by one; only the open
-    block is held.
+    block is held. parts(at, start_line, end_line) tells, sorted by at, from which line of the
+    content on each chunk stands and which lines of the file it is, as chunks need not touch.
     """
     names = ["file_path", "language", "start_line", "end_line", "chunk_type", "symbol_name", "content"]
     ints = [F.col(c).cast("int").alias(c) if c.endswith("_line") else F.col(c) for c in names]
     c = chunks.select(*ints, "seq").repartition("file_path", "language").sortWithinPartitions("file_path", "language", "seq").select(names)
     kinds = {f.name: f.dataType.simpleString() for f in c.schema}
-    out = ", ".join(f"{n} {kinds.get(n, 'int')}" for n in [*names[:2], "ordinal", *names[2:]])
+    out = ", ".join(f"{n} {kinds.get(n, 'int')}" for n in [*names[:2], "ordinal", *names[2:]]) + f", parts {PARTS}"
     empty = chunks.sparkSession.createDataFrame([], out).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ordinal, head, body = None, 0, [], []  # the open block: its first columns and its contents
+        key, ordinal, head, body, parts = None, 0, [], [], []  # the open block: its first columns, contents and parts
 
         def row() -> dict:
             start, end, kind, symbol = head
             # A text without content stays null, as in a concatenation.
             text = None if any(x is None for x in body) else "\n".join(body)
-            return {"file_path": key[0], "language": key[1], "ordinal": ordinal, "start_line": start, "end_line": end, "chunk_type": kind, "symbol_name": symbol, "content": text}
+            return {"file_path": key[0], "language": key[1], "ordinal": ordinal, "start_line": start, "end_line": end, "chunk_type": kind, "symbol_name": symbol, "content": text, "parts": parts}
+
+        def part(start: int, end: int) -> dict:
+            at = parts[-1]["at"] + (body[-1] or "").count("\n") + 1 if parts else 1
+            return {"at": at, "start_line": start, "end_line": end}
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -92,13 +112,16 @@ def merge_small(chunks: DataFrame, *, min_lines: int = K.MIN_CHUNK_LINES) -> Dat
                 if key != (path, lang):
                     if key is not None:
                         rows.append(row())
-                    key, ordinal, head, body = (path, lang), 0, [start, end, kind, symbol], [text]
+                    key, ordinal, head, parts = (path, lang), 0, [start, end, kind, symbol], []
+                    parts, body = [part(start, end)], [text]
                 elif head[1] - head[0] + 1 < min_lines and end - start + 1 < min_lines:
                     head[1], head[2] = end, "block"
+                    parts.append(part(start, end))
                     body.append(text)
                 else:
                     rows.append(row())
-                    ordinal, head, body = ordinal + 1, [start, end, kind, symbol], [text]
+                    ordinal, head, parts = ordinal + 1, [start, end, kind, symbol], []
+                    parts, body = [part(start, end)], [text]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
         if key is not None:
             yield pa.RecordBatch.from_pylist([row()], schema=schema)

@@ -80,6 +80,33 @@ def small_chunk_merge(spark, sf):
     return m.select(F.col("file_path").alias("conv_id"), "ordinal", "start_line", "end_line", "chunk_type", "symbol_name", F.sha2("content", 256).alias("content_sha"))
 
 
+@query("""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn * 100 + 1 AS a, turn * 100 + (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS b,
+         length(text) - length(replace(text, chr(10), '')) + 1 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i
+  FROM conversations),
+f AS (
+  SELECT conv_id, i, 0 AS ordinal, a, b, 1 AS k, a AS pa, b AS pb, n FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.conv_id, c.i, CASE WHEN m THEN f.ordinal ELSE f.ordinal + 1 END, CASE WHEN m THEN f.a ELSE c.a END, c.b, CASE WHEN m THEN f.k + f.n ELSE 1 END, c.a, c.b, c.n
+  FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1, LATERAL (SELECT f.b - f.a + 1 < 3 AND c.b - c.a + 1 < 3 AS m)),
+t AS (SELECT conv_id, ordinal, max(k + n - 1) AS n FROM f GROUP BY ALL),
+q AS (SELECT conv_id, ordinal, n, unnest([1, (n + 1) // 2, n]) AS first, unnest([n, n, n]) AS last, unnest([0, 1, 2]) AS cite FROM t),
+r AS (
+  SELECT q.*, f.pa, greatest(f.pa, least(f.pb, f.pa + greatest(first, f.k) - f.k)) AS x, greatest(f.pa, least(f.pb, f.pa + least(last, f.k + f.n - 1) - f.k)) AS y
+  FROM q JOIN f ON f.conv_id = q.conv_id AND f.ordinal = q.ordinal AND f.k <= last AND f.k + f.n - 1 >= first)
+SELECT conv_id, ordinal::INTEGER AS ordinal, cite::INTEGER AS cite, string_agg(x || '-' || y, ',' ORDER BY pa) AS runs FROM r GROUP BY conv_id, ordinal, cite
+""")
+def merged_citations(spark, sf):
+    """Citations of lines of a merged chunk's content as lines of the file: the whole, the second half, the last line."""
+    m = ingest.merge_small(_turn_chunks(spark, sf), min_lines=3)
+    n = F.size(F.split("content", "\n"))
+    ranges = F.array(F.struct(F.lit(1).alias("first"), n.alias("last")), F.struct(F.floor((n + 1) / 2).cast("int").alias("first"), n.alias("last")), F.struct(n.alias("first"), n.alias("last")))
+    m = m.select(F.col("file_path").alias("conv_id"), "ordinal", "parts", F.posexplode(ranges).alias("cite", "q"))
+    runs = F.transform(ingest.file_lines(F.col("parts"), F.col("q.first"), F.col("q.last")), lambda r: F.concat_ws("-", r["start_line"].cast("string"), r["end_line"].cast("string")))
+    return m.select("conv_id", "ordinal", "cite", F.array_join(runs, ",").alias("runs"))
+
+
 @query("""
 WITH RECURSIVE d AS (SELECT source, doc_id, length(text) // 4 AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
 f AS (
