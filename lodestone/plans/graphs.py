@@ -22,6 +22,26 @@ def entity_keyword_search(spark, sf):
     return retrieve.keyword_top(entities(spark, sf), KEYWORDS).select("id", "name", "keyword_pos")
 
 
+@query(f"""
+WITH {ENTITIES}, w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS q FROM part),
+k AS (SELECT q, q AS word, 0 AS pos FROM w UNION ALL SELECT q, substr(q, 2, 2), 1 FROM w UNION ALL SELECT q, 'zz' || q, 2 FROM w),
+h AS (SELECT q, id, name, min(pos) AS pos, any_value(seq) AS seq FROM k JOIN entities ON contains(lower(name), lower(word)) AND word <> '' GROUP BY q, id, name),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pos, seq, id) AS rank FROM h)
+SELECT q AS query, id, name, pos::INTEGER AS keyword_pos, rank::INTEGER AS rank FROM r WHERE rank <= 10
+""")
+def keyword_index_search(spark, sf):
+    """F1, J9, T2 by a stored index: the first ten names for every word of the parts' names, by the word and by two letters of it."""
+    from lodestone.operators import names
+    from lodestone.runtime import Scratch
+
+    path = Scratch(spark, "names").path("index")
+    names.build(entities(spark, sf), path, keep=["seq"])
+    w = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("query")).distinct()
+    words = F.array(F.col("query"), F.substring("query", 2, 2), F.concat(F.lit("zz"), "query"))
+    queries = w.select("query", F.posexplode(words).alias("pos", "word"))
+    return names.search(spark, path, queries, tie="seq").select("query", "id", "name", "keyword_pos", "rank")
+
+
 @query(f"""
 WITH {ENTITIES}
 SELECT project_id, count(*) FILTER (name LIKE '%ring%') AS hits, count(*) FILTER (entity_type = 'class') AS classes, count(*) FILTER (file_path = 'small/5.py') AS in_file,

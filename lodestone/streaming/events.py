@@ -40,7 +40,7 @@ def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "10 minu
 
 
 def dedup_in_flight(requests: DataFrame, *, key: str = "request_id", late: str = "10 minutes") -> DataFrame:
-    """The first request of each key within the watermark; repeats await its result."""
+    """The first request of each key within the watermark; in_flight gives repeats its result."""
     return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 

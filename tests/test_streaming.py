@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from lodestone.runtime import settings
-from lodestone.streaming import channels
+from lodestone.streaming import channels, requests
 from lodestone.streaming import events as S
 
 
@@ -78,3 +78,24 @@ def test_costs_stream(spark, tmp_path):
     q = S.trace_costs_stream(S.read_events(spark, path, kind)).writeStream.format("memory").queryName("cost").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["input_tokens"], r["cost"], r["calls"]) for r in spark.table("cost").collect()] == [(5, 0.5, 2)]
+
+
+def test_repeats_wait_for_the_first_result(spark, tmp_path):
+    kind = "key string, at timestamp, kind string, id string, value string"
+    base, t = str(tmp_path), datetime(2024, 1, 1)
+    at = lambda m, k, what, i=None, v=None: (k, t + timedelta(minutes=m), what, i, v)
+
+    def run(rows):
+        _write(spark, f"{base}/in", rows, kind)
+        out = requests.in_flight(S.read_events(spark, f"{base}/in", kind), limit="30 minutes")
+        with settings(spark, channels.STATE_STORE):
+            out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
+        return sorted(((r["key"], r["id"], r["kind"], r["value"]) for r in spark.read.schema(out.schema).parquet(f"{base}/out").collect() if r["key"]), key=str)
+
+    got = run([at(0, "a", "request", "1"), at(1, "a", "request", "2"), at(2, "a", "result", None, "done"), at(3, "a", "request", "3"), at(0, "b", "request", "4"), at(1, "c", "result", None, "nobody")])
+    assert got == [("a", "1", "result", "done"), ("a", "1", "start", None), ("a", "2", "result", "done"), ("a", "3", "start", None), ("b", "4", "start", None)]
+    # After a restart: an error reaches the owner and who waits; an owner that never ends does so by time.
+    new = [x for x in run([at(5, "a", "request", "5"), at(6, "a", "error", None, "bad"), at(6, "b", "request", "6"), at(90, "d", "request", "7")]) if x not in got]
+    assert [x for x in new if x[0] == "a"] == [("a", "3", "error", "bad"), ("a", "5", "error", "bad")]
+    late = [x for x in run([at(91, "e", "request", "8")]) if x[0] == "b" and x not in got]
+    assert late == [("b", "4", "error", "timed out"), ("b", "6", "error", "timed out")]
