@@ -111,3 +111,12 @@ def test_playbooks(spark, tmp_path):
 
 def test_titles():
     assert list(K.SECTION_TITLES) == list(K.GATES) or set(K.SECTION_TITLES) == set(K.GATES)
+
+
+def test_steps_tell_what_is_not_allowed(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("title: A\nmcp_prompt: fix_bug\nsteps:\n- tool: explain_symbol\n- tool: dig\n")
+    (tmp_path / "b.yaml").write_text("mcp_prompt: nope\nsteps:\n- tool: explain_symbol\n")
+    (tmp_path / "c.txt").write_text("no: playbook")
+    assert [(r["name"], r["step"], r["problem"]) for r in playbooks.steps(spark, str(tmp_path)).collect()] == [("a", 1, None), ("a", 2, "a: unknown tool dig"), ("b", 1, "b: unknown prompt nope")]
+    with pytest.raises(Exception, match="unknown"):
+        playbooks.playbooks(spark, str(tmp_path)).collect()
