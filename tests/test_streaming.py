@@ -1,9 +1,10 @@
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from lodestone.runtime import settings
-from lodestone.streaming import channels, requests
+from lodestone.streaming import channels, progress, requests
 from lodestone.streaming import events as S
 
 
@@ -99,3 +100,24 @@ def test_repeats_wait_for_the_first_result(spark, tmp_path):
     assert [x for x in new if x[0] == "a"] == [("a", "3", "error", "bad"), ("a", "5", "error", "bad")]
     late = [x for x in run([at(91, "e", "request", "8")]) if x[0] == "b" and x not in got]
     assert late == [("b", "4", "error", "timed out"), ("b", "6", "error", "timed out")]
+
+
+def test_progress_of_a_running_query(spark, tmp_path):
+    kind, base, log = "id long", str(tmp_path), progress.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        runs = []
+        for part in ([(1,), (2,), (3,)], [(4,)]):
+            _write(spark, f"{base}/in", part, kind)
+            q = progress.observed(S.read_events(spark, f"{base}/in", kind, 1)).writeStream.queryName("copy").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start()
+            q.awaitTermination()
+            runs.append(str(q.runId))
+        for _ in range(100):
+            if set(runs) <= set(log.ended):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert log.flush(spark, f"{base}/log") >= 2 and log.flush(spark, f"{base}/log") == 0
+    got = progress.percentages(spark.read.parquet(f"{base}/log"), spark.createDataFrame([("copy", 8)], "query string, total long"))
+    assert [(r["completed"], r["percent"]) for r in got.orderBy("batch").collect()] == [(3, 37.5), (4, 50.0)]
