@@ -67,6 +67,25 @@ def vector_topk_l2(spark, sf):
     return retrieve.vector_top_k(e, q, vec="embedding", tie="vec_id").select("vec_id", F.round("distance", 9).alias("distance"))
 
 
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+d AS (
+  SELECT q.vec_id AS query, c.vec_id AS id, list_reduce(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b) AS distance
+  FROM v q JOIN v c ON q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM d WHERE distance < 1.5)
+SELECT query, id, round(distance, 9) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 10
+""")
+def vector_index_search(spark, sf):
+    """SC10, T1, R1 by a stored index: the ten nearest vectors under the bound for every row whose id is divisible by 50."""
+    from lodestone.operators import vectors
+    from lodestone.runtime import Scratch
+
+    e, path = table(spark, sf, "embeddings"), Scratch(spark, "vectors").path("index")
+    vectors.build(e, path, id_col="vec_id", vec="embedding")
+    found = vectors.search(spark, path, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")))
+    return found.withColumn("distance", F.round("distance", 9))
+
+
 def _ranked(spark, sf):
     """Two rankings of the vectors of a label: by first and by second component."""
     from pyspark.sql.window import Window as W
