@@ -10,8 +10,8 @@ sample without replacement in proportion to exp(weight / 1000).
 
 Scale: copies of a text are collapsed first, so a group of copies costs one text; the exchange that
 does so also leaves each text's words in one task, and explode and window follow without another.
-The position table is counted by text and bucket in the same stage and only those counts are
-kept. Gains are a bounded table (buckets rows), which is broadcast. Weights meet the rows by the
+The position table's buckets are kept as they come, without a hash table beside the window: its
+sorts spill. Gains are a bounded table (buckets rows), which is broadcast. Weights meet the rows by the
 text's MD5 in a plain join that skew handling may split. Ranks come from counts by score, summed
 over the distinct scores (integers within the gains' range and the noise), and row numbers within one
 score, so no task sorts the table.
@@ -53,7 +53,7 @@ def distinct_texts(text: Column, rows: DataFrame) -> DataFrame:
 
 
 def bucket_counts(texts: DataFrame, max_order: int = MAX_ORDER, buckets: int = BUCKETS) -> DataFrame:
-    """texts(_res_key, text, copies) -> _res_key, copies, bucket, n: a text's n-grams by bucket."""
+    """texts(_res_key, text, copies) -> _res_key, copies, bucket, n: a text's n-grams by bucket; a bucket may have several rows."""
     # The outer forms, as for the others Spark makes each array a second time, for a filter.
     table = texts.select("_res_key", "copies", F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
     along = W.partitionBy("_res_key").orderBy("pos")
@@ -64,7 +64,9 @@ def bucket_counts(texts: DataFrame, max_order: int = MAX_ORDER, buckets: int = B
     places = F.array(*[F.pmod(F.crc32(g), F.lit(buckets)).cast("int") for g in grams])
     table = table.select("_res_key", "copies", places.alias("places"))
     found = table.select("_res_key", "copies", F.explode_outer("places").alias("bucket")).where("bucket IS NOT NULL")
-    return found.groupBy("_res_key", "copies", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # Not summed by text and bucket: most buckets of a text hold one n-gram, and a hash table of nearly
+    # all n-grams beside the window's sort would leave the window no memory.
+    return found.withColumn("n", F.lit(1).cast("long"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS, scale: int = SCALE) -> DataFrame:
