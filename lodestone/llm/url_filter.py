@@ -4,8 +4,11 @@ Method: labelled urls become transactions of tokens (scheme, host suffixes, path
 with digits masked, query keys) plus the item of the bad class; Spark's FP-growth mines the
 combinations. Tokens that occur in the same urls only, such as the parts of one host or of one
 repeated url, are one item, as any of them stands for all: else a url of n tokens would have
-2^n combinations. Items in too few bad urls are left out, as no rule can hold them, and a
-transaction brings its MAX_ITEMS most telling items, which bounds the rules' length.
+2^n combinations. Items in too few bad urls are left out, as no rule can hold them. FP-growth
+takes the transactions of at most MAX_ITEMS items, which bounds its combinations: it counts every
+combination with an item that no longer transaction holds. The other combinations, of items from longer
+transactions only, are counted level by level over all transactions. There a combination goes on only if
+each item narrows it, as no rule that is kept holds an idle item; so nested items do not multiply.
 
 Rules `items -> bad` are kept above a support and a confidence, and a rule is dropped if one of
 its subsets does as well. A single item needs MIN_COUNT bad urls, whatever the table's size, so
@@ -33,7 +36,7 @@ from lodestone.runtime import Scratch
 MIN_SUPPORT = 0.005  # share of the labelled urls that a combination and its class must hold
 MIN_COUNT = 8  # and at least so many urls, which is all that a single item needs
 MIN_CONFIDENCE = 0.8
-MAX_ITEMS = 12
+MAX_ITEMS = 12  # of a transaction for FP-growth; combinations of longer ones are counted level by level
 #: Verdicts of at most so many token sets are broadcast; more are joined by a shuffle.
 BROADCAST_SETS = 50_000
 RULES = "antecedent array<array<string>>, confidence double, support double"
@@ -74,6 +77,35 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(some))
 
 
+def narrowing_sets(held: DataFrame, need: float, scratch: Scratch) -> DataFrame:
+    """held(id, bad, name) -> (antecedent, n, b): sets of names in at least need bad ids of which no name is idle.
+
+    A name is idle if the others occur in the same ids without it. Sets grow by one name a level; all parts
+    of such a set are such sets, so a level misses none.
+    """
+    kinds = held.groupBy("id", "bad").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    kinds = kinds.groupBy("names").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("b"))
+    kinds = scratch.keep(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    names = kinds.select("kind", F.explode("names").alias("name"))
+    held_by = kinds.select("kind", "n", "b", F.explode("names").alias("last")).withColumn("antecedent", F.array("last"))
+    found, size = None, 1
+    while True:
+        level = held_by.groupBy("antecedent").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= need)
+        if found is not None:
+            parts = F.transform("antecedent", lambda x: F.filter("antecedent", lambda y: y != x))
+            less = before.select(F.col("antecedent").alias("part"), F.col("n").alias("part_n"))
+            parts = level.select("antecedent", "n", F.explode(parts).alias("part")).join(less, "part").where("part_n > n")
+            level = level.join(parts.groupBy("antecedent").count().where(F.col("count") == size).select("antecedent"), "antecedent")
+        before = scratch.keep(level.select("antecedent", "n", "b"), f"sets{size}")
+        if before.isEmpty():
+            return before if found is None else found
+        found = before if found is None else found.unionByName(before)
+        grown = held_by.join(before.select("antecedent"), "antecedent").join(names, "kind").where(F.col("name") > F.col("last"))
+        held_by = grown.select("kind", "n", "b", F.col("name").alias("last"), F.concat("antecedent", F.array("name")).alias("antecedent"))
+        held_by = scratch.keep(held_by, f"held{size}")
+        size += 1
+
+
 def mine(
     labelled: DataFrame, *, min_support=MIN_SUPPORT, min_count=MIN_COUNT, min_confidence=MIN_CONFIDENCE, max_items=MAX_ITEMS
 ) -> DataFrame:
@@ -97,16 +129,25 @@ def mine(
 
     need = max(min_support, min_count / n)
     often = items.where(F.col("b") >= need * n - 1e-9).select("name", "n", "confidence", F.explode(F.array("name")).alias("token"))
-    brought = words.join(often, "token").groupBy("id", "bad").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "n", "name"))).alias("x"))
-    names = F.transform(F.slice("x", 1, max_items), lambda x: x["name"])
-    # All labelled urls count for the support, those without an item too.
-    baskets = brought.select(F.when(F.col("bad"), F.concat(names, F.array(F.lit(BAD)))).otherwise(names).alias("items"))
+    brought = words.join(often, "token").groupBy("id", "bad").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    brought = scratch.keep(brought, "brought")
+    long = F.size("names") > max_items
+    # All labelled urls count for the support, those without an item and the long ones too.
+    items_of = F.when(long, F.array(F.lit("none"))).when(F.col("bad"), F.concat("names", F.array(F.lit(BAD)))).otherwise(F.col("names"))
     missing = base.select("id").join(brought.select("id"), "id", "left_anti").select(F.array(F.lit("none")).alias("items"))
-    baskets = scratch.keep(baskets.unionByName(missing), "baskets")
+    baskets = scratch.keep(brought.select(items_of.alias("items")).unionByName(missing), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, need), minConfidence=min_confidence).fit(baskets)
     more = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") > 1)).select(
         F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
     )
+    deep = scratch.keep(brought.where(long).select(F.explode("names").alias("name")).distinct(), "deep")
+    if not deep.isEmpty():
+        token = more.select("antecedent", F.explode("antecedent").alias("name"))
+        whole = token.join(deep, "name", "left_anti").select("antecedent").distinct()
+        held = brought.select("id", "bad", F.explode("names").alias("name")).join(deep, "name")
+        rest = narrowing_sets(held, need * n - 1e-9, scratch).where(F.size("antecedent") > 1).withColumn("confidence", F.col("b") / F.col("n"))
+        rest = rest.where(F.col("confidence") >= min_confidence).select("antecedent", "confidence", (F.col("b") / n).alias("support"))
+        more = more.join(whole, "antecedent", "left_semi").unionByName(rest)
     rules = scratch.keep(single.unionByName(more), "rules")
     less = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"))
     smaller = rules.withColumn("token", F.explode("antecedent")).withColumn(
