@@ -8,7 +8,8 @@ paired under length and position filters, and pairs are expanded to members and
 their whole sets.
 
 Frequencies are counted over all representatives. To keep that count small only the tokens of
-large sets in the lowest part of the hash range are counted, REGION times what a prefix takes; their order has the counted
+large sets in the lowest part of the hash range are counted, the share that a prefix takes and REGION deviations
+of a set of SMALL tokens more; their order has the counted
 tokens of at most COMMON documents first, by frequency, then the other uncounted ones, then the
 counted common ones, which no prefix reaches. Sets with too few rare counted tokens for their
 prefix, mostly near copies, need the order of uncounted tokens: it goes by their frequency among
@@ -40,6 +41,7 @@ rows; extra columns pass through, but for those whose name starts with _jac, whi
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -56,7 +58,7 @@ from lodestone.runtime import BLOOM_JOINS, Scratch, release_memory, settings, sh
 
 SHINGLE = 3
 PERCENT = 90
-REGION = 1.75
+REGION = 2.83
 SMALL = 128
 #: Below this many percent prefixes take so much of a set that all sets are ordered by the frequencies of all their tokens.
 FULL_BELOW = 70
@@ -179,7 +181,8 @@ def least_size(percent: int) -> int:
 
 def region_limit(percent: int) -> np.uint64:
     """Hashes below this are counted."""
-    return _U(min(2**64 - 1, int(REGION * (100 - percent) / 100 * 2**64)))
+    p = (100 - percent) / 100
+    return _U(min(2**64 - 1, int((p + REGION * math.sqrt(p * (1 - p) / SMALL)) * 2**64)))
 
 
 def shown_tokens(s: np.ndarray, percent: int) -> tuple[np.ndarray | None, np.ndarray | None]:

@@ -99,3 +99,20 @@ def test_null_and_repeated_ids(spark, tmp_path):
     got = [(r["doc_id"], r["text"]) for r in P.one_of_near_copies(spark, docs, str(tmp_path)).collect()]
     want = [(None, prose(0)), (None, prose(1)), (None, prose(2)), (7, prose(3)), (7, prose(4)), (7, prose(5)), (3, prose(6)), (3, prose(7)), (None, None), (None, "")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_tables_between_steps_are_zstandard(spark):
+    """Snappy copies of the texts took the near-copy stage over its disk."""
+    from lodestone.runtime import Scratch
+
+    files = Scratch(spark, "codec").keep(spark.range(9), "t").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_counted_region_keeps_its_margin():
+    from lodestone.llm.jaccard import SMALL, prefix_length, region_limit
+
+    for percent in range(70, 100):
+        share = int(region_limit(percent)) / 2**64
+        assert prefix_length(SMALL, percent) / SMALL <= share + 0.01
+    assert int(region_limit(80)) / 2**64 < 0.31
