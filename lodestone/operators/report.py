@@ -12,7 +12,7 @@ from lodestone.functions import fixed as K
 from lodestone.functions.scoring import clamp_confidence, gate
 from lodestone.functions.text import any_word, md_code, md_row, md_table_head, rule_story, section_title
 from lodestone.operators.graph import er_diagram, overview_diagram
-from lodestone.operators.ordered import joined_lines, top_per
+from lodestone.operators.ordered import joined_lines, long_text, top_per
 
 P = "project_id"
 DASH = "—"
@@ -50,7 +50,7 @@ def _at() -> Column:
 
 def _block(no: int, title: str | None, df: DataFrame, line: Column, order: list[str], head: list[str] | None = None, level: int = 2, sep: str = "\n") -> DataFrame:
     """(project_id, no, text): a heading, an optional table head, the rows' lines."""
-    t = joined_lines(df, [P], line, order, sep)
+    t = long_text(df, [P], line, order, sep)
     lead = (f"{'#' * level} {title}\n\n" if title else "") + (md_table_head(head) + "\n" if head else "")
     return t.select(P, F.lit(no).alias("no"), F.concat(F.lit(lead), F.col("text"), F.lit("\n")).alias("text"))
 

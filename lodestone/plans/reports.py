@@ -8,6 +8,7 @@ from lodestone.functions import fixed as K
 from lodestone.operators import graph, report
 from lodestone.plans.registry import ORACLES, QUERIES, query
 from lodestone.plans.standins import EDGES, ENTITIES, MODEL, edges, entities, model
+from lodestone.runtime import Scratch
 
 NL = "chr(10)"
 
@@ -227,4 +228,5 @@ SELECT project_id, section_name FROM projects, g
 """)
 def section_reports(spark, sf):
     """All sections of every project exist and went through the gate."""
-    return report.gated(report.sections(model(spark, sf))).where("gate.score >= 0").select("project_id", "section_name")
+    m = model(spark, sf, Scratch(spark, "sections"))
+    return report.gated(report.sections(m)).where("gate.score >= 0").select("project_id", "section_name")

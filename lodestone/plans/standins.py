@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.model import workflows
 from lodestone.operators.report import Model
+from lodestone.runtime import Scratch
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,13 +41,16 @@ entities AS (
   FROM part)"""
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
+def edges(spark: SparkSession, sf: str, scratch: Scratch | None = None) -> DataFrame:
+    """All edges; with scratch they are made once, for plans that read them several times."""
     f = F.col("l_returnflag")
     kind = F.when(f == "R", "calls").when(f == "A", "imports").otherwise("references")
     pid = lambda c: F.concat(F.lit("part::"), F.col(c).cast("string"))
     e = table(spark, sf, "lineitem").select(pid("l_partkey").alias("source_id"), pid("l_suppkey").alias("target_id"), kind.alias("relationship_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"))
     e = e.groupBy("source_id", "target_id", "relationship_type").agg(F.min("n").alias("n"))
     e = e.join(entities(spark, sf).select(F.col("id").alias("source_id"), "project_id"), "source_id")
+    if scratch is not None:
+        e = scratch.keep(e, "edges")
     # A place for every edge: ties of the first line go to the ids.
     return e.select(
         "project_id", F.struct("n", "source_id", "target_id", "relationship_type").alias("seq"), F.concat_ws(":", "relationship_type", "source_id", "target_id").alias("id"),
@@ -63,8 +67,8 @@ edges AS (
         FROM lineitem GROUP BY ALL) l JOIN entities e ON e.id = l.source_id)"""
 
 
-def model(spark: SparkSession, sf: str) -> Model:
-    e, r = entities(spark, sf), edges(spark, sf)
+def model(spark: SparkSession, sf: str, scratch: Scratch | None = None) -> Model:
+    e, r = entities(spark, sf), edges(spark, sf, scratch)
     brand = lambda c: F.concat(F.lit("Brand#"), (F.col(c) % 25 + 1).cast("string"))
     said = e.groupBy("project_id", "file_path").agg(F.min("seq").alias("seq"), F.concat(F.lit("Handles "), F.col("file_path")).alias("statement")).withColumn("confidence", F.lit(0.7))
     s = table(spark, sf, "supplier")
